@@ -7,9 +7,11 @@ further tokens that the node chooses, and so on. A pair of similarity s is toget
 probability s, and each later level keeps it with probability 1 - (1 - s)^2 or so; TREES independent trees miss
 a pair of similarity 0.75 with a probability below 1e-6 where nodes are small.
 
-So that groups of thousands of copies don't make all their pairs, links are sought in two steps. First every
-document of a node is compared with one document of it, and linked documents become components. Then only
-pairs of different components count: small nodes list them all and larger ones branch. Candidates whose minwise
+So that groups of thousands of copies don't make all their pairs, every document of a node is first compared with
+one document of it, and linked documents become components. From then on only pairs of different components
+count: a node lists them all where they are few for its size; a larger one is given some more such stars, with
+other centres. Where a main component stands out and few documents remain outside it, these are compared with
+all of the crowd, block by block; other nodes branch. Candidates whose minwise
 tokens agree too seldom for the threshold, by a margin of five deviations, are left out; all others are compared
 on their full sets. Texts of equal word sequences are one vertex from the beginning.
 
@@ -34,8 +36,15 @@ from .shared import written
 SHINGLE = 5
 #: Minwise tokens of a document, trees, and tokens by which a larger node branches.
 TOKENS, TREES, BRANCHES = 48, 12, 2
-#: Nodes of up to so many documents are compared exhaustively; others branch, up to DEPTH times.
-SMALL, DEPTH = 48, 8
+#: Comparisons for each document up to which a node is compared exhaustively, stars made before a larger one
+#: branches, and levels; at the last level every node is compared exhaustively.
+SMALL, STARS, DEPTH = 48, 3, 8
+#: Documents outside a crowd's main component up to which they are compared with the whole crowd, in blocks.
+OUTSIDE = 2048
+#: The same for the comparison of their tokens alone, which comes first.
+OUTSIDE_SKETCHED = 32768
+#: Pairs up to which they are broadcast to the texts: a few megabytes.
+FEW_PAIRS = 150_000
 #: Rows of a comparison task.
 GROUP = 256
 
@@ -84,15 +93,29 @@ def signatures(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return docs.select(F.col(id_).cast("long").alias("id"), F.xxhash64(text), text).mapInArrow(sign, "id long, content long, n long, d1 long, d2 long, tokens array<long>")
 
 
+def _least_agreeing(percent: int) -> int:
+    """The number of agreeing tokens that a pair at the threshold falls short of by five deviations."""
+    t = percent / 100
+    return int(TOKENS * (t - 5 * (t * (1 - t) / TOKENS) ** 0.5))
+
+
 def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes allow the threshold and whose tokens agree often enough."""
-    t = percent / 100
-    least = int(TOKENS * (t - 5 * (t * (1 - t) / TOKENS) ** 0.5))
     left = sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     both = pairs.join(left, "a").join(right, "b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
     same = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
-    return both.filter(same >= least).select("a", "b").distinct()
+    return both.filter(same >= _least_agreeing(percent)).select("a", "b").distinct()
+
+
+def _similar(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each of the other sets, whether 100 * intersection >= percent * union."""
+    sizes = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), max(0, len(one) - 1))
+    hit = one[at] == flat if len(one) else np.zeros(len(flat), bool)
+    common = np.bincount(np.repeat(np.arange(len(others)), sizes)[hit], minlength=len(others))
+    return (common > 0) & (100 * common >= percent * (len(one) + sizes - common))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -101,26 +124,27 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     Each b goes to the tasks of its a with its text; an a with many partners is dealt out over several.
     """
     pairs = written(pairs, "pairs")
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         return pairs
+    few = n <= FEW_PAIRS
     counts = pairs.groupBy("a").agg((F.floor((F.count("*") - 1) / GROUP) + 1).cast("int").alias("deals"))
     deal = F.pmod(F.xxhash64("b"), F.col("deals")).cast("int")
     members = pairs.join(counts, "a").select("a", F.col("b").alias("id"), deal.alias("deal"))
     centres = counts.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
-    rows = members.unionByName(centres).join(texts, "id").select("a", "deal", "id", "text")
+    wanted = members.unionByName(centres)
+    # Few pairs go to the texts; for many, texts and pairs are shuffled.
+    rows = texts.join(F.broadcast(wanted) if few else wanted, "id").select("a", "deal", "id", "text")
 
     def compare(table: pa.Table) -> pa.Table:
         a = table["a"][0].as_py()
         ids = table["id"].to_numpy()
         sets = [s for _, some, _, _ in shingle_sets(table["text"]) for s in some]
-        found = []
+        others = [i for i in range(len(ids)) if ids[i] != a]
+        found: set[int] = set()
         for centre in (s for i, s in zip(ids, sets) if i == a):
-            for b, other in zip(ids, sets):
-                if b != a:
-                    common = len(np.intersect1d(centre, other, assume_unique=True))
-                    if common and 100 * common >= percent * (len(centre) + len(other) - common):
-                        found.append(b)
-        return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+            found.update(ids[others][_similar(centre, [sets[i] for i in others], percent)].tolist() if others else [])
+        return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(sorted(found), pa.int64())})
 
     return written(rows.groupBy("a", "deal").applyInArrow(compare, "a long, b long"), "links")
 
@@ -131,6 +155,104 @@ def _chosen(node: Column, tokens: Column, depth: int, branch: int) -> Column:
     return F.xxhash64(node, place, F.get(tokens, place))
 
 
+def _star_pairs(own: DataFrame, turn: int) -> DataFrame:
+    """(node, a, b): a document of each node, another one in each turn, with all that are in other components."""
+    centre = F.min_by(F.struct(F.col("id").alias("a"), F.col("component").alias("c")), F.xxhash64("id", F.lit(turn))).alias("centre")
+    both = own.join(own.groupBy("node").agg(centre), "node").filter("component != centre.c")
+    return both.select("node", F.col("centre.a").alias("a"), F.col("id").alias("b"))
+
+
+def _split(own: DataFrame, everything: bool) -> tuple[DataFrame, DataFrame]:
+    """(members of nodes to be listed, members of those that are too large): nodes in one component are done with.
+
+    A node is listed if its pairs between components are no more than SMALL for each document of it.
+    """
+    parts = own.groupBy("node", "component").agg(F.count("*").alias("n"))
+    nodes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("within"), F.max_by("component", "n").alias("main"))
+    nodes = nodes.withColumn("across", (F.col("size") * F.col("size") - F.col("within")) / 2).filter("across > 0")
+    small = F.lit(True) if everything else F.col("across") <= SMALL * F.col("size")
+    told = written(own.join(nodes.select("node", "main", small.alias("small")), "node"), "mixed")
+    return told.filter("small"), told.filter("not small")
+
+
+def _listed_pairs(listed: DataFrame) -> DataFrame:
+    """All pairs between components: documents outside a node's main component with all others of the node."""
+    rest = listed.filter("component != main").select("node", F.col("id").alias("x"), F.col("component").alias("c_x"))
+    both = rest.join(listed.select("node", "id", "component"), "node").filter("c_x != component")
+    return both.select("node", F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+
+
+def _blocks(crowds: DataFrame) -> DataFrame:
+    """(crowd, block_out, block_all, id, component, asks): the outside documents of each crowd and all its members, dealt into blocks of GROUP; a row for each pair of blocks that a document is in."""
+    blocks = lambda n: (F.floor((n - 1) / GROUP) + 1).cast("int")
+    counts = crowds.groupBy("crowd").agg(blocks(F.count("*")).alias("n_all"), blocks(F.count_if(F.col("outside"))).alias("n_out"))
+    dealt = crowds.join(counts, "crowd")
+
+    def side(df: DataFrame, own: str, n: str, other: str, m: str, asks: bool) -> DataFrame:
+        placed = df.withColumn(own, F.pmod(F.xxhash64("id"), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
+        return placed.select("crowd", "block_out", "block_all", "id", "component", F.lit(asks).alias("asks"))
+
+    return side(dealt.filter("outside"), "block_out", "n_out", "block_all", "n_all", True).unionByName(side(dealt.filter("n_out > 0"), "block_all", "n_all", "block_out", "n_out", False))
+
+
+def with_candidates(crowds: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """crowds without the outside documents whose tokens agree too seldom with those of every member of another component."""
+    rows = _blocks(crowds).join(sketches.select("id", "sketch"), "id")
+    least = _least_agreeing(percent)
+
+    def compare(table: pa.Table) -> pa.Table:
+        component, asks = table["component"].to_numpy(), table["asks"].to_numpy(zero_copy_only=False)
+        sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
+        out, there = np.flatnonzero(asks), np.flatnonzero(~asks)
+        some = [i for i in out if (((sketch[there] == sketch[i]).sum(1) >= least) & (component[there] != component[i])).any()]
+        return pa.table({"crowd": table["crowd"].take(pa.array(some, pa.int64())), "id": table["id"].take(pa.array(some, pa.int64()))})
+
+    found = rows.groupBy("crowd", "block_out", "block_all").applyInArrow(compare, "crowd long, id long").distinct().withColumn("some", F.lit(True))
+    return crowds.join(found, ["crowd", "id"], "left").filter(F.col("some") | ~F.col("outside")).drop("some")
+
+
+def blocked_links(crowds: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links of crowds (crowd, id, component, outside): every outside document with all members of other components.
+
+    Each pair of blocks is one task. Of the links of a document with a component one for each block is given.
+    """
+    rows = _blocks(crowds).join(texts, "id").select("crowd", "block_out", "block_all", "id", "component", "asks", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, component, asks = table["id"].to_numpy(), table["component"].to_numpy(), table["asks"].to_numpy(zero_copy_only=False)
+        sets = [s for _, some, _, _ in shingle_sets(table["text"]) for s in some]
+        there = np.flatnonzero(~asks)
+        found = []
+        if len(there):
+            others = [sets[i] for i in there]
+            for i in np.flatnonzero(asks):
+                ok = there[_similar(sets[i], others, percent) & (component[there] != component[i])]
+                found += [(ids[i], ids[ok[k]]) for k in np.unique(component[ok], return_index=True)[1]]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return written(rows.groupBy("crowd", "block_out", "block_all").applyInArrow(compare, "a long, b long"), "links")
+
+
+def _crowds(large: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(crowds, members of nodes to branch) of the members of large nodes.
+
+    Nodes with one main component are one crowd, whatever their trees. Documents that are no candidate for any
+    other component in the crowd are done with. The rest is compared in blocks if no more than OUTSIDE
+    documents are outside the component.
+    """
+    members = large.groupBy(F.col("main").alias("crowd"), "id").agg(F.first("component").alias("component")).withColumn("outside", F.col("component") != F.col("crowd"))
+
+    def fits(crowds: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+        few = crowds.groupBy("crowd").agg(F.count_if(F.col("outside")).alias("n")).filter(F.col("n") <= most).select("crowd")
+        return crowds.join(few, "crowd", "left_semi"), crowds.join(few, "crowd", "left_anti")
+
+    members = written(members, "crowds")
+    few, many = fits(members, OUTSIDE_SKETCHED)
+    few, still = fits(written(with_candidates(few, sketches, percent), "crowds"), OUTSIDE)
+    rest = large.join(many.union(still).select(F.col("crowd").alias("main"), "id"), ["main", "id"], "left_semi").select("node", "id")
+    return few, rest
+
+
 def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """docs with n_shingles (long), component_id (long) and kept (boolean)."""
     docs = docs.drop("n_shingles", "component_id", "kept")
@@ -142,37 +264,43 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", pe
     texts = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
 
     def shared_nodes(members: DataFrame) -> DataFrame:
-        """Members of nodes that hold more than one document, with the node's first one and its size."""
-        first = F.min_by("id", F.xxhash64("id")).alias("first")
-        nodes = members.groupBy("node").agg(F.count("*").alias("size"), first).filter("size > 1")
-        return written(members.join(nodes, "node"), "nodes")
+        """Members (node, id) of nodes that hold more than one document."""
+        nodes = members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").select("node")
+        return written(members.join(nodes, "node", "left_semi").select("node", "id"), "nodes")
 
     roots = vertices.select("id", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
     nodes = shared_nodes(roots.select("id", F.xxhash64("tree", "token").alias("node")))
-    stars = nodes.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirmed(likely(stars, sketches, percent), texts, percent)
-    joined = written(components(links), "components")
-
-    depth = 1
+    stars = _star_pairs(nodes.withColumn("component", F.col("id")), 0)
+    links = confirmed(likely(stars.select("a", "b").distinct(), sketches, percent), texts, percent)
+    joined, depth = written(components(links), "components"), 1
     while True:
-        own = nodes.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = own.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("node")
-        own = written(own.join(mixed, "node", "left_semi"), "mixed")
-        last = depth >= DEPTH
-        small = own if last else own.filter(F.col("size") <= SMALL)
-        left = small.select("node", F.col("id").alias("a"), F.col("component").alias("c_a"))
-        right = small.select("node", F.col("id").alias("b"), F.col("component").alias("c_b"))
-        listed = left.join(right, "node").filter("a < b and c_a != c_b").select("a", "b").distinct()
-        links = links.union(confirmed(likely(listed, sketches, percent), texts, percent))
-        large = own.filter(F.col("size") > SMALL)
-        if last or large.isEmpty():
+        for turn in range(1, STARS + 1 if depth == 1 else 2):
+            own = written(nodes.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
+            small, large = _split(own, everything=depth == DEPTH)
+            pairs = _listed_pairs(small)
+            if depth == 1 and turn < STARS:
+                pairs = pairs.union(_star_pairs(large, turn))
+            new = confirmed(likely(pairs.select("a", "b").distinct(), sketches, percent), texts, percent)
+            if not new.isEmpty():
+                links = links.union(new)
+                joined = written(components(links), "components")
+            nodes = large.select("node", "id")
+            if nodes.isEmpty():
+                break
+        if nodes.isEmpty():
             break
-        deeper = large.join(vertices.select("id", "tokens"), "id")
+        crowds, nodes = _crowds(large, sketches, percent)
+        new = blocked_links(crowds, texts, percent)
+        if not new.isEmpty():
+            links = links.union(new)
+            joined = written(components(links), "components")
+        if nodes.isEmpty():
+            break
+        deeper = nodes.join(vertices.select("id", "tokens"), "id")
         branches = F.explode(F.array(*[_chosen(F.col("node"), F.col("tokens"), depth, b) for b in range(BRANCHES)]))
         nodes = shared_nodes(deeper.select("id", branches.alias("node")).distinct())
         depth += 1
-
-    joined = written(components(links), "components").withColumnRenamed("id", "vertex")
+    joined = joined.withColumnRenamed("id", "vertex")
     found = signed.select("id", "content", "n", "d1", "d2").join(groups, ["d1", "d2"], "left").withColumn("vertex", F.when(F.col("n") > 0, F.col("vertex")))
     found = found.join(joined, "vertex", "left").withColumn("component", F.when(F.col("id").isNotNull(), F.least("vertex", "component", "id")))
     # A row for each id and text, to be joined with the rows of docs, whatever repeats there.
