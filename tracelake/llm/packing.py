@@ -129,17 +129,18 @@ class CapacityTree:
         return None
 
 
-def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit decreasing over counts of lengths: (length, first rank, ranks, first bin, offset) runs.
+def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best-fit decreasing over counts of lengths: (length, first rank, ranks, first bin, offset, pieces a bin) runs.
 
-    The pieces of that length with those ranks go into consecutive bins, each at that offset.
+    The pieces of that length with those ranks go into consecutive bins, so many into each, from that offset
+    on. A bin that was the tightest stays it while it holds another piece of the length, so it is filled first.
     """
     tree = CapacityTree(capacity)
     open_: list[deque[tuple[int, int]]] = [deque() for _ in range(capacity + 1)]  # runs of bins by room left
     runs, bins = [], 0
 
     def put(room: int, first: int, n: int) -> None:
-        if room:
+        if room and n:
             queue = open_[room]
             if queue and queue[-1][0] + queue[-1][1] == first:
                 queue[-1] = (queue[-1][0], queue[-1][1] + n)
@@ -152,17 +153,23 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
         while left:
             room = tree.tightest(length)
             if room is None:
-                room, first, n = capacity, bins, left
-                bins += left
+                room, per = capacity, capacity // length
+                first, have = bins, -(-left // per)
+                bins += have
             else:
+                per = room // length
                 first, have = open_[room].popleft()
-                n = min(have, left)
-                if have > n:
-                    open_[room].appendleft((first + n, have - n))
-                tree.add(room, -n)
-            runs.append((length, rank, n, first, capacity - room))
-            put(room - length, first, n)
-            rank, left = rank + n, left - n
+                tree.add(room, -have)
+            full = min(have, left // per)
+            over = min(left - full * per, per - 1) if full < have else 0
+            used = full + (over > 0)
+            runs.append((length, rank, full * per + over, first, capacity - room, per))
+            put(room - per * length, first, full)
+            put(room - over * length, first + full, used - full)
+            if used < have:
+                open_[room].appendleft((first + used, have - used))
+                tree.add(room, have - used)
+            rank, left = rank + full * per + over, left - full * per - over
     return runs
 
 
@@ -175,13 +182,15 @@ def pack(docs: DataFrame, id_: str = "doc_id", text: str = "text", capacity: int
     # Runs by (length, first rank); no more than the plan's states, whatever the number of pieces.
     keys = np.array([r[0] << 44 | r[1] for r in runs], np.int64)
     order = np.argsort(keys)
-    plan = spark.sparkContext.broadcast((keys[order], np.array([r[1] for r in runs], np.int64)[order], np.array([r[3] for r in runs], np.int64)[order], np.array([r[4] for r in runs], np.int64)[order]))
+    plan = spark.sparkContext.broadcast((keys[order], *(np.array([r[c] for r in runs], np.int64)[order] for c in (1, 3, 4, 5))))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        keys, first_rank, first_bin, offset = plan.value
-        at = np.searchsorted(keys, length.to_numpy() << 44 | rank.to_numpy(), "right") - 1
-        return pd.DataFrame({"sequence_id": first_bin[at] + rank.to_numpy() - first_rank[at], "offset": offset[at]})
+        keys, first_rank, first_bin, offset, per = plan.value
+        n, k = length.to_numpy(), rank.to_numpy()
+        at = np.searchsorted(keys, n << 44 | k, "right") - 1
+        bins, place = np.divmod(k - first_rank[at], per[at])
+        return pd.DataFrame({"sequence_id": first_bin[at] + bins, "offset": offset[at] + place * n})
 
     ranked = gapless_rank(pieces, ["length"], [F.col(id_), F.col("piece"), F.col("ids_crc32")], "__rank", spread=[F.col(id_), F.col("piece"), F.col("ids_crc32")])
     return ranked.withColumn("__at", place("length", "__rank")).select(*pieces.columns, "__at.*")
