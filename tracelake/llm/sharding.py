@@ -24,8 +24,8 @@ from .shared import column_name, written
 #: Bits of a sort key: TEXT_BITS of the text's hash, then ID_BITS of the id's.
 TEXT_BITS, ID_BITS = 39, 24
 KEY_BITS = TEXT_BITS + ID_BITS
-#: Bits by which a probe refines the cell before it.
-STEP_BITS = 9
+#: Bits by which the first probe divides the keys, and by which later ones refine a cell.
+FIRST_BITS, STEP_BITS = 13, 10
 
 
 def text_bytes(text: str) -> Column:
@@ -53,13 +53,13 @@ class _Splitter:
 def splitters(rows: DataFrame, key: str, size: str, targets: list[tuple[float, float]]) -> list[int]:
     """For each (target, slack), a key below which the bytes are within slack of the target, or else as near as any key.
 
-    One job a round. A round counts at most 2 ** STEP_BITS cells for each splitter that is still open,
-    whatever the number of rows; there are at most KEY_BITS / STEP_BITS rounds.
+    One job a round. The first counts 2 ** FIRST_BITS cells and later ones at most 2 ** STEP_BITS for each
+    splitter that is still open, whatever the number of rows; there are at most six rounds.
     """
     found = [_Splitter(*t) for t in targets]
     while open_ := [s for s in found if s.key is None]:
         bits = open_[0].bits  # all open ones are equally fine
-        step = max(0, bits - STEP_BITS)
+        step = bits - (FIRST_BITS if bits == KEY_BITS else STEP_BITS)
         lows = sorted({s.low >> bits for s in open_})
         probed = rows if bits == KEY_BITS else rows.filter(F.shiftrightunsigned(key, bits).isin(lows))
         counts: dict[int, dict[int, int]] = {}
