@@ -35,7 +35,7 @@ def in_parts(rows: DataFrame, text: str, spread: list[Column]) -> tuple[DataFram
     parts, owners = max(16, -(-total // PART_BYTES)), max(16, -(-total // OWNER_BYTES))
     name = f"parts_{uuid.uuid4().hex}"
     dealt = rows.withColumn("part", F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int"))
-    dealt.repartition(parts, "part").write.format("parquet").option("compression", "zstd").option("path", new_path(spark, "parts")).bucketBy(parts, "part").saveAsTable(name)
+    dealt.repartition(parts, "part").write.format("parquet").option("path", new_path(spark, "parts")).bucketBy(parts, "part").saveAsTable(name)
     return spark.table(name), owners
 
 

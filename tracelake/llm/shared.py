@@ -27,7 +27,7 @@ def new_path(spark: SparkSession, what: str) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """df, computed once and read back from the shared folder: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

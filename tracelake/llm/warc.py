@@ -192,7 +192,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_: str = "page
                 record = Record(kind, url_.as_py(), page_id.as_py(), sha1_base32(data), refers_to, len(data), data if refers_to is None else None)
                 if now is None:
                     path, count = f"{uuid.uuid4().hex}.warc.zst", 0
-                    now = ArchiveWriter(store.open_output_stream(f"{root}/{path}.part"))
+                    now = ArchiveWriter(store.open_output_stream(f"{root}/{path}.part", compression=None))
                 now.add(encode(record))
                 count += 1
                 if now.size >= ARCHIVE_BYTES:
@@ -219,7 +219,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
             for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 store, at = fs.FileSystem.from_uri(path)
                 found, size, count = [], 0, 0
-                with store.open_input_stream(at) as stream:
+                with store.open_input_stream(at, compression=None) as stream:
                     for data in read_archive(stream):
                         found.append(decode(data))
                         size, count = size + len(data), count + 1
