@@ -12,26 +12,33 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
-def _least(links: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, least): the smallest value of each key, itself included."""
-    return links.groupBy(key).agg(F.min(value).alias("least")).withColumn("least", F.least("least", key))
+#: Links up to which a step broadcasts the smallest neighbours: a few megabytes.
+FEW_LINKS = 150_000
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every vertex of links (a, b): component is the smallest id that it reaches."""
     now = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
     while True:
+        few = now.count() <= FEW_LINKS
+
+        def with_least(x: DataFrame) -> DataFrame:
+            """x with the smallest v of each u, or u itself."""
+            found = x.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("least", "u"))
+            return x.join(F.broadcast(found) if few else found, "u")  # noqa: B023
+
         # Large star: every vertex sends its larger neighbours to its smallest.
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both, "u", "v"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         # Small star: every vertex sends its smaller neighbours, and itself, to its smallest.
-        large = large.filter("u != v").distinct()
-        small = large.join(_least(large, "u", "v"), "u")
+        large = large.filter("u != v")
+        small = with_least(large)
         small = small.select(F.col("v").alias("u"), F.col("least").alias("v")).union(small.select("u", F.col("least").alias("v")))
         now = written(small.filter("u != v").distinct(), "links")
         # Done when all that is left are stars: no vertex has two links up, and none that others link to has one.
         up = now.groupBy("u").agg(F.count("*").alias("n"))
-        if up.filter("n > 1").isEmpty() and up.join(now.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+        above = now.select(F.col("v").alias("u"))
+        if up.filter("n > 1").select("u").union(up.join(F.broadcast(above) if few else above, "u", "left_semi").select("u")).isEmpty():
             break
     roots = now.select(F.col("v").alias("id")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))

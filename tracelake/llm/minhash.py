@@ -9,9 +9,9 @@ a pair of similarity 0.75 with a probability below 1e-6 where nodes are small.
 
 So that groups of thousands of copies don't make all their pairs, every document of a node is first compared with
 one document of it, and linked documents become components. From then on only pairs of different components
-count: a node lists them all where they are few for its size; a larger one is given some more such stars, with
-other centres. Where a main component stands out and few documents remain outside it, these are compared with
-all of the crowd, block by block; other nodes branch. Candidates whose minwise
+count: a node lists them all where they are few for its size; a larger one is given another such star. Where
+few documents then remain outside a node's main component, these are compared with all of the crowd, block by
+block; other nodes branch. Candidates whose minwise
 tokens agree too seldom for the threshold, by a margin of five deviations, are left out; all others are compared
 on their full sets. Texts of equal word sequences are one vertex from the beginning.
 
@@ -36,17 +36,17 @@ from .shared import written
 SHINGLE = 5
 #: Minwise tokens of a document, trees, and tokens by which a larger node branches.
 TOKENS, TREES, BRANCHES = 48, 12, 2
-#: Comparisons for each document up to which a node is compared exhaustively, stars made before a larger one
-#: branches, and levels; at the last level every node is compared exhaustively.
-SMALL, STARS, DEPTH = 48, 3, 8
+#: Comparisons for each document up to which a node is compared exhaustively, and levels; at the last level
+#: every node is compared exhaustively.
+SMALL, DEPTH = 48, 8
 #: Documents outside a crowd's main component up to which they are compared with the whole crowd, in blocks.
-OUTSIDE = 2048
+OUTSIDE = 4096
 #: The same for the comparison of their tokens alone, which comes first.
 OUTSIDE_SKETCHED = 32768
-#: Pairs up to which they are broadcast to the texts: a few megabytes.
-FEW_PAIRS = 150_000
-#: Rows of a comparison task.
-GROUP = 256
+#: Rows of pairs or blocks up to which they are broadcast to texts and sketches: some megabytes.
+FEW_ROWS = 150_000
+#: Documents of a side of a comparison task, of texts and of tokens alone.
+GROUP, SKETCH_GROUP = 256, 4096
 
 _ODD = np.random.default_rng(5).integers(1 << 62, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(6).integers(0, 1 << 63, TOKENS, dtype=np.uint64)
@@ -100,12 +100,18 @@ def _least_agreeing(percent: int) -> int:
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes allow the threshold and whose tokens agree often enough."""
+    """The distinct pairs (a, b) whose sizes allow the threshold and whose tokens agree often enough."""
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    few = pairs.count() <= FEW_ROWS
+
+    def sent(x: DataFrame) -> DataFrame:
+        return F.broadcast(x) if few else x
+
     left = sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    both = pairs.join(left, "a").join(right, "b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    both = right.join(sent(left.join(sent(pairs), "a")), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     same = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
-    return both.filter(same >= _least_agreeing(percent)).select("a", "b").distinct()
+    return both.filter(same >= _least_agreeing(percent)).select("a", "b")
 
 
 def _similar(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
@@ -127,7 +133,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     n = pairs.count()
     if not n:
         return pairs
-    few = n <= FEW_PAIRS
+    few = n <= FEW_ROWS
     counts = pairs.groupBy("a").agg((F.floor((F.count("*") - 1) / GROUP) + 1).cast("int").alias("deals"))
     deal = F.pmod(F.xxhash64("b"), F.col("deals")).cast("int")
     members = pairs.join(counts, "a").select("a", F.col("b").alias("id"), deal.alias("deal"))
@@ -182,9 +188,9 @@ def _listed_pairs(listed: DataFrame) -> DataFrame:
     return both.select("node", F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
 
 
-def _blocks(crowds: DataFrame) -> DataFrame:
-    """(crowd, block_out, block_all, id, component, asks): the outside documents of each crowd and all its members, dealt into blocks of GROUP; a row for each pair of blocks that a document is in."""
-    blocks = lambda n: (F.floor((n - 1) / GROUP) + 1).cast("int")
+def _blocks(crowds: DataFrame, group: int) -> DataFrame:
+    """(crowd, block_out, block_all, id, component, asks): the outside documents of each crowd and all its members, dealt into blocks of ``group``; a row for each pair of blocks that a document is in."""
+    blocks = lambda n: (F.floor((n - 1) / group) + 1).cast("int")
     counts = crowds.groupBy("crowd").agg(blocks(F.count("*")).alias("n_all"), blocks(F.count_if(F.col("outside"))).alias("n_out"))
     dealt = crowds.join(counts, "crowd")
 
@@ -197,7 +203,7 @@ def _blocks(crowds: DataFrame) -> DataFrame:
 
 def with_candidates(crowds: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """crowds without the outside documents whose tokens agree too seldom with those of every member of another component."""
-    rows = _blocks(crowds).join(sketches.select("id", "sketch"), "id")
+    rows = _blocks(crowds, SKETCH_GROUP).join(sketches.select("id", "sketch"), "id")
     least = _least_agreeing(percent)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -214,20 +220,31 @@ def with_candidates(crowds: DataFrame, sketches: DataFrame, percent: int) -> Dat
 def blocked_links(crowds: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links of crowds (crowd, id, component, outside): every outside document with all members of other components.
 
-    Each pair of blocks is one task. Of the links of a document with a component one for each block is given.
+    Each pair of blocks is one task, which gives no more links than join its documents' components.
     """
-    rows = _blocks(crowds).join(texts, "id").select("crowd", "block_out", "block_all", "id", "component", "asks", "text")
+    rows = written(_blocks(crowds, GROUP), "blocks")
+    rows = texts.join(F.broadcast(rows) if rows.count() <= FEW_ROWS else rows, "id").select("crowd", "block_out", "block_all", "id", "component", "asks", "text")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, component, asks = table["id"].to_numpy(), table["component"].to_numpy(), table["asks"].to_numpy(zero_copy_only=False)
         sets = [s for _, some, _, _ in shingle_sets(table["text"]) for s in some]
         there = np.flatnonzero(~asks)
+        others = [sets[i] for i in there]
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while up.setdefault(c, c) != c:
+                up[c] = c = up[up[c]]
+            return c
+
         found = []
-        if len(there):
-            others = [sets[i] for i in there]
-            for i in np.flatnonzero(asks):
-                ok = there[_similar(sets[i], others, percent) & (component[there] != component[i])]
-                found += [(ids[i], ids[ok[k]]) for k in np.unique(component[ok], return_index=True)[1]]
+        for i in np.flatnonzero(asks) if others else ():
+            ok = there[_similar(sets[i], others, percent) & (component[there] != component[i])]
+            for k in np.unique(component[ok], return_index=True)[1]:
+                a, b = root(int(component[i])), root(int(component[ok[k]]))
+                if a != b:  # a link within what this task has joined adds nothing
+                    up[a] = b
+                    found.append((ids[i], ids[ok[k]]))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return written(rows.groupBy("crowd", "block_out", "block_all").applyInArrow(compare, "a long, b long"), "links")
@@ -271,35 +288,30 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", pe
     roots = vertices.select("id", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
     nodes = shared_nodes(roots.select("id", F.xxhash64("tree", "token").alias("node")))
     stars = _star_pairs(nodes.withColumn("component", F.col("id")), 0)
-    links = confirmed(likely(stars.select("a", "b").distinct(), sketches, percent), texts, percent)
+    links = confirmed(likely(stars, sketches, percent), texts, percent)
     joined, depth = written(components(links), "components"), 1
+
     while True:
-        for turn in range(1, STARS + 1 if depth == 1 else 2):
-            own = written(nodes.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
-            small, large = _split(own, everything=depth == DEPTH)
-            pairs = _listed_pairs(small)
-            if depth == 1 and turn < STARS:
-                pairs = pairs.union(_star_pairs(large, turn))
-            new = confirmed(likely(pairs.select("a", "b").distinct(), sketches, percent), texts, percent)
-            if not new.isEmpty():
-                links = links.union(new)
-                joined = written(components(links), "components")
-            nodes = large.select("node", "id")
-            if nodes.isEmpty():
-                break
-        if nodes.isEmpty():
+        members = nodes.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        small, large = _split(written(members, "members"), everything=depth == DEPTH)
+        pairs = _listed_pairs(small).union(_star_pairs(large, depth))
+        links = links.union(confirmed(likely(pairs, sketches, percent), texts, percent))
+        if large.isEmpty():
             break
+        joined = written(components(links), "components")
+        name = joined.select(F.col("id").alias("__id"), F.col("component").alias("__now"))
+        for c, own in (("component", "id"), ("main", "main")):  # what the new links have joined
+            large = large.join(name, F.col(own) == F.col("__id"), "left").withColumn(c, F.coalesce("__now", c)).drop("__id", "__now")
         crowds, nodes = _crowds(large, sketches, percent)
-        new = blocked_links(crowds, texts, percent)
-        if not new.isEmpty():
-            links = links.union(new)
-            joined = written(components(links), "components")
+        links = links.union(blocked_links(crowds, texts, percent))
         if nodes.isEmpty():
             break
+        joined = written(components(links), "components")
         deeper = nodes.join(vertices.select("id", "tokens"), "id")
         branches = F.explode(F.array(*[_chosen(F.col("node"), F.col("tokens"), depth, b) for b in range(BRANCHES)]))
         nodes = shared_nodes(deeper.select("id", branches.alias("node")).distinct())
         depth += 1
+    joined = written(components(links), "components")
     joined = joined.withColumnRenamed("id", "vertex")
     found = signed.select("id", "content", "n", "d1", "d2").join(groups, ["d1", "d2"], "left").withColumn("vertex", F.when(F.col("n") > 0, F.col("vertex")))
     found = found.join(joined, "vertex", "left").withColumn("component", F.when(F.col("id").isNotNull(), F.least("vertex", "component", "id")))
