@@ -132,8 +132,8 @@ def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", win
         windows, which, later, owner, _, _ = part.repeats(returned)
         gone = later | answered(returned, 2, owner, owners)[which]
         edge = np.zeros(len(part.hashes) + window + 1, np.int32)
-        np.add.at(edge, windows[gone], 1)
-        np.add.at(edge, windows[gone] + window, -1)
+        edge[windows[gone]] += 1  # every passage begins at a word of its own
+        edge[windows[gone] + window] -= 1
         kept = np.cumsum(edge)[: len(part.hashes)] == 0
         removed = part.n_words - np.add.reduceat(np.append(kept, False), np.minimum(part.firsts[:-1], len(kept))).astype(np.int64) * (part.n_words > 0)
         texts, base = [], 0

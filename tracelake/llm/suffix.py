@@ -100,11 +100,11 @@ class _Part:
     def anchors(self):
         """Distinct keys, whether two documents of the part have one, and each run's key."""
         unique, inverse = np.unique(self.key, return_inverse=True)
-        least = np.full(len(unique), LAST_ID)
-        most = np.full(len(unique), np.iinfo(np.int64).min)
-        np.minimum.at(least, inverse, self.doc)
-        np.maximum.at(most, inverse, self.doc)
-        return unique, least != most, inverse
+        order = np.argsort(inverse, kind="stable")
+        begins = np.searchsorted(inverse[order], np.arange(len(unique)))
+        doc = self.doc[order]
+        several = np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins) if len(unique) else np.empty(0, bool)
+        return unique, several, inverse
 
     def covers(self, runs: np.ndarray) -> np.ndarray:
         """The bytes that the strings of runs cover, filled up with zeros."""
@@ -331,8 +331,8 @@ def remove_shared(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> D
             run, step = np.nonzero(gone[mine])
             at = part.first[runs[mine]][run] + step
             edge = np.zeros(len(data) + WIDTH + 1, np.int32)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + WIDTH, -1)
+            edge[at] += 1  # every string begins at a place of its own
+            edge[at + WIDTH] -= 1
             removed = np.cumsum(edge)[: len(data)] > 0
             begins = removed.copy()
             begins[1:] &= ~removed[:-1]
