@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, planes, sorted_planes, unsorted_planes
+from .shared import new_path, planes, sorted_planes, trimmed, unsorted_planes
 
 #: Bytes of text in a part, and of text for each owner of keys.
-PART_BYTES, OWNER_BYTES = 8 << 20, 32 << 20
+PART_BYTES, OWNER_BYTES = 6 << 20, 24 << 20
 
 SENT = pa.schema([("owner", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("twice", pa.binary()), ("body", pa.binary())])
 SENT_DDL = "owner int, part int, keys binary, twice binary, body binary"
@@ -74,7 +74,7 @@ def shared_keys(sent: DataFrame, step: int) -> DataFrame:
             shared[np.searchsorted(unique, k[t])] = True
         return answers(table, [shared[np.searchsorted(unique, k)] for k in keys], step)
 
-    return sent.groupBy("owner").applyInArrow(own, ANSWER_DDL)
+    return sent.groupBy("owner").applyInArrow(lambda table: trimmed(own, table), ANSWER_DDL)
 
 
 def answered(returned: pa.Table, step: int, owners: np.ndarray, n: int, each: int = 1) -> np.ndarray:

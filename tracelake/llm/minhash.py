@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .graph import components
-from .shared import written
+from .shared import trimmed, written
 
 SHINGLE = 5
 #: Minwise tokens of a document, trees, and tokens by which a larger node branches.
@@ -89,6 +89,8 @@ def signatures(docs: DataFrame, id_: str, text: str) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(some * TOKENS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.ravel()), mask=pa.array(~some))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(n)), batch.column(1).slice(i, len(n)), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], schema=schema)
+            del sets
+            trimmed(bool)
 
     return docs.select(F.col(id_).cast("long").alias("id"), F.xxhash64(text), text).mapInArrow(sign, "id long, content long, n long, d1 long, d2 long, tokens array<long>")
 
@@ -152,7 +154,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             found.update(ids[others][_similar(centre, [sets[i] for i in others], percent)].tolist() if others else [])
         return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(sorted(found), pa.int64())})
 
-    return written(rows.groupBy("a", "deal").applyInArrow(compare, "a long, b long"), "links")
+    return written(rows.groupBy("a", "deal").applyInArrow(lambda table: trimmed(compare, table), "a long, b long"), "links")
 
 
 def _chosen(node: Column, tokens: Column, depth: int, branch: int) -> Column:
@@ -213,7 +215,7 @@ def with_candidates(crowds: DataFrame, sketches: DataFrame, percent: int) -> Dat
         some = [i for i in out if (((sketch[there] == sketch[i]).sum(1) >= least) & (component[there] != component[i])).any()]
         return pa.table({"crowd": table["crowd"].take(pa.array(some, pa.int64())), "id": table["id"].take(pa.array(some, pa.int64()))})
 
-    found = rows.groupBy("crowd", "block_out", "block_all").applyInArrow(compare, "crowd long, id long").distinct().withColumn("some", F.lit(True))
+    found = rows.groupBy("crowd", "block_out", "block_all").applyInArrow(lambda table: trimmed(compare, table), "crowd long, id long").distinct().withColumn("some", F.lit(True))
     return crowds.join(found, ["crowd", "id"], "left").filter(F.col("some") | ~F.col("outside")).drop("some")
 
 
@@ -247,7 +249,7 @@ def blocked_links(crowds: DataFrame, texts: DataFrame, percent: int) -> DataFram
                     found.append((ids[i], ids[ok[k]]))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return written(rows.groupBy("crowd", "block_out", "block_all").applyInArrow(compare, "a long, b long"), "links")
+    return written(rows.groupBy("crowd", "block_out", "block_all").applyInArrow(lambda table: trimmed(compare, table), "a long, b long"), "links")
 
 
 def _crowds(large: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,7 @@ gives no rows.
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -29,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import gapless_rank, written
+from .shared import gapless_rank, trimmed, written
 
 #: Texts are encoded in slices of so many bytes, which bounds a task's ids in memory.
 SLICE_BYTES = 1 << 20
 
 
+@functools.lru_cache(1)
 def load_encoder(vocabulary: str):
     """A function from texts to lists of ids.
 
@@ -97,6 +99,7 @@ def tokenise(docs: DataFrame, id_: str, text: str, capacity: int, end_id: int, v
                             kept.append(part.astype(np.int32))
                 out = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, [f.name for f in fields])
+            trimmed(bool)
 
     return docs.select(id_, text).mapInArrow(pieces, T.StructType(fields))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -58,6 +59,16 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[Column], rank: str
     return out.drop(cell, base, *[f"__{c}" for c in [*group, cell]])
 
 
+def trimmed(f, *arguments):
+    """f(*arguments); then memory that it has freed goes back to the system, as Python workers stay for later tasks."""
+    out = f(*arguments)
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+    return out
+
+
 def planes(values: np.ndarray) -> bytes:
     """The bytes of a number column, first all low bytes, then all second ones: Spark's codec shrinks the high ones."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .keysets import ANSWER_DDL, SENT, SENT_DDL, answered, answers, in_parts, received, send, shared_keys, table_of
-from .shared import unplanes, written
+from .shared import trimmed, unplanes, written
 
 BODY = np.dtype([("doc", "<i8"), ("at", "<i4")])
 LAST_ID = np.iinfo(np.int64).max
@@ -105,7 +105,7 @@ def first_places(sent: DataFrame, step: int) -> DataFrame:
         later[order] = (doc[order] != doc[first]) | (at[order] != at[first])
         return answers(table, np.split(later, np.cumsum([len(k) for k in keys])[:-1]), step)
 
-    return sent.groupBy("owner").applyInArrow(own, ANSWER_DDL)
+    return sent.groupBy("owner").applyInArrow(lambda table: trimmed(own, table), ANSWER_DDL)
 
 
 def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
@@ -145,12 +145,12 @@ def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", win
         added = [pa.array(part.n_words, pa.int64()), pa.array(removed, pa.int64()), pa.concat_arrays(texts) if texts else pa.array([], pa.string())]
         return pa.Table.from_arrays([*columns, *added], names=[*[f.name for f in inner], "n_words", "n_removed", "kept_text"])
 
-    probed = shared_keys(table.groupBy("part").applyInArrow(probe, SENT_DDL), 1)
+    probed = shared_keys(table.groupBy("part").applyInArrow(lambda key, rows: trimmed(probe, key, rows), SENT_DDL), 1)
     back = written(probed, "answers")
-    repeats = first_places(table.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(extend, SENT_DDL), 2)
+    repeats = first_places(table.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(lambda key, rows, returned: trimmed(extend, key, rows, returned), SENT_DDL), 2)
     both = back.unionByName(written(repeats, "answers"))
     out = T.StructType([*inner.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    found = table.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(cut, out)
+    found = table.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(lambda key, rows, returned: trimmed(cut, key, rows, returned), out)
     return found.toDF(*schema.names, "n_words", "n_removed", "kept_text")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .keysets import ANSWER_DDL, SENT, SENT_DDL, answered, answers, in_parts, received, send, table_of
-from .shared import unplanes, written
+from .shared import trimmed, unplanes, written
 
 WIDTH, GRAM = 50, 24
 #: Strings of WIDTH bytes that hold a given gram; no run is longer.
@@ -155,7 +155,7 @@ def settle(sent: DataFrame) -> DataFrame:
         cuts = np.cumsum([len(x) for x in keys])[:-1]
         return pa.concat_tables([answers(table, np.split(later, cuts), 2), answers(table, np.split(open_, cuts), 3)])
 
-    return sent.groupBy("owner").applyInArrow(own, ANSWER_DDL)
+    return sent.groupBy("owner").applyInArrow(lambda table: trimmed(own, table), ANSWER_DDL)
 
 
 def multikey_quicksort(words: np.ndarray, order: np.ndarray, segment: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +271,7 @@ def sort_edges(sent: DataFrame) -> DataFrame:
             a = b
         return answers(table, [x.ravel() for x in np.split(found, np.cumsum([len(k) for k in keys])[:-1])], 4)
 
-    return sent.groupBy("owner").applyInArrow(own, ANSWER_DDL)
+    return sent.groupBy("owner").applyInArrow(lambda table: trimmed(own, table), ANSWER_DDL)
 
 
 def two_documents(sent: DataFrame) -> DataFrame:
@@ -349,11 +349,11 @@ def remove_shared(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> D
         return pa.Table.from_arrays([*[rows[f.name].combine_chunks() for f in inner], *added.values()], names=[*[f.name for f in inner], *added])
 
     def pass_over(f, back: DataFrame) -> DataFrame:
-        return table.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(f, SENT_DDL)
+        return table.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(lambda key, rows, returned: trimmed(f, key, rows, returned), SENT_DDL)
 
-    back = written(two_documents(table.groupBy("part").applyInArrow(anchors, SENT_DDL)), "anchors")
+    back = written(two_documents(table.groupBy("part").applyInArrow(lambda key, rows: trimmed(anchors, key, rows), SENT_DDL)), "anchors")
     back = back.unionByName(written(settle(pass_over(contexts, back)), "contexts"))
     back = back.unionByName(written(sort_edges(pass_over(edges, back)), "edges"))
     added = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
-    found = table.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(cut, T.StructType([*inner.fields, *added]))
+    found = table.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(lambda key, rows, returned: trimmed(cut, key, rows, returned), T.StructType([*inner.fields, *added]))
     return found.toDF(*names, "n_bytes", "n_removed", "n_spans", "kept")
