@@ -34,7 +34,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; those of smaller sources up to half of them twice."""
-    return mixing.mix(docs).select(*COLUMNS)
+    return mixing.mix(docs, slots=False).select(*COLUMNS)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,12 +62,12 @@ def solve_exponent(tokens: list[int], target_entropy: float | None = None, repea
     return high
 
 
-def mix(docs: DataFrame, source: str = "source", text: str = "text", id_: str = "doc_id", target_entropy: float | None = None, repeat_limit: float | None = 1.5, budget: int | None = None, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", text: str = "text", id_: str = "doc_id", target_entropy: float | None = None, repeat_limit: float | None = 1.5, budget: int | None = None, seed: int = 7, slots: bool = True) -> DataFrame:
     """docs, each row as often as its source's weight says, with n_tokens, epoch (from 0), block_slot and source_weight.
 
     Tokens are counted as words over all documents. The driver sees one number for each source. Within an
     epoch a source's rows are ordered by a hash of their id, text and the epoch; block_slot numbers them
-    without gaps.
+    without gaps; without ``slots`` it is left out, and no row is moved between tasks.
     """
     cell, order, key = (column_name(docs, c) for c in ("mix_cell", "mix_order", "mix_source"))
     n_tokens = F.greatest(F.lit(1), F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))).cast("long")
@@ -84,19 +84,32 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", id_: str =
         whole = math.floor(k + 1e-9)
         rest = round((k - whole) * n) if k - whole > 1e-9 else 0
         plan.append((s, p, whole, rest))
-    planned = spark.createDataFrame(plan, f"{key} string, source_weight double, __whole int, __rest long")
-    # A row for each source: joined by a broadcast only while Spark finds it small enough.
-    epochs = rows.join(planned, key).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__whole"))))
-    epochs = epochs.filter((F.col("epoch") < F.col("__whole")) | (F.col("__rest") > 0))
     hash_ = F.xxhash64(F.col(id_), F.col(text), F.col("epoch"), F.lit(seed))
-    epochs = epochs.withColumn(order, hash_).withColumn(cell, F.shiftrightunsigned(order, 54).cast("int"))
-    # Where each cell begins, in rows and in tokens.
-    before = Window.partitionBy(key, "epoch").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    cells = epochs.groupBy(key, "epoch", cell).agg(F.count("*").alias("__n"), F.sum("n_tokens").alias("__t"))
-    cells = cells.select(key, "epoch", cell, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rows"), F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__tokens"))
+
+    def emitted(rows: DataFrame, plan: list[tuple], schema: str) -> DataFrame:
+        """A row for each row and epoch; the plan has a row for each source."""
+        out = rows.join(spark.createDataFrame(plan, schema), key).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__whole"))))
+        out = out.filter((F.col("epoch") < F.col("__whole")) | (F.col("__rest") > 0))
+        return out.withColumn(order, hash_).withColumn(cell, F.shiftrightunsigned(order, 54).cast("int"))
+
+    def cells_of(epochs: DataFrame) -> DataFrame:
+        """Where each cell of an epoch begins, in rows and in tokens."""
+        before = Window.partitionBy(key, "epoch").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+        cells = epochs.groupBy(key, "epoch", cell).agg(F.count("*").alias("__n"), F.sum("n_tokens").alias("__t"))
+        return cells.select(key, "epoch", cell, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rows"), F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__tokens"))
+
+    schema = f"{key} string, source_weight double, __whole int, __rest long"
     within = Window.partitionBy(key, "epoch", cell).orderBy(order, id_, F.col("n_tokens"))
-    out = epochs.join(cells, [key, "epoch", cell])
-    out = out.withColumn("block_slot", F.col("__rows") + F.row_number().over(within) - 1)
-    out = out.withColumn("__past", F.col("__tokens") + F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
-    out = out.filter((F.col("epoch") < F.col("__whole")) | (F.col("__past") < F.col("__rest")))
-    return out.drop(cell, order, key, "__rows", "__tokens", "__past", "__whole", "__rest")
+    # The last hash of each source that the cut epoch's budget reaches, from ids and counts alone.
+    last = emitted(rows, plan, schema).filter("epoch = __whole").select(key, "epoch", cell, order, id_, "n_tokens", "__rest")
+    past = F.col("__tokens") + F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+    last = last.join(cells_of(last), [key, "epoch", cell]).withColumn("__past", past).filter("__past < __rest")
+    # In the order of the cells, which is that of unsigned hashes.
+    unsigned = F.col(order).bitwiseXOR(F.lit(-(1 << 63)))
+    cuts = dict(last.groupBy(key).agg(F.max(unsigned)).collect())  # a number for each source
+    out = emitted(rows, [(*p, cuts.get(p[0])) for p in plan], f"{schema}, __cut long")
+    out = out.filter((F.col("epoch") < F.col("__whole")) | (unsigned <= F.col("__cut")))
+    if not slots:
+        return out.drop(cell, order, key, "__whole", "__rest", "__cut")
+    out = out.join(cells_of(out), [key, "epoch", cell]).withColumn("block_slot", F.col("__rows") + F.row_number().over(within) - 1)
+    return out.drop(cell, order, key, "__rows", "__tokens", "__whole", "__rest", "__cut")
