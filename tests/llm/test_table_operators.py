@@ -118,6 +118,20 @@ def test_ranked_vocabulary_gives_the_tokenizer_s_ids():
     assert a(texts) == b(texts)
 
 
+def test_added_tokens_get_the_tokenizer_s_ids(spark):
+    import public_tokenizers
+
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, end * 3, f"a  {end}  b", f" {end}\n\n{end} don't", f"<|{end}|>", "<|endoftext|", "<|ENDOFTEXT|>", f"é日本語{end[:-1]} {end}x", f"{'word ' * 1500}{end}{'word ' * 900}"]
+    a, b = (packing.load_encoder(public_tokenizers.path(f"byte_bpe_50k.{k}")) for k in ("json", "tiktoken"))
+    assert b(texts[:1]) == [[64, 50256, 65]]
+    assert a(texts) == b(texts)
+    got = collections.defaultdict(list)
+    for r in packing.pack(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), with_ids=True).collect():
+        got[r.doc_id].append((r.piece, r.ids))
+    assert [[x for _, ids in sorted(got[i]) for x in ids] for i in range(len(texts))] == [[*ids, 2] for ids in a(texts)]
+
+
 def test_archives_round_trip(spark):
     rng = random.Random(5)
     pages = [(i, f"http://x/{i}", "<p>" + "word " * rng.randrange(300) + str(i) + "é") for i in range(300)]
