@@ -74,6 +74,22 @@ def test_cycles_lose_their_last_edge(spark):
     assert sorted((r.child, r.code) for r in wrong.collect()) == [("c", "invalid_parent_order_or_cycle"), ("e", "parent_not_observed"), ("f", "invalid_parent_order_or_cycle"), ("g", "invalid_parent_order_or_cycle")]
 
 
+def test_ancestors_have_no_depth_limit(spark):
+    n = 260
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "c long, p long")
+    got = {(r.node, r.ancestor): r.depth for r in graph.ancestors(chain, "c", "p").collect()}
+    assert got == {(i, k): k - i for i in range(n) for k in range(i + 1, n + 1)}
+    # A cycle of 130 with a tail of one, and two ways of different length.
+    m = 130
+    rows = [(i, (i + 1) % m) for i in range(m)] + [(500, 0), (600, 601), (601, 602), (600, 602)]
+    found = graph.ancestors(spark.createDataFrame(rows, "c long, p long"), "c", "p").collect()
+    want = {(i, k): (k - i) % m or m for i in range(m) for k in range(m)} | {(500, k): k + 1 for k in range(m)} | {(600, 601): 1, (600, 602): 1, (601, 602): 1}
+    assert {(r.node, r.ancestor): r.depth for r in found} == want and len(found) == len(want)
+    ring = spark.createDataFrame([(i, (i + 1) % m, i) for i in range(m)], "id long, parent long, n long").withColumn("ts", F.timestamp_seconds(F.lit(0)))
+    edges, wrong = graph.parent_edges(ring, "id", "parent", "ts", ["n"])
+    assert edges.count() == m - 1 and [tuple(r) for r in wrong.select("child", "code").collect()] == [(m - 1, "invalid_parent_order_or_cycle")]
+
+
 def test_hash_chain_shows_tampering(spark):
     df = spark.createDataFrame([(k, i, f"p{k}{i}") for k in "ab" for i in range(5)], "k string, i long, payload string")
     links = governance.chain(df, ["k"], ["i"], F.col("payload"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,21 +53,31 @@ def _cycle_closers(edges: DataFrame) -> DataFrame:
     return last.select("child").distinct()
 
 
-def ancestors(edges: DataFrame, child: str, parent: str, levels: int = 100) -> DataFrame:
-    """(node, ancestor, depth) of all chains of parents, by a recursive query. Each pair once, at its least depth.
+def _written(df: DataFrame) -> DataFrame:
+    """df, computed once and read back from the folder of spark.checkpoint.dir, or from a temporary one where none is set."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracelake-")
+    path = f"{at.rstrip('/')}/ancestors-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    A node on a cycle is its own ancestor. Chains longer than ``levels`` are an error of Spark, not cut.
+
+def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, ancestor, depth) of all chains of parents, however long. Each pair once, at its least depth.
+
+    A node on a cycle is its own ancestor. Chains double in length with each round: those of exactly ``length``
+    are continued by all known ones, until there are none of that length, so there is none beyond it either.
     """
-    spark = edges.sparkSession
-    view = f"edges_{uuid.uuid4().hex}"
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).createOrReplaceTempView(view)
-    text = f"""
-        WITH RECURSIVE up(node, ancestor, depth, done) MAX RECURSION LEVEL {levels} AS (
-            SELECT c, p, 1, c = p FROM {view}
-            UNION ALL
-            SELECT up.node, e.p, up.depth + 1, e.p = up.node FROM up JOIN {view} e ON e.c = up.ancestor WHERE NOT up.done AND up.depth < {levels - 1})
-        SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor"""
-    return spark.sql(text)
+    reach = _written(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    length = 1
+    while True:
+        far = reach.filter(F.col("depth") == length).select("node", F.col("ancestor").alias("__via"))
+        if far.isEmpty():
+            return reach
+        above = reach.select(F.col("node").alias("__via"), "ancestor", (F.col("depth") + length).alias("depth"))
+        longer = far.join(above, "__via").select("node", "ancestor", "depth")
+        reach = _written(reach.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        length *= 2
 
 
 def attach(nodes_: DataFrame, activity: DataFrame, keys: list[str], node_ts: str, activity_ts: str) -> tuple[DataFrame, DataFrame]:
