@@ -94,6 +94,35 @@ def test_crowds_of_loosely_similar_documents(spark, monkeypatch):
         assert sorted(map(tuple, found)) == expected
 
 
+def test_large_nodes_are_never_listed(spark, monkeypatch):
+    """Many documents that resemble each other below the threshold: they don't branch without end, nor are their pairs listed."""
+    rng = random.Random(9)
+    base = prose(rng, 200)
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(9):
+            copy[rng.randrange(len(copy))] = f"y{rng.randrange(9999)}"
+        rows.append((i, " ".join(copy)))
+    expected = [(i, c) for (i, _), (_, c) in zip(rows, brute.near(rows))]
+    listed, list_pairs = [], minhash._listed_pairs
+
+    def counted(members):
+        pairs = list_pairs(members)
+        listed.append((pairs.select("node", "a", "b").distinct().count(), members.count()))
+        return pairs
+
+    monkeypatch.setattr(minhash, "_listed_pairs", counted)
+    for k, v in {"SMALL": 3, "OUTSIDE": 2, "OUTSIDE_SKETCHED": 2, "GROUP": 64}.items():
+        monkeypatch.setattr(minhash, k, v)
+    for depth in (1, 3):
+        monkeypatch.setattr(minhash, "DEPTH", depth)
+        listed.clear()
+        found = minhash.near_duplicates(frame(spark, rows)).select("doc_id", "component_id").collect()
+        assert sorted(map(tuple, found)) == expected
+        assert all(pairs <= 3 * members for pairs, members in listed), (depth, listed)
+
+
 def test_quality_counts_and_verdict(spark, rows):
     out = quality.judge(frame(spark, rows)).select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     compared(out.collect(), rows, [brute.quality(t) for _, t in rows])

@@ -11,7 +11,9 @@ So that groups of thousands of copies don't make all their pairs, every document
 one document of it, and linked documents become components. From then on only pairs of different components
 count: a node lists them all where they are few for its size; a larger one is given another such star. Where
 few documents then remain outside a node's main component, these are compared with all of the crowd, block by
-block; other nodes branch. Candidates whose minwise
+block; other nodes branch. Documents that resemble each other below the threshold share most branches, so that
+branching gives more comparisons than it saves: nodes whose branches don't have clearly fewer pairs between
+components, and all large nodes of the last level, are compared block by block too. Candidates whose minwise
 tokens agree too seldom for the threshold, by a margin of five deviations, are left out; all others are compared
 on their full sets. Texts of equal word sequences are one vertex from the beginning.
 
@@ -36,9 +38,11 @@ from .shared import trimmed, written
 SHINGLE = 5
 #: Minwise tokens of a document, trees, and tokens by which a larger node branches.
 TOKENS, TREES, BRANCHES = 48, 12, 2
-#: Comparisons for each document up to which a node is compared exhaustively, and levels; at the last level
-#: every node is compared exhaustively.
+#: Comparisons for each document up to which a node's pairs are listed, and levels; at the last level larger
+#: nodes are compared in blocks.
 SMALL, DEPTH = 48, 8
+#: Pairs between components in a node's branches, of those in the node, up to which it branches.
+BRANCHED = 0.75
 #: Documents outside a crowd's main component up to which they are compared with the whole crowd, in blocks.
 OUTSIDE = 4096
 #: The same for the comparison of their tokens alone, which comes first.
@@ -170,7 +174,7 @@ def _star_pairs(own: DataFrame, turn: int) -> DataFrame:
     return both.select("node", F.col("centre.a").alias("a"), F.col("id").alias("b"))
 
 
-def _split(own: DataFrame, everything: bool) -> tuple[DataFrame, DataFrame]:
+def _split(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members of nodes to be listed, members of those that are too large): nodes in one component are done with.
 
     A node is listed if its pairs between components are no more than SMALL for each document of it.
@@ -178,7 +182,7 @@ def _split(own: DataFrame, everything: bool) -> tuple[DataFrame, DataFrame]:
     parts = own.groupBy("node", "component").agg(F.count("*").alias("n"))
     nodes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("within"), F.max_by("component", "n").alias("main"))
     nodes = nodes.withColumn("across", (F.col("size") * F.col("size") - F.col("within")) / 2).filter("across > 0")
-    small = F.lit(True) if everything else F.col("across") <= SMALL * F.col("size")
+    small = F.col("across") <= SMALL * F.col("size")
     told = written(own.join(nodes.select("node", "main", small.alias("small")), "node"), "mixed")
     return told.filter("small"), told.filter("not small")
 
@@ -252,24 +256,43 @@ def blocked_links(crowds: DataFrame, texts: DataFrame, percent: int) -> DataFram
     return written(rows.groupBy("crowd", "block_out", "block_all").applyInArrow(lambda table: trimmed(compare, table), "a long, b long"), "links")
 
 
+def _merged(large: DataFrame) -> DataFrame:
+    """Crowds (crowd, id, component, outside) of the members of large nodes: nodes with one main component are one, whatever their trees."""
+    members = large.groupBy(F.col("main").alias("crowd"), "id").agg(F.first("component").alias("component"))
+    return written(members.withColumn("outside", F.col("component") != F.col("crowd")), "crowds")
+
+
 def _crowds(large: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(crowds, members of nodes to branch) of the members of large nodes.
+    """(crowds, large members of nodes that may branch) of the members of large nodes.
 
-    Nodes with one main component are one crowd, whatever their trees. Documents that are no candidate for any
-    other component in the crowd are done with. The rest is compared in blocks if no more than OUTSIDE
-    documents are outside the component.
+    Documents that are no candidate for any other component in the crowd are done with. The rest is compared
+    in blocks if no more than OUTSIDE documents are outside the component.
     """
-    members = large.groupBy(F.col("main").alias("crowd"), "id").agg(F.first("component").alias("component")).withColumn("outside", F.col("component") != F.col("crowd"))
 
     def fits(crowds: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
         few = crowds.groupBy("crowd").agg(F.count_if(F.col("outside")).alias("n")).filter(F.col("n") <= most).select("crowd")
         return crowds.join(few, "crowd", "left_semi"), crowds.join(few, "crowd", "left_anti")
 
-    members = written(members, "crowds")
-    few, many = fits(members, OUTSIDE_SKETCHED)
+    few, many = fits(_merged(large), OUTSIDE_SKETCHED)
     few, still = fits(written(with_candidates(few, sketches, percent), "crowds"), OUTSIDE)
-    rest = large.join(many.union(still).select(F.col("crowd").alias("main"), "id"), ["main", "id"], "left_semi").select("node", "id")
-    return few, rest
+    rest = large.join(many.union(still).select(F.col("crowd").alias("main"), "id"), ["main", "id"], "left_semi")
+    return few, written(rest.select("node", "id", "component", "main"), "rest")
+
+
+def _branched(rest: DataFrame, tokens: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(members (node, id) of the branches, members of the nodes that would hardly have fewer pairs by branching)."""
+    branches = F.explode(F.array(*[_chosen(F.col("node"), F.col("tokens"), depth, b) for b in range(BRANCHES)]))
+    below = written(rest.join(tokens, "id").select("node", "id", "component", branches.alias("branch")).distinct(), "branches")
+
+    def across(members: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """Twice the pairs between components, a row for each node."""
+        parts = members.groupBy(*keys, "component").agg(F.count("*").cast("double").alias("n"))
+        sizes = parts.groupBy(*keys).agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
+        return sizes.groupBy("node").agg(F.sum("pairs").alias(name))
+
+    fewer = across(rest, ["node"], "pairs").join(across(below, ["node", "branch"], "branch_pairs"), "node")
+    fewer = written(fewer.filter(F.col("branch_pairs") <= BRANCHED * F.col("pairs")).select("node"), "fewer")
+    return below.join(fewer, "node", "left_semi").select(F.col("branch").alias("node"), "id").distinct(), rest.join(fewer, "node", "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -295,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", pe
 
     while True:
         members = nodes.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        small, large = _split(written(members, "members"), everything=depth == DEPTH)
+        small, large = _split(written(members, "members"))
         pairs = _listed_pairs(small).union(_star_pairs(large, depth))
         links = links.union(confirmed(likely(pairs, sketches, percent), texts, percent))
         if large.isEmpty():
@@ -304,14 +327,17 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", pe
         name = joined.select(F.col("id").alias("__id"), F.col("component").alias("__now"))
         for c, own in (("component", "id"), ("main", "main")):  # what the new links have joined
             large = large.join(name, F.col(own) == F.col("__id"), "left").withColumn(c, F.coalesce("__now", c)).drop("__id", "__now")
-        crowds, nodes = _crowds(large, sketches, percent)
+        crowds, rest = _crowds(large, sketches, percent)
         links = links.union(blocked_links(crowds, texts, percent))
-        if nodes.isEmpty():
+        if rest.isEmpty():
+            break
+        nodes, alike = (None, rest) if depth == DEPTH else _branched(rest, vertices.select("id", "tokens"), depth)
+        if not alike.isEmpty():
+            links = links.union(blocked_links(with_candidates(_merged(alike), sketches, percent), texts, percent))
+        if nodes is None or nodes.isEmpty():
             break
         joined = written(components(links), "components")
-        deeper = nodes.join(vertices.select("id", "tokens"), "id")
-        branches = F.explode(F.array(*[_chosen(F.col("node"), F.col("tokens"), depth, b) for b in range(BRANCHES)]))
-        nodes = shared_nodes(deeper.select("id", branches.alias("node")).distinct())
+        nodes = shared_nodes(nodes)
         depth += 1
     joined = written(components(links), "components")
     joined = joined.withColumnRenamed("id", "vertex")
