@@ -211,6 +211,64 @@ def test_forest_recall_and_edges(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def brute_top(rows, k=5, every=50):
+    """{query: [(vec_id, score)]} in exact cosines of clean rows; a repeated query id is its least vector."""
+    clean = [(i, np.array(v, float)) for i, v in rows]
+    clean = [(i, np.ldexp(v, -np.frexp(np.abs(v).max())[1])) for i, v in clean]
+    out = {}
+    for q in {i for i, _ in clean if i % every == 0}:
+        v = min((v.tolist() for i, v in rows if i == q))
+        v = np.ldexp(np.array(v), -np.frexp(np.abs(v).max())[1])
+        scores = [(-float((u * v).sum() / (np.sqrt((u * u).sum()) * np.sqrt((v * v).sum()))), i) for i, u in clean if i != q]
+        out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
+    return out
+
+
+def found_top(df, **parameters):
+    got = collections.defaultdict(list)
+    for r in sorted(ann.search(df, **parameters).collect(), key=lambda r: r.rank):
+        assert r.rank == len(got[r.query_id]) + 1
+        got[r.query_id].append((r.vec_id, r.score))
+    return dict(got)
+
+
+def vector_frame(spark, rows):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+
+
+def test_small_tables_return_every_neighbour(spark):
+    """Blocks of up to least_visits vectors are compared in full: exact results, fewer than k only where there are no more."""
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 4, 5, 6, 7, 10, 30, 60, 64, 65, 100):
+        rows = [(i, rng.standard_normal(16)) for i in range(n)]
+        want = {q: top for q, top in brute_top(rows).items() if top}
+        assert found_top(vector_frame(spark, rows)) == want, n
+    assert found_top(vector_frame(spark, rows), block_rows=7) == brute_top(rows)
+
+
+def test_magnitudes_ties_and_repeats_of_vectors(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((40, 8))
+    rows = [(i, base[i % 40] * 10.0 ** (0, 200, -200, -300, 100)[i % 5]) for i in range(120)]
+    rows += [(50, base[3]), (50, base[3]), (50, -base[4]), (7, base[7]), (7, base[7])] + [(700 + i, base[10]) for i in range(30)]
+    assert found_top(vector_frame(spark, rows)) == brute_top(rows)
+
+
+def test_recall_on_clusters_and_copies(spark):
+    """Blocks larger than least_visits: random directions, clusters, and one vector in a third of all rows."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((20, 24))
+    rows = [(i, centres[i % 20] + 0.3 * rng.standard_normal(24)) for i in range(1000)]
+    rows += [(1000 + i, rng.standard_normal(24)) for i in range(1000)]
+    hot = rng.standard_normal(24)
+    rows += [(2000 + i, hot) for i in range(1000)]
+    found, want = found_top(vector_frame(spark, rows), least_visits=50, block_rows=1500), brute_top(rows)
+    assert found.keys() == want.keys() and all(len(x) == 5 for x in found.values())
+    for low, high in ((0, 1000), (1000, 2000), (2000, 3000)):
+        asked = [q for q in want if low <= q < high]
+        assert sum(len(set(found[q]) & set(want[q])) for q in asked) >= 0.9 * 5 * len(asked), (low, high)
+
+
 def test_mixing_meets_its_limit_and_loses_nothing(spark):
     rows = many(300)
     got = mixing.mix(docs(spark, rows), repeat_limit=2.0).collect()
