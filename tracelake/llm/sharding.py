@@ -7,8 +7,9 @@ the cell of keys that holds it is probed again, more finely, until every splitte
 lies between two neighbouring keys. Then the rows are exchanged once.
 
 Null texts count as empty. Rows without an id, repeated rows and equal keys are kept, each with a slot of
-its own; their order among each other is that of their id and text checksum. Other columns pass through.
-An empty table gives no rows.
+its own; their order among each other is that of their id and text checksum. Texts of any length are one row; one
+that is longer than a shard fills a shard alone. Other columns pass through, whatever their names; columns named size,
+shard or slot are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -88,6 +89,7 @@ def shard(docs: DataFrame, shards: int = 16, id_: str = "doc_id", text: str = "t
     whole rows allow. Each shard is cut into ``pieces`` ranges, placed loosely, so that no task sorts a
     whole shard; slots are numbered from the pieces' exact counts (shards * pieces numbers in all).
     """
+    docs = docs.drop("shard", "slot")
     key, size = column_name(docs, "sort_key"), "size"
     rows = docs.withColumn(size, text_bytes(text) + 1).withColumn(key, sort_key(id_, text))
     slim = written(rows.select(key, size), "shard-keys")
@@ -107,12 +109,12 @@ def shard(docs: DataFrame, shards: int = 16, id_: str = "doc_id", text: str = "t
     for c in range(1 << lead):
         lo, hi = bisect.bisect_right(cuts, c << (KEY_BITS - lead)), bisect.bisect_left(cuts, (c + 1) << (KEY_BITS - lead))
         table.append((c, lo, cuts[lo:hi]))
-    cells = spark.createDataFrame(table, "lead long, before int, cuts array<long>")  # always 2 ** lead rows
-    piece, base = column_name(docs, "piece_no"), column_name(docs, "piece_base")
+    piece, base, own, before, few, there = (column_name(docs, c) for c in ("piece_no", "piece_base", "key_lead", "cuts_before", "near_cuts", "piece_there"))
+    cells = spark.createDataFrame(table, f"`{own}` long, `{before}` int, `{few}` array<long>")  # always 2 ** lead rows
 
     def placed(df: DataFrame) -> DataFrame:
-        at = df.join(F.broadcast(cells), F.shiftrightunsigned(df[key], KEY_BITS - lead) == cells["lead"])
-        return at.withColumn(piece, F.col("before") + F.size(F.filter("cuts", lambda c: c <= F.col(key)))).drop("lead", "before", "cuts")
+        at = df.join(F.broadcast(cells), F.shiftrightunsigned(df[key], KEY_BITS - lead) == cells[own])
+        return at.withColumn(piece, F.col(before) + F.size(F.filter(few, lambda c: c <= F.col(key)))).drop(own, before, few)
 
     counts = dict(placed(slim).groupBy(piece).count().collect())  # shards * pieces rows
     bases, seen = [], 0
@@ -120,8 +122,8 @@ def shard(docs: DataFrame, shards: int = 16, id_: str = "doc_id", text: str = "t
         seen = 0 if i % pieces == 0 else seen
         bases.append((i, seen))
         seen += counts.get(i, 0)
-    starts = spark.createDataFrame(bases, f"__piece int, {base} long")
+    starts = spark.createDataFrame(bases, f"`{there}` int, `{base}` long")  # shards * pieces rows
     within = Window.partitionBy(piece).orderBy(key, id_, F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     out = placed(rows).withColumn("slot", F.row_number().over(within) - 1)
-    out = out.join(F.broadcast(starts), out[piece] == starts["__piece"])
-    return out.withColumn("slot", F.col("slot") + F.col(base)).withColumn("shard", F.expr(f"int({piece} div {pieces})")).drop("__piece", base, piece, key)
+    out = out.join(F.broadcast(starts), out[piece] == starts[there])
+    return out.withColumn("slot", F.col("slot") + F.col(base)).withColumn("shard", F.expr(f"int(`{piece}` div {pieces})")).drop(there, base, piece, key)
