@@ -6,8 +6,10 @@ import zlib
 import brute
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tracelake.llm import ann, licenses, mixing, packing, sharding, warc
 from tracelake.llm.license_texts import KNOWN
@@ -301,6 +303,96 @@ def test_mixing_meets_its_limit_and_loses_nothing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def spark_hash(*values):
+    """xxhash64() of Spark: each value's hash is the next one's seed, nulls change nothing."""
+    h = 42
+    for v, size in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(size, "little", signed=True), seed=h)
+    return h
+
+
+CLASHES = ("before", "cuts", "lead", "__piece", "piece_no", "sort_key", "size", "shard", "slot", "source_weight", "__rest", "__whole", "mix_cell", "n_tokens", "epoch", "block_slot", "cell", "__cut", "piece_base")
+
+
+def clashing(spark, rows):
+    """A table with every helper's and result's name among its columns."""
+    df = docs(spark, rows).select("doc_id", "text", "source")
+    for c in CLASHES:
+        df = df.withColumn(c, F.lit(f"own {c}"))
+    return df
+
+
+def test_shards_match_brute_force(spark):
+    """Keys sorted, slots in the order of (key, id, checksum), and every boundary as near to its even place as a key allows."""
+    rows = many(250, seed=3)
+    got = sharding.shard(clashing(spark, rows), shards=8, pieces=4, tolerance=0.001).collect()
+    for c in set(CLASHES) - {"size", "shard", "slot"}:
+        assert all(r[c] == f"own {c}" for r in got)
+
+    def place(i, t):
+        key = spark_hash((t or "", 0)) >> 25 << 24 | spark_hash((i, 8)) >> 40
+        return key, -1 if i is None else i, zlib.crc32((t or "").encode())
+
+    order = sorted(rows, key=lambda r: place(r[0], r[1]))
+    found = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [(r.doc_id, r.text or "") for r in found] == [(i, t or "") for i, t, _ in order]
+    sizes = [len((t or "").encode()) + 1 for _, t, _ in order]
+    total, below, edges = sum(sizes), 0, {0: 0}
+    for k, (row, n) in enumerate(zip(order, sizes)):
+        if k and place(row[0], row[1])[0] != place(order[k - 1][0], order[k - 1][1])[0]:
+            edges[k] = below
+        below += n
+    edges[len(order)] = total
+    for s in range(1, 8):
+        at = sum(r.shard < s for r in found)
+        off, best = abs(edges[at] - total * s / 8), min(abs(n - total * s / 8) for n in edges.values())
+        assert off <= max(best, 0.001 * total / 8)
+
+
+def test_mixing_matches_brute_force(spark, monkeypatch):
+    """Every row of every epoch: whole passes, then the rows in the order of their hashes until the budget is used up."""
+    monkeypatch.setattr(mixing, "CELL_TOKENS", 50)
+    rows = many(200, seed=5)
+    got = mixing.mix(clashing(spark, rows), repeat_limit=1.7).collect()
+    for c in set(CLASHES) - {"n_tokens", "epoch", "block_slot", "source_weight"}:
+        assert all(r[c] == f"own {c}" for r in got)
+    sources = collections.defaultdict(list)
+    for i, t, s in rows:
+        sources[s].append((i, t, max(1, len(brute.words(t)))))
+    names = sorted(sources, key=lambda s: (s is not None, s or ""))
+    tokens = [sum(n for _, _, n in sources[s]) for s in names]
+    low, high = 0.0, 1.0  # the least exponent at which no source is emitted more than 1.7 times
+    for _ in range(60):
+        a = (low + high) / 2
+        per = [n ** (a - 1) for n in tokens]
+        low, high = (a, high) if max(per) / min(per) > 1.7 else (low, a)
+    per = [n ** (high - 1) for n in tokens]
+    expected = collections.Counter()
+    for s, n, p in zip(names, tokens, per):
+        passes = p / min(per)
+        for epoch in range(math.ceil(passes - 1e-9)):
+            rest = n if epoch < math.floor(passes + 1e-9) else round((passes - math.floor(passes + 1e-9)) * n)
+            order = sorted(sources[s], key=lambda r: (spark_hash((r[0], 8), (r[1], 0), (epoch, 4), (7, 4)), -1 if r[0] is None else r[0], r[2]))
+            used, slot = 0, 0
+            for i, t, m in order:
+                if used >= rest:
+                    break
+                expected[i, t, s, m, epoch, slot] += 1
+                used, slot = used + m, slot + 1
+    assert collections.Counter((r.doc_id, r.text, r.source, r.n_tokens, r.epoch, r.block_slot) for r in got) == expected
+    weights = {r.source: r.source_weight for r in got}
+    assert all(abs(weights[s] - n**high / sum(x**high for x in tokens)) < 1e-9 for s, n in zip(names, tokens))
+
+
+def test_mixing_without_broadcast_or_slots(spark, monkeypatch):
+    rows = many(120, seed=6)
+    want = collections.Counter((r.doc_id, r.text, r.epoch) for r in mixing.mix(docs(spark, rows)).collect())
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert collections.Counter((r.doc_id, r.text, r.epoch) for r in mixing.mix(docs(spark, rows), slots=False).collect()) == want
+    assert mixing.mix(docs(spark, []), slots=False).columns == ["doc_id", "text", "source", "shard", "rank", "n_tokens", "epoch", "source_weight"]
+
+
 def test_exponent_is_bisected_to_the_target():
     tokens = [10_000, 1000, 100, 10]
     a = mixing.solve_exponent(tokens, repeat_limit=4)

@@ -8,7 +8,9 @@ budget is used up.
 
 With no budget given, it is the least with which every source is emitted whole at least once, so that no
 document is lost. Null sources are one source. Null and blank texts count one token, so that they are placed
-too. Rows without an id and repeated rows are emitted like others. Other columns pass through.
+too. Rows without an id and repeated rows are emitted like others, ties of hashes in the order of ids, then counts;
+texts are emitted whole, whatever their length. Other columns pass through, whatever their names; those named
+n_tokens, epoch, block_slot or source_weight are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,8 +22,11 @@ from pyspark.sql import functions as F
 
 from .shared import column_name, written
 
-#: Cells into which a source's documents are dealt, so that no task orders a whole source.
-CELLS = 1024
+#: Tokens of a cell, about, and bits of the hash that tell cells apart. A source is dealt into cells, so that no task
+#: orders a whole source.
+CELL_TOKENS, LEAST_BITS, MOST_BITS = 1 << 20, 6, 30
+#: Sources up to which the plan, a row of some numbers for each, is broadcast.
+FEW_SOURCES = 100_000
 
 
 def weights(tokens: list[int], exponent: float) -> list[float]:
@@ -69,13 +74,17 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", id_: str =
     epoch a source's rows are ordered by a hash of their id, text and the epoch; block_slot numbers them
     without gaps; without ``slots`` it is left out, and no row is moved between tasks.
     """
-    cell, order, key = (column_name(docs, c) for c in ("mix_cell", "mix_order", "mix_source"))
+    docs = docs.drop("n_tokens", "epoch", "block_slot", "source_weight")
+    cell, order, key, passes_, rest_, cut_ = (column_name(docs, c) for c in ("mix_cell", "mix_order", "mix_source", "mix_passes", "mix_rest", "mix_cut"))
+    first_row, first_token, past_ = (column_name(docs, c) for c in ("mix_first_row", "mix_first_token", "mix_past"))
     n_tokens = F.greatest(F.lit(1), F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))).cast("long")
     rows = docs.withColumn("n_tokens", n_tokens).withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
     spark = docs.sparkSession
     per_source = {r[0]: r[1] for r in written(rows.groupBy(key).agg(F.sum("n_tokens").alias("n")), "mix-sources").collect()}
     if not per_source:
-        return rows.withColumn("epoch", F.lit(0)).withColumn("block_slot", F.lit(0).cast("long")).withColumn("source_weight", F.lit(0.0)).drop(key)
+        empty = rows.withColumn("epoch", F.lit(0)).withColumn("source_weight", F.lit(0.0)).drop(key)
+        return empty.withColumn("block_slot", F.lit(0).cast("long")) if slots else empty
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(per_source.values()) / CELL_TOKENS))))
     names = sorted(per_source)
     tokens = [per_source[s] for s in names]
     shares = weights(tokens, solve_exponent(tokens, target_entropy, repeat_limit, budget))
@@ -88,28 +97,29 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", id_: str =
 
     def emitted(rows: DataFrame, plan: list[tuple], schema: str) -> DataFrame:
         """A row for each row and epoch; the plan has a row for each source."""
-        out = rows.join(spark.createDataFrame(plan, schema), key).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__whole"))))
-        out = out.filter((F.col("epoch") < F.col("__whole")) | (F.col("__rest") > 0))
-        return out.withColumn(order, hash_).withColumn(cell, F.shiftrightunsigned(order, 54).cast("int"))
+        table = spark.createDataFrame(plan, schema)
+        out = rows.join(F.broadcast(table) if len(plan) <= FEW_SOURCES else table, key).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col(passes_))))
+        out = out.filter((F.col("epoch") < F.col(passes_)) | (F.col(rest_) > 0))
+        return out.withColumn(order, hash_).withColumn(cell, F.shiftrightunsigned(order, 64 - bits).cast("int"))
 
     def cells_of(epochs: DataFrame) -> DataFrame:
         """Where each cell of an epoch begins, in rows and in tokens."""
         before = Window.partitionBy(key, "epoch").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-        cells = epochs.groupBy(key, "epoch", cell).agg(F.count("*").alias("__n"), F.sum("n_tokens").alias("__t"))
-        return cells.select(key, "epoch", cell, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rows"), F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__tokens"))
+        cells = epochs.groupBy(key, "epoch", cell).agg(F.count("*").alias(first_row), F.sum("n_tokens").alias(first_token))
+        return cells.select(key, "epoch", cell, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in (first_row, first_token)])
 
-    schema = f"{key} string, source_weight double, __whole int, __rest long"
+    schema = f"`{key}` string, source_weight double, `{passes_}` int, `{rest_}` long"
     within = Window.partitionBy(key, "epoch", cell).orderBy(order, id_, F.col("n_tokens"))
     # The last hash of each source that the cut epoch's budget reaches, from ids and counts alone.
-    last = emitted(rows, plan, schema).filter("epoch = __whole").select(key, "epoch", cell, order, id_, "n_tokens", "__rest")
-    past = F.col("__tokens") + F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    last = last.join(cells_of(last), [key, "epoch", cell]).withColumn("__past", past).filter("__past < __rest")
+    last = emitted(rows, plan, schema).filter(F.col("epoch") == F.col(passes_)).select(key, "epoch", cell, order, id_, "n_tokens", rest_)
+    past = F.col(first_token) + F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+    last = last.join(cells_of(last), [key, "epoch", cell]).withColumn(past_, past).filter(F.col(past_) < F.col(rest_))
     # In the order of the cells, which is that of unsigned hashes.
     unsigned = F.col(order).bitwiseXOR(F.lit(-(1 << 63)))
     cuts = dict(last.groupBy(key).agg(F.max(unsigned)).collect())  # a number for each source
-    out = emitted(rows, [(*p, cuts.get(p[0])) for p in plan], f"{schema}, __cut long")
-    out = out.filter((F.col("epoch") < F.col("__whole")) | (unsigned <= F.col("__cut")))
+    out = emitted(rows, [(*p, cuts.get(p[0])) for p in plan], f"{schema}, `{cut_}` long")
+    out = out.filter((F.col("epoch") < F.col(passes_)) | (unsigned <= F.col(cut_)))
     if not slots:
-        return out.drop(cell, order, key, "__whole", "__rest", "__cut")
-    out = out.join(cells_of(out), [key, "epoch", cell]).withColumn("block_slot", F.col("__rows") + F.row_number().over(within) - 1)
-    return out.drop(cell, order, key, "__rows", "__tokens", "__whole", "__rest", "__cut")
+        return out.drop(cell, order, key, passes_, rest_, cut_)
+    out = out.join(cells_of(out), [key, "epoch", cell]).withColumn("block_slot", F.col(first_row) + F.row_number().over(within) - 1)
+    return out.drop(cell, order, key, first_row, first_token, passes_, rest_, cut_)
