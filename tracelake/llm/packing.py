@@ -36,6 +36,8 @@ from .shared import gapless_rank, trimmed, written
 
 #: Texts are encoded in slices of so many bytes, which bounds a task's ids in memory.
 SLICE_BYTES = 1 << 20
+#: The pieces of one length are dealt into cells of about so many, and into so many cells at least.
+CELL_PIECES, LEAST_CELLS = 1 << 19, 64
 
 
 def added_tokens(vocabulary: str) -> dict[str, int]:
@@ -210,5 +212,7 @@ def pack(docs: DataFrame, id_: str = "doc_id", text: str = "text", capacity: int
         bins, place = np.divmod(k - first_rank[at], per[at])
         return pd.DataFrame({"sequence_id": first_bin[at] + bins, "offset": offset[at] + place * n})
 
-    ranked = gapless_rank(pieces, ["length"], [F.col(id_), F.col("piece"), F.col("ids_crc32")], "__rank", spread=[F.col(id_), F.col("piece"), F.col("ids_crc32")])
+    by = [F.col(id_), F.col("piece"), F.col("ids_crc32")]
+    cells = max(LEAST_CELLS, -(-max(counts.values(), default=0) // CELL_PIECES))
+    ranked = gapless_rank(pieces, ["length"], by, "__rank", cells=cells, spread=by)
     return ranked.withColumn("__at", place("length", "__rank")).select(*pieces.columns, "__at.*")
