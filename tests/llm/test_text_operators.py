@@ -1,10 +1,11 @@
+import os
 import random
 
 import brute
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import minhash, quality, substring, suffix
+from tracelake.llm import keysets, minhash, quality, shared, substring, suffix
 
 SCHEMA = "doc_id long, text string, lang string, part string, kept string"
 
@@ -68,6 +69,53 @@ def test_suffix_matches_brute_force(spark, rows):
     compared(found, rows, brute.shared_bytes(rows))
 
 
+def test_hot_anchors_match_brute_force(spark, monkeypatch):
+    """A passage of very many documents, with other text around it in each: its strings are sent one by one."""
+    rng = random.Random(12)
+    passage = " ".join(prose(rng, 25))
+    rows = [(i, " ".join(prose(rng, 6)) + " " + passage[rng.randrange(3) :] + " " + " ".join(prose(rng, rng.randrange(8)))) for i in range(120)]
+    rows += [(500 + i, rows[i][1]) for i in range(5)] + [(None, passage), (3, passage), (700, "x" * 300), (701, "x" * 90)]
+    rows += corpus(seed=4, n=20)
+    for hot, size in ((3, 50), (0, 100_000)):
+        monkeypatch.setattr(suffix, "HOT", hot)
+        monkeypatch.setattr(suffix, "SLICE", size)
+        out = suffix.remove_shared(frame(spark, rows))
+        found = [(r[0], r[1], r[2], r[3], r[4], bytes(r[5])) for r in out.select("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept").collect()]
+        compared(found, rows, brute.shared_bytes(rows))
+
+
+def test_slices_hold_whole_keys(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 40, 1000):
+        monkeypatch.setattr(suffix, "SLICE", size)
+        keys, n = np.sort(rng.integers(0, 30, 200)), rng.integers(1, 28, 200)
+        cuts = list(suffix._slices(np.cumsum(n), keys))
+        assert cuts[0][0] == 0 and cuts[-1][1] == 200 and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
+        for a, b in cuts:
+            assert (b == 200 or keys[b - 1] != keys[b]) and (n[a:b].sum() <= size or len(set(keys[a:b])) == 1)
+    assert list(suffix._slices(np.empty(0, np.int64), np.empty(0, np.int64))) == []
+
+
+def test_more_parts_than_buckets(spark, rows, monkeypatch):
+    monkeypatch.setattr(keysets, "PART_BYTES", 4000)
+    monkeypatch.setattr(keysets, "OWNER_BYTES", 9000)
+    monkeypatch.setattr(keysets, "MOST_BUCKETS", 5)
+    compared(substring.remove_repeats(frame(spark, rows)).select("doc_id", "text", "n_words", "n_removed", "kept_text").collect(), rows, brute.substring(rows))
+    found = suffix.remove_shared(frame(spark, rows)).select("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept").collect()
+    compared([(*r[:5], bytes(r[5])) for r in found], rows, brute.shared_bytes(rows))
+
+
+def test_release_drops_intermediate_tables(spark, rows):
+    substring.remove_repeats(frame(spark, rows)).count()
+    tables, paths = list(shared._made["tables"]), list(shared._made["paths"])
+    assert tables and paths
+    shared.release(spark)
+    assert not any(spark.catalog.tableExists(t) for t in tables)
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in paths)
+
+
 def test_near_duplicates_match_brute_force(spark, rows):
     # Rows that share an id are one vertex; the fixture's repeated rows have equal texts.
     out = minhash.near_duplicates(frame(spark, rows))

@@ -11,10 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: What written() and in_parts() have made, for release().
+_made: dict[str, list[str]] = {"paths": [], "tables": []}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where none is set (tests, a single machine), a temporary one."""
+    """The folder in spark.checkpoint.dir; where none is set on a single machine (tests), a temporary one.
+
+    On a cluster an unset folder is an error: a machine's own folder would lose other executors' files.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tracelake-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -25,13 +34,31 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def made(path: str | None = None, table: str | None = None) -> None:
+    """Notes an intermediate folder or table for release()."""
+    _made["paths"] += [path] if path else []
+    _made["tables"] += [table] if table else []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df, computed once and read back from the shared folder: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, what)
+    made(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all intermediate folders and tables made so far. Call it when the results that use them are written."""
+    for t in _made["tables"]:
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in _made["paths"]:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    _made["paths"], _made["tables"] = [], []
+
+
 def column_name(df: DataFrame, base: str) -> str:
     """base, or base with underscores before it if df has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -1,11 +1,13 @@
 """Removal of repeated passages of words, by fixed-block anchors.
 
-A passage of WINDOW words that occurs twice holds, at its second place, a whole block of WINDOW / 2 words that
+A passage of WINDOW words that occurs twice holds, at each of its places, a whole block of WINDOW / 2 words that
 begins at a multiple of WINDOW / 2 in its document. These non-overlapping blocks are the index. Every rolling
 window of the block's width in the corpus probes it; a block that no other place probes can't lie in a
-repeat. Around the blocks that are hit, hits are extended: the passages of WINDOW words that hold such a block
-are compared across the corpus in full width (a 64-bit hash within the range of a second, independent one), and
-all but the first place of each are removed, so that runs of them make up the maximal repeats.
+repeat, and only blocks are answered. Hits are then extended, word by word, to both sides: every passage of WINDOW
+words that holds a block that was hit is compared across the corpus in full width (a 64-bit hash within the range
+of a second, independent one), and all but the first place of each are removed. Runs of such passages are the
+maximal repeats. A hit is extended against all other places of its passages at once, never pair by pair, so a
+passage in a third of all documents costs no more than others.
 
 "First" is the smaller id, or the earlier word in the same document. A null id counts as larger than all
 others. Rows that share an id are one document to this order: of two equal passages at the same word of both,
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .keysets import ANSWER_DDL, SENT, SENT_DDL, answered, answers, in_parts, received, send, shared_keys, table_of
-from .shared import trimmed, unplanes, written
+from .shared import column_name, trimmed, unplanes, written
 
 BODY = np.dtype([("doc", "<i8"), ("at", "<i4")])
 LAST_ID = np.iinfo(np.int64).max
@@ -57,17 +59,21 @@ class _Part:
         self.doc = docs[: len(self.n_words)][of] if len(of) else np.empty(0, np.int64)
 
     def probes(self):
-        """Distinct rolling windows as owner << 32 | key, their counts, the windows' places and which key each has."""
+        """Distinct rolling windows as owner << 32 | key, their flags (twice here, in the index), the windows' places and which key each has."""
         h, at = tb.window_hashes(self.hashes, self.firsts, self.block)
         key = _owners(h, self.n) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
         unique, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-        return unique, counts, at, inverse
+        flags = np.zeros((len(unique), 2), bool)
+        flags[:, 0] = counts > 1
+        flags[inverse[self.place[at] % self.block == 0], 1] = True
+        return unique, flags, at, inverse
 
     def repeats(self, returned: pa.Table):
         """The passages that hold a hit block: order of entries, first entry of each class, classes' owners, keys and bodies."""
-        unique, _, at, inverse = self.probes()
-        hit = answered(returned, 1, unique >> np.uint64(32), self.n)[inverse]
-        hit &= self.place[at] % self.block == 0
+        unique, flags, at, inverse = self.probes()
+        index = np.zeros(len(unique), bool)
+        index[flags[:, 1]] = answered(returned, 1, unique[flags[:, 1]] >> np.uint64(32), self.n)
+        hit = index[inverse] & (self.place[at] % self.block == 0)
         hits = np.zeros(len(self.hashes) + 1, np.int64)
         hits[at[hit] + 1] = 1
         hits = np.cumsum(hits)  # hit blocks that begin before each word
@@ -112,14 +118,13 @@ def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", win
     """docs with n_words, n_removed (long) and kept_text: the words left, joined by one space."""
     docs = docs.drop("n_words", "n_removed", "kept_text").withColumn(id_, F.col(id_).cast("long"))
     schema = docs.schema
-    if "part" in (c.lower() for c in docs.columns):
-        docs = docs.withColumnsRenamed({c: "__part" for c in docs.columns if c.lower() == "part"})
+    docs = docs.withColumnsRenamed({c: column_name(docs, c) for c in docs.columns if c.lower() == "part"})
     inner = docs.schema
     table, owners = in_parts(docs, text, [F.col(id_), F.col(text)])
 
     def probe(key: tuple, rows: pa.Table) -> pa.Table:
-        unique, counts, _, _ = _Part(rows, id_, text, window, owners).probes()
-        return table_of(list(send(key[0].as_py(), unique >> np.uint64(32), (unique & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts > 1, owners)), SENT)
+        unique, flags, _, _ = _Part(rows, id_, text, window, owners).probes()
+        return table_of(list(send(key[0].as_py(), unique >> np.uint64(32), (unique & np.uint64(0xFFFFFFFF)).astype(np.uint32), flags, owners)), SENT)
 
     def extend(key: tuple, rows: pa.Table, returned: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -145,7 +150,7 @@ def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", win
         added = [pa.array(part.n_words, pa.int64()), pa.array(removed, pa.int64()), pa.concat_arrays(texts) if texts else pa.array([], pa.string())]
         return pa.Table.from_arrays([*columns, *added], names=[*[f.name for f in inner], "n_words", "n_removed", "kept_text"])
 
-    probed = shared_keys(table.groupBy("part").applyInArrow(lambda key, rows: trimmed(probe, key, rows), SENT_DDL), 1)
+    probed = shared_keys(table.groupBy("part").applyInArrow(lambda key, rows: trimmed(probe, key, rows), SENT_DDL), 1, indexed=True)
     back = written(probed, "answers")
     repeats = first_places(table.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(lambda key, rows, returned: trimmed(extend, key, rows, returned), SENT_DDL), 2)
     both = back.unionByName(written(repeats, "answers"))

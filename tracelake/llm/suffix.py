@@ -9,6 +9,10 @@ quicksort, a machine word at a time, to SHALLOW words; then the groups that stil
 tries, which look only at the byte where a group first branches, until all WIDTH bytes are told apart. Strings
 that remain together are equal, and all but those of the smallest id are removed.
 
+The runs of one anchor are sorted in one task, unless it is hot: an anchor that stands in more than HOT different
+surroundings, as within a passage of very many documents. Runs of hot anchors are sent string by string to the
+owner of the string's own hash, each different string of a part once with its smallest id, and are sorted there.
+
 Matches never cross documents and are judged on the input. A null id counts as larger than all others and rows
 of one id never count against each other. Null texts count as empty. Texts are handled whole. Other columns pass
 through; n_bytes, n_removed, n_spans and kept are replaced. An empty table gives no rows.
@@ -16,6 +20,8 @@ through; n_bytes, n_removed, n_spans and kept are replaced. An empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .keysets import ANSWER_DDL, SENT, SENT_DDL, answered, answers, in_parts, received, send, table_of
-from .shared import trimmed, unplanes, written
+from .shared import column_name, trimmed, unplanes, written
 
 WIDTH, GRAM = 50, 24
 #: Strings of WIDTH bytes that hold a given gram; no run is longer.
@@ -33,12 +39,15 @@ REACH = WIDTH - GRAM + 1
 COVER = -(-(WIDTH + REACH - 1) // 8) * 8
 #: 8-byte words that multikey quicksort orders before the blind tries take over.
 SHALLOW = 2
-#: Strings that are sorted at a time, more only if one anchor has more.
-SLICE = 200_000
+#: Different surroundings of an anchor, summed over parts, up to which all its strings are sorted together.
+HOT = 4096
+#: Strings that are sorted at a time, at most HOT * REACH more.
+SLICE = 100_000
 LAST_ID = np.iinfo(np.int64).max
 
 RUN = np.dtype([("hash", "<u8"), ("doc", "<i8")])
 EDGE = np.dtype([("n", "u1"), ("doc", "<i8"), ("bytes", "u1", (COVER,))])
+STRING = np.dtype([("doc", "<i8"), ("bytes", "u1", (WIDTH,))])
 
 
 def _hash_words(words: list[np.ndarray], salt: int = 0) -> np.ndarray:
@@ -132,8 +141,35 @@ class _Part:
         return runs, np.cumsum(new) - 1, key[first], h[first], self.doc[runs[first]] if len(runs) else self.doc[:0], runs[first]
 
 
+    def strings(self, runs: np.ndarray, docs: np.ndarray):
+        """The strings of runs with these ids, sorted: their run and step, their entry, whether their entry has a smaller id, and the entries' keys, ids and bytes."""
+        n = self.n[runs]
+        run, step, found = _strings(self.covers(runs), n)
+        words = found.view("<u8")
+        h = _hash_words([words[:, i] for i in range(words.shape[1])], 2)
+        key = (h >> np.uint64(32)) % np.uint64(self.n_owners) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
+        doc = docs[run]
+        order = np.lexsort((doc, h, key))
+        run, step, found, key, doc = run[order], step[order], found[order], key[order], doc[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (found[1:] != found[:-1]).any(1)
+        first = np.flatnonzero(new)
+        which = np.cumsum(new) - 1
+        return run, step, which, doc > doc[first][which] if len(order) else new, key[first], doc[first], found[first, :WIDTH]
+
+
+def _strings(covers: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, step, bytes, filled up with zeros to whole words) of all strings of runs of n strings."""
+    run = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    flat = np.concatenate([np.ascontiguousarray(covers).ravel(), np.zeros(64, np.uint8)])
+    found = np.lib.stride_tricks.as_strided(flat, (len(flat) - 63, 56), (1, 1))[run * COVER + step]
+    found[:, WIDTH:] = 0
+    return run, step, found
+
+
 def settle(sent: DataFrame) -> DataFrame:
-    """For each context: (step 2) a smaller id has the same bytes; (step 3) none has, but other bytes stand around the anchor elsewhere."""
+    """For each context: (step 2) a smaller id has the same bytes; (step 3) none has, but other bytes stand around the anchor elsewhere; (step 5) very many."""
 
     def own(table: pa.Table) -> pa.Table:
         keys, _ = received(table, np.uint32)
@@ -152,8 +188,10 @@ def settle(sent: DataFrame) -> DataFrame:
         open_ = np.empty(len(order), bool)
         open_[order] = (kinds > 1)[np.cumsum(new_key) - 1]
         open_ &= ~later
+        hot = np.empty(len(order), bool)
+        hot[order] = (kinds > HOT)[np.cumsum(new_key) - 1]
         cuts = np.cumsum([len(x) for x in keys])[:-1]
-        return pa.concat_tables([answers(table, np.split(later, cuts), 2), answers(table, np.split(open_, cuts), 3)])
+        return pa.concat_tables([answers(table, np.split(x, cuts), k) for k, x in ((2, later), (3, open_), (5, open_ & hot))])
 
     return sent.groupBy("owner").applyInArrow(lambda table: trimmed(own, table), ANSWER_DDL)
 
@@ -239,37 +277,52 @@ def equal_strings(words: np.ndarray, classes: np.ndarray, width: int = WIDTH) ->
     return blind_tries(words, order, segment, width)
 
 
-def sort_edges(sent: DataFrame) -> DataFrame:
-    """Step 4: for each string of each run, whether a smaller id has it too; 32 bits a run."""
+def _slices(ends: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of entries in the order of their keys, with whole keys and about SLICE strings each; ends are the strings up to each entry's end."""
+    changes = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+    a = 0
+    while a < len(keys):
+        full = np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, "right")
+        b = changes[np.searchsorted(changes, full, "right") - 1]
+        if b <= a:
+            b = changes[np.searchsorted(changes, a, "right")]
+        yield a, int(b)
+        a = int(b)
+
+
+def _later(strings: np.ndarray, classes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each string, whether an equal one of its class has a smaller id. Classes ascend."""
+    order, group = equal_strings(strings.view(">u8").astype(np.uint64), classes)
+    doc = doc[order]
+    least = np.minimum.reduceat(doc, np.flatnonzero(np.append(True, group[1:] != group[:-1])))
+    out = np.empty(len(order), bool)
+    out[order] = doc > least[group - group[0]]
+    return out
+
+
+def sort_edges(sent: DataFrame, owners: int) -> DataFrame:
+    """Whether a smaller id has it too: (step 4) for each string of each run, 32 bits a run; (step 6) for each string.
+
+    Runs come to the first ``owners`` owners, strings of hot anchors to as many further ones.
+    """
 
     def own(table: pa.Table) -> pa.Table:
+        single = table["owner"][0].as_py() >= owners
         keys, _ = received(table, np.uint32)
-        bodies = [unplanes(x.as_py(), EDGE) for x in table["body"]]
+        bodies = [unplanes(x.as_py(), STRING if single else EDGE) for x in table["body"]]
         key, body = np.concatenate(keys), np.concatenate(bodies)
         by_key = np.argsort(key, kind="stable")
-        found = np.zeros((len(key), 32), bool)
-        per = np.cumsum(body["n"][by_key].astype(np.int64))
-        changes = np.flatnonzero(np.append(True, key[by_key][1:] != key[by_key][:-1]))
-        a = 0
-        while a < len(by_key):  # whole anchors, SLICE strings or one anchor at a time
-            limit = np.searchsorted(per, (per[a - 1] if a else 0) + SLICE)
-            later = np.searchsorted(changes, max(a + 1, limit), "left")
-            fits = changes[later - 1] if later and changes[later - 1] > a else (changes[later] if later < len(changes) else len(by_key))
-            b = len(by_key) if limit >= len(by_key) else fits
-            runs = by_key[a:b]
-            n = body["n"][runs].astype(np.int64)
-            run = np.repeat(runs, n)
-            step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-            flat = np.concatenate([np.ascontiguousarray(body["bytes"]).ravel(), np.zeros(64, np.uint8)])
-            strings = np.lib.stride_tricks.as_strided(flat, (len(flat) - 63, 56), (1, 1))[run * COVER + step]
-            strings[:, WIDTH:] = 0
-            words = strings.view(">u8").astype(np.uint64)
-            order, group = equal_strings(words, key[run])
-            doc = body["doc"][run][order]
-            least = np.minimum.reduceat(doc, np.flatnonzero(np.append(True, group[1:] != group[:-1])))
-            found[run[order], step[order]] = doc > least[group - group[0]]
-            a = b
-        return answers(table, [x.ravel() for x in np.split(found, np.cumsum([len(k) for k in keys])[:-1])], 4)
+        n = np.ones(len(key), np.int64) if single else body["n"].astype(np.int64)
+        found = np.zeros((len(key), 1 if single else 32), bool)
+        for a, b in _slices(np.cumsum(n[by_key]), key[by_key]):
+            at = by_key[a:b]
+            if single:
+                run, step, strings = np.arange(b - a), 0, np.zeros((b - a, 56), np.uint8)
+                strings[:, :WIDTH] = body["bytes"][at]
+            else:
+                run, step, strings = _strings(body["bytes"][at], n[at])
+            found[at[run], step] = _later(strings, key[at][run], body["doc"][at][run])
+        return answers(table, [x.ravel() for x in np.split(found, np.cumsum([len(k) for k in keys])[:-1])], 6 if single else 4)
 
     return sent.groupBy("owner").applyInArrow(lambda table: trimmed(own, table), ANSWER_DDL)
 
@@ -286,8 +339,7 @@ def remove_shared(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> D
     """docs with n_bytes, n_removed, n_spans (long) and kept (the bytes left, which may cut a character)."""
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept").withColumn(id_, F.col(id_).cast("long"))
     names = docs.columns
-    if "part" in (c.lower() for c in names):
-        docs = docs.withColumnsRenamed({c: "__part" for c in names if c.lower() == "part"})
+    docs = docs.withColumnsRenamed({c: column_name(docs, c) for c in names if c.lower() == "part"})
     inner = docs.schema
     table, owners = in_parts(docs, text, [F.col(id_), F.col(text)])
     low = np.uint64(0xFFFFFFFF)
@@ -309,18 +361,30 @@ def remove_shared(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> D
             return SENT.empty_table()
         part = _Part(rows, id_, text, owners)
         _, _, k, _, doc, first = part.contexts(returned)
-        open_ = answered(returned, 3, k >> np.uint64(32), owners)
+        open_, hot = (answered(returned, step, k >> np.uint64(32), owners) for step in (3, 5))
+        open_ &= ~hot
         body = np.empty(open_.sum(), EDGE)
         body["n"], body["doc"], body["bytes"] = part.n[first[open_]], doc[open_], part.covers(first[open_])
-        return table_of(list(send(key[0].as_py(), k[open_] >> np.uint64(32), (k[open_] & low).astype(np.uint32), np.zeros(len(body), bool), owners, body)), SENT)
+        out = list(send(key[0].as_py(), k[open_] >> np.uint64(32), (k[open_] & low).astype(np.uint32), np.zeros(len(body), bool), owners, body))
+        if hot.any():
+            _, _, _, _, k, doc, bytes_ = part.strings(first[hot], doc[hot])
+            body = np.empty(len(k), STRING)
+            body["doc"], body["bytes"] = doc, bytes_
+            out += [r | {"owner": r["owner"] + owners} for r in send(key[0].as_py(), k >> np.uint64(32), (k & low).astype(np.uint32), np.zeros(len(k), bool), owners, body)]
+        return table_of(out, SENT)
 
     def cut(key: tuple, rows: pa.Table, returned: pa.Table) -> pa.Table:
         part = _Part(rows, id_, text, owners)
-        runs, which, k, _, doc, _ = part.contexts(returned)
+        runs, which, k, _, doc, first = part.contexts(returned)
         owner = k >> np.uint64(32)
-        later, open_ = answered(returned, 2, owner, owners), answered(returned, 3, owner, owners)
+        later, open_, hot = (answered(returned, step, owner, owners) for step in (2, 3, 5))
+        open_ &= ~hot
         each = np.zeros((len(k), 32), bool)
         each[open_] = answered(returned, 4, owner[open_], owners, 32)
+        if hot.any():
+            run, step, entry, larger, string_key, _, _ = part.strings(first[hot], doc[hot])
+            away = answered(returned, 6, (string_key >> np.uint64(32)) + np.uint64(owners), 2 * owners)
+            each[np.flatnonzero(hot)[run], step] = larger | away[entry]
         each[later] = True
         gone = each[which]
         gone[part.doc[runs] > doc[which]] = True  # the part's own smaller id has the same bytes
@@ -353,7 +417,7 @@ def remove_shared(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> D
 
     back = written(two_documents(table.groupBy("part").applyInArrow(lambda key, rows: trimmed(anchors, key, rows), SENT_DDL)), "anchors")
     back = back.unionByName(written(settle(pass_over(contexts, back)), "contexts"))
-    back = back.unionByName(written(sort_edges(pass_over(edges, back)), "edges"))
+    back = back.unionByName(written(sort_edges(pass_over(edges, back), owners), "edges"))
     added = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
     found = table.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(lambda key, rows, returned: trimmed(cut, key, rows, returned), T.StructType([*inner.fields, *added]))
     return found.toDF(*names, "n_bytes", "n_removed", "n_spans", "kept")
