@@ -112,3 +112,36 @@ def test_readers_refuse_malformed_bytes():
             f(data)
     data, quality = protocols.join_segments([(5, b"ab"), (6, b"X")])
     assert data == b"" and quality["conflicting_bytes"] == 1
+
+
+def test_a_broken_capture_is_a_row(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "good.pcap").write_bytes(capture(packets()))
+    (tmp_path / "cut.pcap").write_bytes(capture(packets())[:-3])
+    (tmp_path / "text.pcap").write_bytes(b"not a capture, but long enough to have a header")
+    rows = captures.read_packets(spark, f"{tmp_path}/*.pcap").collect()
+    bad = {r.path.rsplit("/", 1)[1] for r in rows if (r.reason or "").startswith("capture: ")}
+    assert bad == {"cut.pcap", "text.pcap"} and len(rows) == len(packets()) + 2
+    with pytest.raises(Exception, match="no classic capture"):
+        captures.read_packets(spark, f"{tmp_path}/text.pcap", strict=True).collect()
+
+
+def test_names_streams_and_framing():
+    import pytest
+
+    chain = struct.pack("!6H", 9, 0x8180, 1, 3, 0, 0) + name("a.test") + struct.pack("!HH", 1, 1)
+    chain += b"\xc0\x0c" + struct.pack("!HHIH", 5, 1, 9, 4) + b"\x01b\xc0\x0e" + b"\xc0\x0c" + struct.pack("!HHIH", 16, 1, 9, 6) + b"\x02hi\x02yo" + b"\xc0\x0c" + struct.pack("!HHIH", 28, 1, 9, 16) + b"\0" * 15 + b"\x01"
+    m = protocols.read_dns(chain)
+    assert [r["value"] for r in m["records"]] == ["b.test", "hi\nyo", "::1"] and (m["response"], m["rcode"], m["truncated"]) == (True, 0, False)
+    assert protocols.join_segments([]) == (b"", {"gaps": 0, "conflicting_bytes": 0, "retransmitted_bytes": 0})
+    assert protocols.join_segments([(2**32 - 2, b"ab"), (0, b"cd"), (2**32 - 1, b"bc")])[0] == b"abcd"
+    assert protocols.join_segments([(10, b"cd"), (8, b"ab")])[0] == b"abcd"
+    two = b"PUT /a HTTP/1.1\r\nHost: x\r\nContent-Length: 2\r\n\r\nhiGET /b HTTP/1.0\r\n\r\nrest"
+    assert [(r["target"], r["declared_body_bytes"], r["stream_offset"]) for r in protocols.read_http(two)] == [("/a", 2, 0), ("/b", 0, two.index(b"GET"))]
+    coded = protocols.read_http(b"POST /c HTTP/1.1\r\nTransfer-Encoding: chunked\r\n\r\n0\r\n\r\n")
+    assert (coded[0]["body_complete"], coded[0]["body_sha256"]) == (False, None)
+    for bad in (b"GET / HTTP/1.1\r\nno field\r\n\r\n", b"GET / HTTP/1.1\r\nContent-Length: x\r\n\r\n", b"GET / HTTP/1.1\r\nHost: a\r\nHost: b\r\n\r\n"):
+        with pytest.raises(protocols.Malformed):
+            protocols.read_http(bad)
+    assert protocols.read_sni(b"GET / HTTP/1.1") is None and protocols.read_sni(b"") is None
