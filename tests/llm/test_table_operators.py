@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import textwrap
 import zlib
 
 import brute
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracelake.llm import ann, licenses, mixing, packing, sharding, warc
-from tracelake.llm.license_texts import KNOWN
+from tracelake.llm.license_texts import KNOWN, known_texts
 from tracelake.llm.shared import gapless_rank
 
 ENCODERS = {}
@@ -419,11 +420,26 @@ def test_license_variants(spark):
     for r in licenses.scan(docs(spark, rows)).collect():
         got[r.doc_id].append(r.license_id)
     assert got == {1: ["MIT"], 2: ["MIT"], 3: ["MIT"], 4: ["MIT"], 5: [None], 6: [None], 7: [None], 8: ["Zlib"] * 2}
-    for name, text in KNOWN.items():
-        assert licenses.scan(docs(spark, [(1, text, "x")])).first().license_id == name
+    names = {i: name for i, (name, _) in enumerate(known_texts())}
+    found = licenses.scan(docs(spark, [(i, text, "x") for i, (_, text) in enumerate(known_texts())])).collect()
+    assert {r.doc_id: r.license_id for r in found} == names and set(names.values()) == set(KNOWN)
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_wrapped_titled_and_long_licences(spark):
+    def wrapped(text, width):
+        return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+    bodies = {k: KNOWN[k].split("\n\n", 2)[2] for k in ("MIT", "ISC", "BSD-3-Clause")}
+    rows = [(100 * i + w, "(C) 1999 A\n© B\nCopyright 2001-2003 C\nCopyright by D, 2004\n\n" + wrapped(bodies[k], w), k) for i, k in enumerate(bodies) for w in range(20, 90)]
+    rows += [(9000, "The MIT License (MIT)\n\n" + bodies["MIT"], "MIT"), (9001, bodies["MIT"].replace("copyright notice", "copyrights notice"), None)]
+    rows += [(9002, KNOWN["Apache-2.0"].split("END OF TERMS")[0], "Apache-2.0"), (9003, KNOWN["GPL-2.0"].replace("\n", "\r\n"), "GPL-2.0"), (9004, KNOWN["MIT"] * 500, None)]
+    clash = docs(spark, rows).withColumns({c: F.lit("own") for c in ("canonical_form", "known_sha256", "license_id")})
+    got = licenses.scan(clash).collect()
+    assert {r.doc_id: r.license_id for r in got} == {i: k for i, _, k in rows}
+    assert all((r.canonical_form, r.known_sha256) == ("own", "own") for r in got)
+
+
 def test_gapless_rank_with_a_hot_group(spark):
     rows = [(i, "hot" if i % 3 else None) for i in range(500)] + [(1, "hot")] * 5
     df = spark.createDataFrame(rows, "id long, g string")

@@ -1,4 +1,7 @@
-"""Known licences and equivalent spellings of the license scan. Fixed values."""
+"""Known licences and equivalent spellings of the license scan. Public texts, here and in license_files/."""
+
+import os
+import re
 
 #: (other spelling, usual spelling), as words of the lower-cased text.
 EQUIVALENT = (
@@ -95,5 +98,42 @@ _APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.
 """
 
+_FILES = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_files")
+
+
+def _filed() -> dict[str, str]:
+    """The texts of license_files/, by SPDX name."""
+    out = {}
+    for name in sorted(os.listdir(_FILES)):
+        with open(os.path.join(_FILES, name), encoding="utf-8") as f:
+            out[name.removesuffix(".txt")] = f.read()
+    return out
+
+
 #: Public licence texts by SPDX name.
-KNOWN = {"0BSD": _ZERO_BSD, "Apache-2.0-notice": _APACHE_NOTICE, "BSD-2-Clause": _BSD_2, "BSD-3-Clause": _BSD_3, "ISC": _ISC, "MIT": _MIT, "Unlicense": _UNLICENSE, "Zlib": _ZLIB}
+KNOWN = _filed() | {"0BSD": _ZERO_BSD, "Apache-2.0-notice": _APACHE_NOTICE, "BSD-2-Clause": _BSD_2, "BSD-3-Clause": _BSD_3, "ISC": _ISC, "MIT": _MIT, "Unlicense": _UNLICENSE, "Zlib": _ZLIB}
+
+#: Titles under which a text that begins with the first of them is also found; "" is none.
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License", ""),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "FreeBSD License", ""),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License", ""),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", ""),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", ""),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", ""),
+}
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(SPDX name, text): every licence, under each of its titles, and without its appendix where it has one."""
+    out = []
+    for name, text in KNOWN.items():
+        titles = TITLES.get(name, (None,))
+        for title in titles:
+            whole = text if title is None else title + text.removeprefix(titles[0])
+            out.append((name, whole))
+            end = re.search(r"END OF TERMS AND CONDITIONS", whole)
+            if end:
+                out.append((name, whole[: end.end()]))
+                out.append((name, whole[: end.start()].rstrip(" \n\t-")))
+    return out

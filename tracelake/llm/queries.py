@@ -51,7 +51,9 @@ def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "canonical_chars", "canonical_sha256", "license_id")
+    """All documents and, as none of them is a licence, a changed specimen of each known text, with an id below 0."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs.unionByName(licenses.specimens(docs))).select("doc_id", "canonical_chars", "canonical_sha256", "license_id")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,21 +95,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def _op9_sql() -> str:
-    from .license_texts import EQUIVALENT, KNOWN
+    from .license_texts import EQUIVALENT, known_texts
+    from .licenses import HOLDER_LINE, LIST_MARK, NO_WORD, RIGHTS_LINE
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
 
     def canonical(x: str) -> str:
         x = f"regexp_replace(lower(coalesce({x}, '')), '\\r\\n?', chr(10), 'g')"
-        x = f"regexp_replace({x}, '(?m)^[^a-z0-9\\n©]*(copyright|\\(c\\)|©)[^\\n]*$', '', 'g')"
-        x = f"regexp_replace({x}, '(?m)^[^a-z0-9\\n]*all rights reserved[^a-z0-9\\n]*$', '', 'g')"
-        x = f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+        for line in (HOLDER_LINE, RIGHTS_LINE, LIST_MARK):
+            x = f"regexp_replace({x}, {quoted('(?m)' + line)}, '', 'g')"
+        x = f"regexp_replace({x}, {quoted(NO_WORD)}, ' ', 'g')"
         for other, usual in EQUIVALENT:
             x = f"regexp_replace({x}, '\\b{other}\\b', '{usual}', 'g')"
         return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
 
-    known = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in KNOWN.items())
+    known = ", ".join(f"({i}, {quoted(k)}, {quoted(t)})" for i, (k, t) in enumerate(known_texts(), 1))
     return f"""
-WITH known AS (SELECT sha256({canonical("t")}) AS h, min(k) AS license_id FROM (VALUES {known}) v(k, t) GROUP BY 1),
-d AS (SELECT doc_id, {canonical("text")} AS c FROM documents)
+WITH texts AS (SELECT * FROM (VALUES {known}) v(i, k, t)),
+known AS (SELECT sha256({canonical("t")}) AS h, min(k) AS license_id FROM texts GROUP BY 1),
+rows AS (SELECT doc_id, text FROM documents UNION ALL
+  SELECT -i, 'Copyright (c) 2021 Some Holder. All rights reserved.' || chr(13) || chr(10) || replace(upper(t), 'LICENSE', 'LICENCE') FROM texts),
+d AS (SELECT doc_id, {canonical("text")} AS c FROM rows)
 SELECT doc_id, length(c)::BIGINT AS canonical_chars, sha256(c) AS canonical_sha256, license_id
 FROM d LEFT JOIN known ON known.h = sha256(c)"""
 
