@@ -4,8 +4,9 @@ Every measure is a column expression over the text; every rule is (name, ratio,
 a document is kept when no rule fails. Words are the runs matched by ``[^\\x20\\x09-\\x0D]+``.
 
 Null, empty and blank texts have no words: all measures are 0, they fail the base rule and are not
-kept. Repeated rows and ties in doc_id are judged one by one. Other columns pass through; one that is
-named like a measure is replaced by it.
+kept. Repeated rows and ties in doc_id are judged one by one. Texts are measured whole, whatever their length. Other
+columns pass through; one that is named like a measure, base_failed or kept is replaced by it. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import column_name
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Frequent words of the languages that the rules are meant for.
@@ -80,7 +83,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, SPACE), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    stops = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
+    stops = list(dict.fromkeys(STOP_WORDS))  # a set of literals, which Spark hashes
 
     def all_of(w: Column, x: Column) -> Column:
         return F.struct(
@@ -90,12 +93,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             F.size(x).cast("long").alias("n_lines"),
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(w).cast("long").alias("n_repeat_words"),
-            F.size(F.filter(w, lambda y: F.array_contains(stops, F.lower(y)))).cast("long").alias("n_stop_words"),
+            F.size(F.filter(w, lambda y: F.lower(y).isin(stops))).cast("long").alias("n_stop_words"),
         )
 
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words"]
-    found = docs.withColumn("__m", _let(words, lambda w: _let(lines, lambda x: all_of(w, x))))
-    return found.withColumns({n: F.col("__m")[n] for n in names}).drop("__m")
+    m = column_name(docs, "measures")
+    found = docs.withColumn(m, _let(words, lambda w: _let(lines, lambda x: all_of(w, x))))
+    return found.withColumns({n: F.col(m)[n] for n in names}).drop(m)
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
