@@ -1,4 +1,5 @@
 import collections
+import io
 import math
 import random
 import textwrap
@@ -186,9 +187,22 @@ def test_archives_begin_with_a_dictionary_and_hold_a_frame_a_record(spark, tmp_p
         assert data[8 + n :].count(struct.pack("<I", 0xFD2FB528)) >= 100
         with pytest.raises(Exception):  # noqa: B017
             broken = data[:-9] + b"\0" * 9
-            import io
-
             list(warc.read_archive(io.BytesIO(broken)))
+        records = list(warc.read_archive(io.BytesIO(data)))
+        assert records[0].startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+        named = [x for r in records for x in r.split(b"\r\n\r\n")[0].split(b"\r\n") if x.startswith(b"WARC-Record-ID: ")]
+        assert len(named) == len(set(named)) == len(records)
+        with pytest.raises(ValueError, match="block"):
+            warc.decode(records[1].replace(b"body", b"Body", 1))
+
+
+def test_revisits_name_their_response():
+    response = warc.Record("response", "http://a", 5, warc.sha1_base32(b"x"), None, 1, b"x")
+    revisit = warc.Record("revisit", "http://b\r\nX: y", 3, warc.sha1_base32(b"x"), 5, 1, None, "http://a")
+    there, here = (warc.encode(r).decode().split("\r\n") for r in (response, revisit))
+    own = next(x.split(": ", 1)[1] for x in there if x.startswith("WARC-Record-ID: "))
+    assert {f"WARC-Refers-To: {own}", "WARC-Refers-To-Target-URI: http://a", "WARC-Target-URI: http://bX: y"} <= set(here)
+    assert warc.decode(warc.encode(response)) == response and warc.decode(warc.encode(revisit)).refers_to_uri == "http://a"
 
 
 def brute_nearest(ids, vectors, q, k=5):

@@ -1,19 +1,20 @@
 """WARC archives compressed with a Zstandard dictionary.
 
 An archive is a ``.warc.zst`` file: a leading skippable frame (magic 0x184D2A5D) that holds a Zstandard
-dictionary, then one frame for each record. The dictionary is built from the archive's own first records:
+dictionary, then one frame for each record, a warcinfo record first. The dictionary is built from the archive's own first records:
 at most SAMPLE_BYTES of them, whatever the archive's size. Each task writes archives of about
 ARCHIVE_BYTES of records, so memory is bounded by the dictionary sample and one record. Archives are
 written under a temporary name and renamed when complete; the list of archives is a Spark table, so files
 of failed or repeated attempts are in no list and are never read.
 
 Of records with equal payloads, that with the largest id is a response and the others are revisits, which
-hold the HTTP headers, the payload's digest and the URI of the response, but no payload.
+hold the HTTP headers, the payload's digest and the record id and URI of the response, but no payload.
 
 Null pages count as empty payloads, which are grouped as any other. A row without an id is a revisit if a
 record with an id has its payload; if none has, all such rows are responses. Rows that repeat the largest
-id of a payload are all responses. Null URLs are written as an empty target. An empty table gives no
-archives and no rows. Other columns aren't archived.
+id of a payload are all responses, of one record id, as nothing tells them apart; all other record ids are unique.
+Null URLs are written as an empty target, and control characters are cut from URLs. Pages of any length are one record,
+which a task holds in memory. An empty table gives no archives and no rows. Other columns aren't archived.
 """
 
 from __future__ import annotations
@@ -50,22 +51,38 @@ class Record:
     refers_to: int | None
     payload_bytes: int
     payload: bytes | None
+    refers_to_uri: str = ""
 
 
 def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
+def _line(x: str) -> str:
+    """x as the value of a header, which is one line."""
+    return "".join(c for c in x if c >= " " and c != "\x7f")
+
+
+def _record(head: list[str], block: bytes) -> bytes:
+    head = [*head, f"WARC-Block-Digest: sha1:{sha1_base32(block)}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(["WARC/1.1", *head]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def information() -> bytes:
+    """The warcinfo record that an archive begins with."""
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {RECORD_DATE}", "Content-Type: application/warc-fields"]
+    return _record(head, b"software: tracelake\r\nformat: WARC File Format 1.1\r\n")
+
+
 def encode(r: Record) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {r.payload_bytes}\r\n\r\n".encode()
     block = http + (r.payload or b"")
-    uri = "".join(c for c in r.uri if c >= " ")  # a header is one line
+    own = record_id(r.page_id, r.digest) if r.kind == "response" else f"<urn:uuid:{uuid.uuid4()}>"
     head = [
-        "WARC/1.1",
         f"WARC-Type: {r.kind}",
-        f"WARC-Record-ID: {record_id(r.page_id, r.digest)}",
+        f"WARC-Record-ID: {own}",
         f"WARC-Date: {RECORD_DATE}",
-        f"WARC-Target-URI: {uri}",
+        f"WARC-Target-URI: {_line(r.uri)}",
         f"WARC-Payload-Digest: sha1:{r.digest}",
     ]
     if r.page_id is not None:
@@ -74,20 +91,25 @@ def encode(r: Record) -> bytes:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
             f"WARC-Refers-To: {record_id(r.refers_to, r.digest)}",
+            f"WARC-Refers-To-Target-URI: {_line(r.refers_to_uri)}",
+            f"WARC-Refers-To-Date: {RECORD_DATE}",
             f"X-Refers-To-Page-Id: {r.refers_to}",
         ]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return _record([*head, "Content-Type: application/http; msgtype=response"], block)
 
 
 def decode(data: bytes) -> Record:
-    """The inverse of encode(). A response's digest is computed from its payload and held against the header."""
+    """The inverse of encode(). The block's and a response's digests are computed and held against the headers."""
     head, _, rest = data.partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
     h = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
     block = rest[: int(h["content-length"])]
+    if h["warc-block-digest"] != f"sha1:{sha1_base32(block)}":
+        raise ValueError(f"block of {h['warc-record-id']} does not match its digest")
+    if h["warc-type"] == "warcinfo":
+        return Record("warcinfo", "", None, "", None, 0, None)
     http, _, payload = block.partition(b"\r\n\r\n")
     digest = h["warc-payload-digest"].removeprefix("sha1:")
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
@@ -96,7 +118,7 @@ def decode(data: bytes) -> Record:
         if (found, len(payload)) != (digest, size):
             raise ValueError(f"payload of {h['warc-record-id']} does not match its digest")
     page, refers = h.get("x-page-id"), h.get("x-refers-to-page-id")
-    return Record(h["warc-type"], h.get("warc-target-uri", ""), None if page is None else int(page), digest, None if refers is None else int(refers), size, payload if h["warc-type"] == "response" else None)
+    return Record(h["warc-type"], h.get("warc-target-uri", ""), None if page is None else int(page), digest, None if refers is None else int(refers), size, payload if h["warc-type"] == "response" else None, h.get("warc-refers-to-target-uri", ""))
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -168,10 +190,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_: str = "page
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     # The largest id of each payload that occurs more than once; rows stay where they are unless it's theirs to change.
-    groups = rows.groupBy("sha1").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select(F.col("sha1").alias("__sha1"), "first_id")
-    joined = rows.join(groups, (rows["sha1"] == groups["__sha1"]) & (F.octet_length("payload") >= min_bytes), "left")
+    groups = rows.groupBy("sha1").agg(F.max("page_id").alias("first_id"), F.max_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).filter("n > 1").drop("n").withColumnRenamed("sha1", "same_sha1")
+    joined = rows.join(groups, (rows["sha1"] == groups["same_sha1"]) & (F.octet_length("payload") >= min_bytes), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    planned = joined.select("page_id", "url", "payload", refers.alias("refers_to"))
+    planned = joined.select("page_id", "url", "payload", refers.alias("refers_to"), F.coalesce("first_url", F.lit("")).alias("first_url"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -186,13 +208,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_: str = "page
             done.append((f"{folder}/{path}", count))
 
         for batch in batches:
-            for page_id, url_, data, refers_to in zip(*(batch.column(i) for i in range(4))):
+            for page_id, url_, data, refers_to, first_url in zip(*(batch.column(i) for i in range(5))):
                 data, refers_to = data.as_py(), refers_to.as_py()
                 kind = "response" if refers_to is None else "revisit"
-                record = Record(kind, url_.as_py(), page_id.as_py(), sha1_base32(data), refers_to, len(data), data if refers_to is None else None)
+                record = Record(kind, url_.as_py(), page_id.as_py(), sha1_base32(data), refers_to, len(data), data if refers_to is None else None, first_url.as_py())
                 if now is None:
                     path, count = f"{uuid.uuid4().hex}.warc.zst", 0
                     now = ArchiveWriter(store.open_output_stream(f"{root}/{path}.part", compression=None))
+                    now.add(information())
                 now.add(encode(record))
                 count += 1
                 if now.size >= ARCHIVE_BYTES:
@@ -221,7 +244,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 found, size, count = [], 0, 0
                 with store.open_input_stream(at, compression=None) as stream:
                     for data in read_archive(stream):
-                        found.append(decode(data))
+                        record = decode(data)
+                        if record.kind == "warcinfo":
+                            continue
+                        found.append(record)
                         size, count = size + len(data), count + 1
                         if size > 4 << 20:
                             yield rows(found)
