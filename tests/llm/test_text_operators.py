@@ -142,6 +142,25 @@ def test_crowds_of_loosely_similar_documents(spark, monkeypatch):
         assert sorted(map(tuple, found)) == expected
 
 
+def test_hot_keys_stay_in_place(spark, monkeypatch):
+    """Keys are joined right whether their table is broadcast, partly broadcast or shuffled, and pairs of hot nodes are dealt out."""
+    df = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3), (3, 1)) for i in range(n)] + [(None, 1), (4, 1)], "key long, id long")
+    table = df.groupBy("key").agg(F.count("*").alias("n")).filter("key < 4")
+    for few, hot in ((10, 10), (0, 10), (0, 1000), (0, 0)):
+        monkeypatch.setattr(shared, "FEW_KEYS", few)
+        monkeypatch.setattr(shared, "HOT_ROWS", hot)
+        got = shared.joined_by_key(df, table, "key", "n").collect()
+        assert sorted((r.key, r.id, r.n) for r in got) == sorted((k, i, n) for k, n in ((1, 50), (2, 3), (3, 1)) for i in range(n))
+
+
+def test_near_duplicates_with_hot_keys(spark, rows, monkeypatch):
+    monkeypatch.setattr(shared, "FEW_KEYS", 0)
+    monkeypatch.setattr(shared, "HOT_ROWS", 4)
+    monkeypatch.setattr(minhash, "HOT_ROWS", 4)
+    found = minhash.near_duplicates(frame(spark, rows)).select("doc_id", "text", "n_shingles", "component_id", "kept").collect()
+    compared(found, rows, [(n, c, c == i) for (i, _), (n, c) in zip(rows, brute.near(rows))])
+
+
 def test_large_nodes_are_never_listed(spark, monkeypatch):
     """Many documents that resemble each other below the threshold: they don't branch without end, nor are their pairs listed."""
     rng = random.Random(9)

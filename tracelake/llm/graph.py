@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Each step joins the links with the smallest neighbour of each vertex, which Spark may split where a vertex
-has very many links. Links are written to the shared folder between rounds; only a count comes back.
+Each step joins the links with the smallest neighbour of each vertex; the links of a vertex with very many of them
+stay where they are. Links are written to the shared folder between rounds; only a count comes back.
 """
 
 from __future__ import annotations
@@ -9,36 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
-
-
-#: Links up to which a step broadcasts the smallest neighbours: a few megabytes.
-FEW_LINKS = 150_000
+from .shared import joined_by_key, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every vertex of links (a, b): component is the smallest id that it reaches."""
     now = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
     while True:
-        few = now.count() <= FEW_LINKS
 
         def with_least(x: DataFrame) -> DataFrame:
             """x with the smallest v of each u, or u itself."""
-            found = x.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("least", "u"))
-            return x.join(F.broadcast(found) if few else found, "u")  # noqa: B023
+            found = x.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n_links")).withColumn("least", F.least("least", "u"))
+            return joined_by_key(x, found, "u", "n_links").drop("n_links")
 
         # Large star: every vertex sends its larger neighbours to its smallest.
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         # Small star: every vertex sends its smaller neighbours, and itself, to its smallest.
         large = large.filter("u != v")
-        small = with_least(large)
+        small = with_least(written(large, "links"))
         small = small.select(F.col("v").alias("u"), F.col("least").alias("v")).union(small.select("u", F.col("least").alias("v")))
         now = written(small.filter("u != v").distinct(), "links")
         # Done when all that is left are stars: no vertex has two links up, and none that others link to has one.
-        up = now.groupBy("u").agg(F.count("*").alias("n"))
-        above = now.select(F.col("v").alias("u"))
-        if up.filter("n > 1").select("u").union(up.join(F.broadcast(above) if few else above, "u", "left_semi").select("u")).isEmpty():
+        ends = now.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select(F.col("v").alias("u"), F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
     roots = now.select(F.col("v").alias("id")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))

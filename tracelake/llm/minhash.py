@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .graph import components
-from .shared import trimmed, written
+from .shared import HOT_ROWS, joined_by_key, trimmed, written
 
 SHINGLE = 5
 #: Minwise tokens of a document, trees, and tokens by which a larger node branches.
@@ -170,7 +170,7 @@ def _chosen(node: Column, tokens: Column, depth: int, branch: int) -> Column:
 def _star_pairs(own: DataFrame, turn: int) -> DataFrame:
     """(node, a, b): a document of each node, another one in each turn, with all that are in other components."""
     centre = F.min_by(F.struct(F.col("id").alias("a"), F.col("component").alias("c")), F.xxhash64("id", F.lit(turn))).alias("centre")
-    both = own.join(own.groupBy("node").agg(centre), "node").filter("component != centre.c")
+    both = joined_by_key(own, own.groupBy("node").agg(centre, F.count("*").alias("n_here")), "node", "n_here").filter("component != centre.c")
     return both.select("node", F.col("centre.a").alias("a"), F.col("id").alias("b"))
 
 
@@ -183,22 +183,24 @@ def _split(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("within"), F.max_by("component", "n").alias("main"))
     nodes = nodes.withColumn("across", (F.col("size") * F.col("size") - F.col("within")) / 2).filter("across > 0")
     small = F.col("across") <= SMALL * F.col("size")
-    told = written(own.join(nodes.select("node", "main", small.alias("small")), "node"), "mixed")
+    told = written(joined_by_key(own, nodes.select("node", "main", "size", small.alias("small")), "node", "size"), "mixed")
     return told.filter("small"), told.filter("not small")
 
 
 def _listed_pairs(listed: DataFrame) -> DataFrame:
-    """All pairs between components: documents outside a node's main component with all others of the node."""
-    rest = listed.filter("component != main").select("node", F.col("id").alias("x"), F.col("component").alias("c_x"))
-    both = rest.join(listed.select("node", "id", "component"), "node").filter("c_x != component")
+    """All pairs between components: documents outside a node's main component with all others of the node, which are dealt out where they are many."""
+    deals = (F.floor(F.col("size") / HOT_ROWS) + 1).cast("int")
+    rest = listed.filter("component != main").select("node", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), F.col("id").alias("x"), F.col("component").alias("c_x"))
+    there = listed.select("node", F.pmod(F.xxhash64("id"), deals).cast("int").alias("deal"), "id", "component")
+    both = rest.join(there, ["node", "deal"]).filter("c_x != component")
     return both.select("node", F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
 
 
 def _blocks(crowds: DataFrame, group: int) -> DataFrame:
     """(crowd, block_out, block_all, id, component, asks): the outside documents of each crowd and all its members, dealt into blocks of ``group``; a row for each pair of blocks that a document is in."""
     blocks = lambda n: (F.floor((n - 1) / group) + 1).cast("int")
-    counts = crowds.groupBy("crowd").agg(blocks(F.count("*")).alias("n_all"), blocks(F.count_if(F.col("outside"))).alias("n_out"))
-    dealt = crowds.join(counts, "crowd")
+    counts = crowds.groupBy("crowd").agg(F.count("*").alias("n_here"), blocks(F.count("*")).alias("n_all"), blocks(F.count_if(F.col("outside"))).alias("n_out"))
+    dealt = joined_by_key(crowds, counts, "crowd", "n_here")
 
     def side(df: DataFrame, own: str, n: str, other: str, m: str, asks: bool) -> DataFrame:
         placed = df.withColumn(own, F.pmod(F.xxhash64("id"), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
@@ -270,8 +272,9 @@ def _crowds(large: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFr
     """
 
     def fits(crowds: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-        few = crowds.groupBy("crowd").agg(F.count_if(F.col("outside")).alias("n")).filter(F.col("n") <= most).select("crowd")
-        return crowds.join(few, "crowd", "left_semi"), crowds.join(few, "crowd", "left_anti")
+        counts = crowds.groupBy("crowd").agg(F.count("*").alias("n_here"), (F.count_if(F.col("outside")) <= most).alias("few"))
+        told = joined_by_key(crowds, counts, "crowd", "n_here").select(*crowds.columns, "few")
+        return told.filter("few").drop("few"), told.filter("not few").drop("few")
 
     few, many = fits(_merged(large), OUTSIDE_SKETCHED)
     few, still = fits(written(with_candidates(few, sketches, percent), "crowds"), OUTSIDE)
@@ -290,9 +293,10 @@ def _branched(rest: DataFrame, tokens: DataFrame, depth: int) -> tuple[DataFrame
         sizes = parts.groupBy(*keys).agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
         return sizes.groupBy("node").agg(F.sum("pairs").alias(name))
 
-    fewer = across(rest, ["node"], "pairs").join(across(below, ["node", "branch"], "branch_pairs"), "node")
-    fewer = written(fewer.filter(F.col("branch_pairs") <= BRANCHED * F.col("pairs")).select("node"), "fewer")
-    return below.join(fewer, "node", "left_semi").select(F.col("branch").alias("node"), "id").distinct(), rest.join(fewer, "node", "left_anti")
+    nodes = across(rest, ["node"], "pairs").join(across(below, ["node", "branch"], "branch_pairs"), "node").join(rest.groupBy("node").agg(F.count("*").alias("n_here")), "node")
+    nodes = written(nodes.select("node", "n_here", (F.col("branch_pairs") <= BRANCHED * F.col("pairs")).alias("fewer")), "fewer")
+    down = joined_by_key(below, nodes, "node", "n_here").filter("fewer").select(F.col("branch").alias("node"), "id").distinct()
+    return down, joined_by_key(rest, nodes, "node", "n_here").filter("not fewer").select(*rest.columns)
 
 
 def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -307,8 +311,9 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", pe
 
     def shared_nodes(members: DataFrame) -> DataFrame:
         """Members (node, id) of nodes that hold more than one document."""
-        nodes = members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").select("node")
-        return written(members.join(nodes, "node", "left_semi").select("node", "id"), "nodes")
+        members = written(members, "members")
+        nodes = members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        return written(joined_by_key(members, nodes, "node", "size").select("node", "id"), "nodes")
 
     roots = vertices.select("id", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
     nodes = shared_nodes(roots.select("id", F.xxhash64("tree", "token").alias("node")))
