@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays, with all rows that repeat that id.
 
-    Documents without words are like no other and stay; rows without an id are in no group and go.
+    Documents without words are like no other and stay, and so do rows without an id, which are in no group.
     """
     return minhash.near_duplicates(docs).filter("kept").select(*COLUMNS)
 
