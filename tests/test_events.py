@@ -56,7 +56,9 @@ def test_ingest_is_strict_and_whole(spark, tmp_path):
 def test_findings_hunts_chain_and_scripts(spark, tmp_path):
     e = events.ingest(spark, write(tmp_path / "s.jsonl", scenario() + [scenario()[0]])).events.cache()
     assert sorted((r.rule_id, len(r.evidence)) for r in windows.findings(e).collect()) == [("AUTH-001", 6), ("WIN-004", 1), ("WIN-008", 1)]
-    assert [len(h["rows"]) for h in windows.run_hunts(spark, e)] == [2, 1, 1, 0, 2, 0, 0, 0]
+    told = windows.run_hunts(spark, e)
+    assert [len(h["rows"]) for h in told["hunts"]] == [2, 1, 1, 0, 2, 0, 0, 0]
+    assert (told["total_events"], [x["events"] for x in told["sources"]]) == (12, [12])
     assert windows.run_query(spark, e, "mshta_remote").count() == 1
     unique, aliases = windows.unique_events(e)
     assert (unique.count(), aliases.count()) == (11, 1)
@@ -77,5 +79,10 @@ def test_micro_batches_equal_one_batch(spark, tmp_path):
     live.process(store, halves[1], 1, windows.findings, now, 600)  # a repeated batch changes nothing
     assert store.read("events").count() == e.count()
     assert sorted(r.finding_id for r in store.read("alerts").collect()) == sorted(r.finding_id for r in windows.findings(e).collect())
+    import pytest
+
+    for limits in (live.Limits(batch_records=3), live.Limits(batch_bytes=100), live.Limits(stored_events=12), live.Limits(waiting_rows=5)):
+        with pytest.raises(live.NotAdmitted):
+            live.process(store, halves[1], 9, windows.findings, now, 600, limits)
     box = live.after_delivery(store.read("outbox"), store.read("outbox").limit(4), now)
     assert {r.state: r["count"] for r in box.groupBy("state").count().collect()} == {"delivered": 4, "pending": e.count() - 4}

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Allowed next states of an alert.
 TRANSITIONS = {"new": ("triaged",), "triaged": ("investigating",), "investigating": ("escalated", "closed"), "escalated": ("investigating", "closed"), "closed": ()}
@@ -35,17 +40,27 @@ def transition_errors(log: DataFrame, key: str, revision: str, state: str, verdi
 
 
 def chain(df: DataFrame, keys: list[str], order: list[str], payload: Column) -> DataFrame:
-    """Adds sequence (from 1), previous and sha256: each link hashes the one before it and its own payload."""
-    row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], payload.alias("p"), F.struct(*df.columns).alias("row"))
-    rows = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.array_sort(F.collect_list(row)).alias("all"))
-    hashes = F.aggregate(
-        F.transform("all", lambda x: x["p"]),
-        F.array(F.lit(GENESIS)),
-        lambda acc, p: F.array_append(acc, F.sha2(F.concat(F.element_at(acc, -1), p), 256)),
-    )
-    rows = rows.withColumn("__h", hashes)
-    links = F.transform("all", lambda x, i: F.struct(x["row"].alias("row"), (i + 1).cast("long").alias("sequence"), F.get("__h", i).alias("previous"), F.get("__h", i + 1).alias("sha256")))
-    return rows.select(F.explode(links).alias("l")).select("l.row.*", "l.sequence", "l.previous", "l.sha256")
+    """Adds sequence (from 1), previous and sha256: each link hashes the one before it and its own payload, null as empty.
+
+    A key's rows stream through one task in order; all that is kept of them is the last hash.
+    """
+    out = T.StructType([*df.schema.fields, T.StructField("sequence", T.LongType()), T.StructField("previous", T.StringType()), T.StructField("sha256", T.StringType())])
+    own = Window.partitionBy(*keys).orderBy(*order)
+    rows = df.withColumn("sequence", F.row_number().over(own).cast("long")).withColumn("__p", F.coalesce(payload.cast("string"), F.lit("")))
+    rows = rows.sortWithinPartitions(*keys, "sequence")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = GENESIS
+        for batch in batches:
+            before, after = [], []
+            for n, p in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                last = GENESIS if n == 1 else last
+                before.append(last)
+                last = hashlib.sha256((last + p).encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(before, pa.string()), pa.array(after, pa.string())], out.names)
+
+    return rows.mapInArrow(link, out)
 
 
 def chain_errors(df: DataFrame, keys: list[str], payload: Column) -> DataFrame:
@@ -58,7 +73,7 @@ def chain_errors(df: DataFrame, keys: list[str], payload: Column) -> DataFrame:
     error = (
         F.when(F.col("sequence") != F.col("__n"), F.lit("sequence"))
         .when(F.col("previous") != F.col("__p"), F.lit("previous"))
-        .when(F.col("sha256") != F.sha2(F.concat("previous", payload), 256), F.lit("sha256"))
+        .when(F.col("sha256") != F.sha2(F.concat("previous", F.coalesce(payload.cast("string"), F.lit(""))), 256), F.lit("sha256"))
     )
     return rows.withColumn("error", error).filter("error is not null").drop("__n", "__p")
 

@@ -6,6 +6,10 @@ one key's ordered rows passes through a task at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,42 +45,50 @@ def burst(df: DataFrame, keys: list[str], ts: str, order: list[str], n: int, wit
 def distinct_in_window(df: DataFrame, keys: list[str], ts: str, order: list[str], value: str, within: int) -> DataFrame:
     """Adds distinct_values: the different values of the key up to this event, within ``within`` seconds.
 
-    Later events with the same timestamp don't count.
+    Later events with the same timestamp don't count. An event adds a value if the value's last event is out of its
+    window, and one takes it away again, after the window, if the value has no further event by then; the count is the
+    running sum of both. So no window is ever collected, and a busy key costs a sort.
     """
-    rows = df.withColumn("__t", micros(F.col(ts))).withColumn("__o", F.struct(F.col(ts), *[F.col(c) for c in order]))
-    recent = Window.partitionBy(*keys).orderBy("__t").rangeBetween(-within * SECOND, 0)
-    seen = F.collect_set(F.struct(F.col("__o").alias("o"), F.col(value).alias("v"))).over(recent)
-    rows = rows.withColumn("__seen", seen)
-    n = F.size(F.array_distinct(F.transform(F.filter("__seen", lambda x: x["v"].isNotNull() & (x["o"] <= F.col("__o"))), lambda x: x["v"])))
-    return rows.withColumn("distinct_values", n.cast("long")).drop("__t", "__o", "__seen")
+    rows = df.withColumn("__t", micros(F.col(ts)))
+    by = [F.col(c) for c in order]
+    same = Window.partitionBy(*keys, value).orderBy("__t", *by)
+    width, some = within * SECOND, F.col(value).isNotNull()
+    begins = some & F.coalesce(F.col("__t") - F.lag("__t").over(same) > width, F.lit(True))
+    ends = some & F.coalesce(F.lead("__t").over(same) - F.col("__t") > width, F.lit(True))
+    step = lambda t, real, n: F.struct(t.alias("t"), F.lit(real).alias("real"), n.alias("n"))
+    steps = F.array_compact(F.array(step(F.col("__t"), True, begins.cast("int")), F.when(ends, step(F.col("__t") + width + 1, False, F.lit(-1)))))
+    told = rows.withColumn("__steps", steps).withColumn("__s", F.explode("__steps"))
+    run = Window.partitionBy(*keys).orderBy("__s.t", "__s.real", *by).rowsBetween(Window.unboundedPreceding, 0)
+    return told.withColumn("distinct_values", F.sum("__s.n").over(run)).filter("__s.real").drop("__t", "__steps", "__s")
 
 
 def cooldown(df: DataFrame, keys: list[str], ts: str, order: list[str], within: int) -> DataFrame:
-    """The candidates that fire if a key stays silent for ``within`` seconds after each alert.
+    """The candidates that fire if a key stays silent for ``within`` seconds after each alert; without a timestamp none does.
 
-    A candidate more than ``within`` after the one before it always fires, so keys are first split there, and
-    the greedy choice runs over the short stretches in between.
+    The choice is greedy, so a key's rows stream through one task in order; all that is kept of them is the time of
+    the key's last alert.
     """
-    rows = df.withColumn("__t", micros(F.col(ts)))
-    by = [F.col("__t"), *[F.col(c) for c in order]]
-    own = Window.partitionBy(*keys).orderBy(*by)
-    gap = F.coalesce(F.col("__t") - F.lag("__t").over(own) > within * SECOND, F.lit(True))
-    rows = rows.withColumn("__gap", gap.cast("int"))
-    rows = rows.withColumn("__run", F.sum("__gap").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy(*keys, "__run").orderBy(*by)))
-    row = F.struct(F.col("__i").alias("i"), F.col("__t").alias("t"), F.struct(*df.columns).alias("row"))
-    runs = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__run").agg(F.array_sort(F.collect_list(row)).alias("all"))
-    none = F.lit(None).cast("long")
-    chosen = F.aggregate(
-        F.transform("all", lambda x: x["t"]),
-        F.struct(F.array().cast("array<boolean>").alias("fires"), none.alias("last")),
-        lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] > within * SECOND), F.struct(F.array_append(acc["fires"], F.lit(True)).alias("fires"), t.alias("last"))).otherwise(
-            F.struct(F.array_append(acc["fires"], F.lit(False)).alias("fires"), acc["last"].alias("last"))
-        ),
-        lambda acc: acc["fires"],
-    )
-    fired = runs.withColumn("__f", chosen).select(F.explode(F.filter(F.arrays_zip(F.col("all").alias("x"), F.col("__f").alias("fires")), lambda z: z["fires"])).alias("z"))
-    return fired.select("z.x.row.*")
+    own = Window.partitionBy(*keys).orderBy("__t", *[F.col(c) for c in order])
+    rows = df.withColumn("__t", micros(F.col(ts))).filter("__t is not null").withColumn("__first", F.row_number().over(own) == 1)
+    rows = rows.sortWithinPartitions(*keys, "__t", *order)
+
+    def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        silent_to = None
+        for batch in batches:
+            t, first = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("__t", "__first"))
+            begins = np.flatnonzero(first).tolist()
+            fired: list[int] = []
+            for a, b in zip([0, *begins], [*begins, len(t)]):
+                if a < b and first[a]:
+                    silent_to = None
+                at = a if silent_to is None else a + int(np.searchsorted(t[a:b], silent_to, "right"))
+                while at < b:
+                    fired.append(at)
+                    silent_to = int(t[at]) + within * SECOND
+                    at += int(np.searchsorted(t[at:b], silent_to, "right"))
+            yield batch.take(pa.array(fired, pa.int64()))
+
+    return rows.mapInArrow(fire, rows.schema).drop("__t", "__first")
 
 
 def lookback(df: DataFrame, keys: list[str], ts: str, counted: Column, at: Column, within: int, name: str = "n_before") -> DataFrame:

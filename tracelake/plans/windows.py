@@ -111,15 +111,17 @@ def explicit_credentials(events: DataFrame, threshold: int = 10, window: int = 3
     scope = F.lit("combined") if cross_source else F.col("source_sha256")
     rows = events.filter(is_from(SECURITY, 4648) & whole)
     rows = rows.withColumn("auth_key", F.array(scope, F.lower("host"), *[F.lower(F.trim(data(k))) for k in fields])).withColumn("account", F.lower(data("TargetUserName")))
-    order = F.struct("timestamp", *ORDER)
-    recent = Window.partitionBy("auth_key").orderBy("__t").rangeBetween(-window * sequence.SECOND, 0)
-    rows = rows.withColumn("__t", micros(F.col("timestamp"))).withColumn("__o", order)
-    seen = F.collect_list(F.struct(F.col("__o").alias("o"), F.col("account").alias("a"), F.col("event_uid").alias("u"))).over(recent)
-    rows = rows.withColumn("__all", seen).withColumn("__seen", F.array_sort(F.filter("__all", lambda x: x["o"] <= F.col("__o"))))
-    last = F.filter("__seen", lambda x: ~F.exists("__seen", lambda y: (y["a"] == x["a"]) & (y["o"] > x["o"])))
-    rows = rows.withColumn("evidence", F.slice(F.transform(last, lambda x: x["u"]), F.greatest(F.size(last) - threshold + 1, F.lit(1)), threshold))
-    hits = rows.filter(F.size("evidence") >= threshold).select("auth_key", "timestamp", *ORDER, "event_uid", "host", "evidence")
-    return _leads(sequence.cooldown(hits, ["auth_key"], "timestamp", ORDER, window), "AUTH-003", "medium")
+    hits = sequence.distinct_in_window(rows, ["auth_key"], "timestamp", ORDER, "account", window).filter(F.col("distinct_values") >= threshold)
+    fired = sequence.cooldown(hits.select("auth_key", "timestamp", *ORDER, "event_uid", "host"), ["auth_key"], "timestamp", ORDER, window)
+    # The evidence is looked up for what fires alone: the last accounts, each with its latest event.
+    at = F.struct("timestamp", *ORDER).alias("__o")
+    seen = rows.select(F.col("auth_key").alias("__key"), F.col("timestamp").alias("__ts"), at, "account", F.col("event_uid").alias("__u"))
+    asked = fired.select(F.col("event_uid").alias("__lead"), "auth_key", "timestamp", at.alias("__at"))
+    pairs = joins.interval_join(asked, seen, [("auth_key", "__key")], "timestamp", "__ts", window, 0, F.col("__o") <= F.col("__at"))
+    latest = pairs.groupBy("__lead", "account").agg(F.max(F.struct("__o", "__u")).alias("__last"))
+    latest = latest.withColumn("__n", F.row_number().over(Window.partitionBy("__lead").orderBy(F.desc("__last")))).filter(F.col("__n") <= threshold)
+    evidence = latest.groupBy("__lead").agg(F.transform(F.array_sort(F.collect_list("__last")), lambda x: x["__u"]).alias("evidence"))
+    return _leads(fired.join(evidence, F.col("event_uid") == F.col("__lead")), "AUTH-003", "medium")
 
 
 def findings(events: DataFrame, allowlist: list[dict] | None = None, auth: tuple[int, int] = (5, 600), credential: tuple[int, int] = (10, 300), cross_source: bool = False) -> DataFrame:
@@ -136,7 +138,7 @@ _SYSMON_SQL = "lower(provider) = 'microsoft-windows-sysmon' AND lower(channel) =
 _SECURITY_SQL = "lower(provider) = 'microsoft-windows-security-auditing' AND lower(channel) = 'security'"
 _POWERSHELL_SQL = "lower(provider) = 'microsoft-windows-powershell' AND lower(channel) = 'microsoft-windows-powershell/operational'"
 
-#: Named queries over a view ``events``; every limit comes with a total order.
+#: Named queries over a view ``events``; every limit comes with a total order. Names, event numbers and fields.
 QUERIES = {
     "mshta_remote": f"""SELECT timestamp, host, record_id, event_uid, event_data['Image'] AS image, event_data['CommandLine'] AS command_line FROM events
         WHERE {_SYSMON_SQL} AND event_id = 1 AND endswith(lower(event_data['Image']), chr(92) || 'mshta.exe')
@@ -172,13 +174,30 @@ def run_query(spark: SparkSession, events: DataFrame, name: str) -> DataFrame:
     return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=events)
 
 
-def run_hunts(spark: SparkSession, events: DataFrame) -> list[dict]:
-    """Each hunt with the hash of its text, its rows (at most 100) and an assessment that claims no more than they show."""
+#: What each hunt looks for.
+HYPOTHESES = {
+    "HUNT-01": "a parent starts a child that it rarely or never starts otherwise",
+    "HUNT-02": "a process opens connections after it was created",
+    "HUNT-03": "failed logons gather on an account, an address or a status",
+    "HUNT-04": "a scheduled task was registered",
+    "HUNT-05": "script text was recorded in fragments",
+    "HUNT-06": "one subject uses the credentials of many accounts",
+    "HUNT-07": "an audit log was cleared",
+    "HUNT-08": "a value was written to the registry",
+}
+ROW_LIMIT = 100
+
+
+def run_hunts(spark: SparkSession, events: DataFrame) -> dict:
+    """All hunts over one table: what was searched, and each hunt with its hypothesis, text hash and rows (at most ROW_LIMIT)."""
     out = []
     for name, sql in HUNTS.items():
         rows = [r.asDict(recursive=True) for r in run_query(spark, events, name).collect()]
-        out.append({"id": name, "query_sha256": hashlib.sha256(sql.encode()).hexdigest(), "rows": rows, "assessment": "review observations" if rows else "no returned observations; assess collection coverage"})
-    return out
+        found = "rows to be reviewed" if rows else "nothing found, which may mean that nothing was collected"
+        out.append({"id": name, "hypothesis": HYPOTHESES[name], "query_sha256": hashlib.sha256(sql.encode()).hexdigest(), "rows": rows, "row_limit": ROW_LIMIT, "assessment": found})
+    counts = events.groupBy("source_sha256").agg(F.count("*").alias("events")).orderBy("source_sha256")
+    total = events.count()
+    return {"total_events": total, "sources": [r.asDict() for r in counts.limit(1000).collect()], "hunts": out, "caution": "hunts show what was recorded; they neither prove nor exclude an intrusion"}
 
 
 def unique_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:

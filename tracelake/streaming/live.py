@@ -10,6 +10,7 @@ the window.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from ..operators.rules import first_by_order
 FUTURE_SLACK = 120
 FINGERPRINT = ("timestamp", "host", "channel", "provider", "event_id", "record_id")
 MAX_ATTEMPTS = 8
+#: Days of a batch up to which only they are looked up in the store.
+MOST_DAYS = 1000
 
 
 def fingerprint() -> Column:
@@ -29,16 +32,37 @@ def fingerprint() -> Column:
     return F.sha2(F.to_json(F.struct(*FINGERPRINT, F.array_sort(F.map_entries("event_data")).alias("event_data"))), 256)
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a batch and a store may hold; None is no limit. A batch beyond them is refused whole and nothing is written."""
+
+    batch_records: int | None = None
+    batch_bytes: int | None = None
+    stored_events: int | None = None
+    waiting_rows: int | None = None
+
+
+class NotAdmitted(ValueError):
+    """A batch that the store doesn't take."""
+
+
 class Store:
-    """events, alerts and outbox logs under one folder, which may be on any file system that Spark writes."""
+    """events, alerts and outbox logs under one folder, which may be on any file system that Spark writes.
+
+    Every log has a folder for each batch and in it one for each day of the event, so the days that a batch or a window
+    touches are read alone.
+    """
 
     def __init__(self, spark: SparkSession, path: str, event_schema: T.StructType):
         self.spark, self.path = spark, path.rstrip("/")
-        self.schemas = {"events": T.StructType([*event_schema.fields, T.StructField("fingerprint", T.StringType())])}
+        self.schemas = {
+            "events": T.StructType([*event_schema.fields, T.StructField("fingerprint", T.StringType())]),
+            "outbox": T.StructType.fromDDL("event_uid string, scope string, kind string, state string, attempts int, next_at timestamp, lease_until timestamp"),
+        }
 
     def read(self, log: str, schema: T.StructType | None = None, but: int | None = None) -> DataFrame:
-        """A log; rows of batch ``but`` are left out."""
-        schema = T.StructType([*(schema or self.schemas[log]).fields, T.StructField("batch", T.LongType())])
+        """A log, with batch and day; rows of batch ``but`` are left out."""
+        schema = T.StructType([*(schema or self.schemas[log]).fields, T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())])
         try:
             rows = self.spark.read.schema(schema).parquet(f"{self.path}/{log}")
         except Exception as e:  # nothing has been written yet
@@ -47,28 +71,49 @@ class Store:
             rows = self.spark.createDataFrame([], schema)
         return rows if but is None else rows.filter(F.col("batch") != but)
 
-    def write(self, log: str, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{log}/batch={batch}")
-
-
-def process(store: Store, batch: DataFrame, batch_id: int, detect: Callable[[DataFrame], DataFrame], now: Column, window: int, capacity: int | None = None) -> None:
-    """One micro-batch. detect maps events to findings with finding_id and severity; now is a timestamp."""
+    def write(self, log: str, rows: DataFrame, batch: int, day: Column) -> None:
+        rows.withColumn("day", day.cast("date")).write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/{log}/batch={batch}")
+
+
+def admit(store: Store, batch: DataFrame, batch_id: int, limits: Limits, kind: str) -> None:
+    """Raises NotAdmitted if the batch or, with it, the store is over a limit, or if the batch mixes kinds."""
+    size = F.octet_length("original_json").cast("long") if "original_json" in batch.columns else F.lit(0).cast("long")
+    mixed = F.count_if(~F.col("kind").eqNullSafe(F.lit(kind))) if "kind" in batch.columns else F.lit(0)
+    n, n_bytes, others = batch.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), mixed).first()
+    over = lambda have, most: most is not None and have > most
+    if others:
+        raise NotAdmitted(f"{others} events are not of kind {kind}")
+    if over(n, limits.batch_records) or over(n_bytes, limits.batch_bytes):
+        raise NotAdmitted(f"a batch of {n} events and {n_bytes} bytes is too large")
+    if limits.stored_events is not None and over(store.read("events", but=batch_id).count() + n, limits.stored_events):
+        raise NotAdmitted("the store is full")
+    if limits.waiting_rows is not None and over(store.read("outbox", but=batch_id).filter("state <> 'delivered'").count() + n, limits.waiting_rows):
+        raise NotAdmitted("too many rows wait for delivery")
+
+
+def process(store: Store, batch: DataFrame, batch_id: int, detect: Callable[[DataFrame], DataFrame], now: Column, window: int, limits: Limits = Limits(), scope: str = "default", kind: str = "event", private: bool = False) -> None:
+    """One micro-batch. detect maps events to findings with finding_id and severity; now is a timestamp.
+
+    Equal events have equal timestamps, so only the stored events of the batch's own days can repeat them.
+    """
+    admit(store, batch, batch_id, limits, kind)
+    days = [r[0] for r in batch.select(F.to_date("timestamp")).distinct().limit(MOST_DAYS + 1).collect()]
     known = store.read("events", but=batch_id)
+    known = known.filter(F.col("day").isin(days)) if len(days) <= MOST_DAYS else known
     fresh = first_by_order(batch.withColumn("fingerprint", fingerprint()), ["fingerprint"], [F.col("source_sha256"), F.col("source_line")])
     fresh = fresh.join(known.select("fingerprint"), "fingerprint", "left_anti").select(*store.schemas["events"].names)
-    if capacity is not None and known.count() + fresh.count() > capacity:
-        raise ValueError("the store is full; the batch is not admitted")
-    store.write("events", fresh, batch_id)
-    stored = store.read("events").drop("batch")
-    recent = stored.filter((F.col("timestamp") >= now - F.make_dt_interval(secs=F.lit(window))) & (F.col("timestamp") <= now + F.make_dt_interval(secs=F.lit(FUTURE_SLACK))))
-    alerts = detect(recent.drop("fingerprint")).dropDuplicates(["finding_id"])
+    store.write("events", fresh, batch_id, F.col("timestamp"))
+    fresh = store.read("events").filter(F.col("batch") == batch_id)
+    begin, end = now - F.make_dt_interval(secs=F.lit(window)), now + F.make_dt_interval(secs=F.lit(FUTURE_SLACK))
+    recent = store.read("events").filter(F.col("day").between(F.to_date(begin), F.to_date(end)) & F.col("timestamp").between(begin, end))
+    alerts = detect(recent.drop("fingerprint", "batch", "day")).dropDuplicates(["finding_id"])
     alerts = alerts.withColumn("created", now).withColumn("due", due(now, F.col("severity"))).withColumn("state", F.lit("new")).withColumn("revision", F.lit(1).cast("long"))
     store.schemas["alerts"] = alerts.schema
     alerts = alerts.join(store.read("alerts", but=batch_id).select("finding_id"), "finding_id", "left_anti").select(*alerts.columns)
-    store.write("alerts", alerts, batch_id)
-    queue = fresh.select("event_uid", F.lit("pending").alias("state"), F.lit(0).alias("attempts"), now.alias("next_at"))
-    store.schemas["outbox"] = queue.schema
-    store.write("outbox", queue, batch_id)
+    store.write("alerts", alerts, batch_id, F.col("created"))
+    state = F.lit("held_private" if private else "pending")
+    queue = fresh.select("event_uid", F.lit(scope).alias("scope"), F.lit(kind).alias("kind"), state.alias("state"), F.lit(0).alias("attempts"), now.alias("next_at"), F.lit(None).cast("timestamp").alias("lease_until"))
+    store.write("outbox", queue, batch_id, F.col("next_at"))
 
 
 def run(events: DataFrame, store: Store, checkpoint: str, detect: Callable[[DataFrame], DataFrame], now: Callable[[], Column], window: int):
@@ -77,10 +122,35 @@ def run(events: DataFrame, store: Store, checkpoint: str, detect: Callable[[Data
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
 
 
+def claim(outbox: DataFrame, at: Column, most: int = 100, lease_seconds: int = 180) -> DataFrame:
+    """The next rows to deliver, with lease_until: due rows of one scope and kind, those of the row that waits longest.
+
+    Rows that are delivered, given up or held private are never due, nor are rows that another claim still holds.
+    """
+    free = F.col("lease_until").isNull() | (F.col("lease_until") < at)
+    ready = outbox.filter((F.col("state") == "pending") & (F.col("next_at") <= at) & free)
+    first = ready.orderBy("next_at", "event_uid").limit(1).select("scope", "kind")
+    mine = ready.join(F.broadcast(first), ["scope", "kind"], "left_semi").orderBy("next_at", "event_uid").limit(most)  # one row is broadcast
+    return mine.withColumn("lease_until", at + F.make_dt_interval(secs=F.lit(lease_seconds)))
+
+
 def after_delivery(outbox: DataFrame, delivered: DataFrame, at: Column) -> DataFrame:
-    """The outbox after an attempt: delivered rows are done; others wait, longer each time, and are given up after MAX_ATTEMPTS."""
+    """The outbox after an attempt on all its waiting rows: delivered ones are done; others wait, longer each time, and are given up after MAX_ATTEMPTS.
+
+    Rows that are held private, given up or done stay as they are.
+    """
     done = delivered.select("event_uid").distinct().withColumn("__done", F.lit(True))
-    tries = F.col("attempts") + 1
+    waits, tries = F.col("state") == "pending", F.col("attempts") + 1
     state = F.when(F.col("__done"), "delivered").when(tries >= MAX_ATTEMPTS, "dead_letter").otherwise("pending")
-    out = outbox.join(done, "event_uid", "left").withColumn("state", state).withColumn("next_at", at + F.make_dt_interval(secs=retry_delay(F.col("attempts")).cast("decimal(18,6)")))
-    return out.withColumn("attempts", tries).drop("__done")
+    later = at + F.make_dt_interval(secs=retry_delay(F.col("attempts")).cast("decimal(18,6)"))
+    out = outbox.join(done, "event_uid", "left").withColumn("__state", F.when(waits, state).otherwise(F.col("state")))
+    out = out.withColumn("next_at", F.when(waits, later).otherwise(F.col("next_at"))).withColumn("attempts", F.when(waits, tries).otherwise(F.col("attempts")))
+    return out.withColumn("state", F.col("__state")).drop("__done", "__state")
+
+
+def redrive(outbox: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(the outbox with waiting and given-up rows as if new, a maintenance row for each scope with how many they were)."""
+    stuck = F.col("state").isin("pending", "dead_letter")
+    log = outbox.filter(stuck).groupBy("scope").agg(F.count("*").alias("n_rows")).select(F.lit("redrive").alias("action"), "scope", "n_rows", at.alias("at"))
+    reset = {"state": F.lit("pending"), "attempts": F.lit(0), "next_at": at, "lease_until": F.lit(None).cast("timestamp")}
+    return outbox.withColumns({c: F.when(F.col("state").isin("pending", "dead_letter"), v).otherwise(F.col(c)) for c, v in reset.items() if c in outbox.columns}), log
