@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,6 +78,28 @@ def load_rules(text: str) -> list[Rule]:
     return rules
 
 
+def sigma_rule(document: dict) -> Rule:
+    """A rule from a Sigma document (the parsed YAML): selections of fields with values, joined by "and".
+
+    A field may have the modifier ``endswith`` or ``contains``; a list of values means any of them. Whatever can't be
+    said as a conjunction (or, not, of, other modifiers) is an error.
+    """
+    detection = document["detection"]
+    conditions = []
+    for name in re.split(r" +and +", detection["condition"].strip()):
+        if not isinstance(detection.get(name), dict):
+            raise ValueError(f"condition is no conjunction of selections: {detection['condition']}")
+        for key, value in detection[name].items():
+            field, _, modifier = key.partition("|")
+            values = tuple(map(str, value)) if isinstance(value, list) else (str(value),)
+            if modifier not in ("", "endswith", "contains") or (not modifier and len(values) > 1):
+                raise ValueError(f"unsupported field {key}")
+            where = field if field in ("host", "channel", "provider", "event_id") else f"event_data.{field}"
+            conditions.append(Condition(where, f"{modifier}_any", values) if modifier else Condition(where, "equals", values[0]))
+    tags = tuple(t.removeprefix("attack.").upper() for t in document.get("tags", ()) if re.match(r"attack\.t\d", t))
+    return Rule(document["id"], document["title"], document.get("level", "medium"), tuple(conditions), tags, document.get("description", ""), tuple(document.get("falsepositives", ())))
+
+
 def finding_id(rule_id: Column, uids: Column) -> Column:
     """SHA-256 of the rule and its evidence; uids is an array of texts."""
     return F.sha2(F.concat(rule_id, F.lit(":"), F.array_join(uids, ":")), 256)

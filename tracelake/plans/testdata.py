@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import times as tm
-from ..operators import fragments, governance, graph, joins, readiness, rules, sequence
+from ..operators import fragments, governance, graph, joins, network, readiness, review, rules, sequence
 from ..operators.rules import Condition, Rule
+from ..streaming import live
 
 DAY, HOUR = 86400, 3600
 QUERIES: dict = {}
@@ -499,3 +500,120 @@ def q49_due(spark, d):
 @query("SELECT event_type, round(median(value), 6) AS median_value FROM events GROUP BY event_type")
 def q50_median(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median_value"))
+
+
+@query(f"WITH {_QUEUE} SELECT o_orderkey, state, created, due FROM q WHERE state = 'new' ORDER BY created DESC, o_orderkey LIMIT 100")
+def q51_alert_list(spark, d):
+    return review.alert_list(queue(spark, d), "o_orderkey", "new", 100).select("o_orderkey", "state", "created", "due")
+
+
+_CASE = f"""h AS (SELECT o_orderkey, sha1(unhex('{review.CASES.hex}') || encode(o_orderkey::VARCHAR)) AS x FROM orders),
+u AS (SELECT o_orderkey, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || substr('89ab', 1 + ((('0x' || x[17])::INTEGER) & 3), 1) || x[18:20] || '-' || x[21:32] AS case_id FROM h)"""
+
+
+@query(f"WITH {_CASE} SELECT o_orderkey, case_id FROM u WHERE o_orderkey % 3 <> 0")
+def q52_promote(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey")
+    known = review.promote(o.filter("o_orderkey % 3 = 0"), spark.createDataFrame([], "case_id string"), "o_orderkey")
+    return review.promote(o, known, "o_orderkey").select("o_orderkey", "case_id")
+
+
+_BOX = """b AS (SELECT event_id, CASE user_id % 2 WHEN 0 THEN 'lab' ELSE 'site' END AS scope, event_type AS kind, k // 10 AS attempts,
+  CASE WHEN user_id % 7 = 0 THEN 'held_private' WHEN k // 10 >= 8 THEN 'dead_letter' WHEN event_id % 11 = 0 THEN 'delivered' ELSE 'pending' END AS state, ts::TIMESTAMP AS next_at FROM e)"""
+
+
+def outbox(spark, d):
+    tries = F.expr("k div 10").cast("int")
+    state = F.when(F.expr("user_id % 7 = 0"), "held_private").when(tries >= 8, "dead_letter").when(F.expr("event_id % 11 = 0"), "delivered").otherwise("pending")
+    return events(spark, d).select(F.col("event_id").alias("event_uid"), F.when(F.expr("user_id % 2 = 0"), "lab").otherwise("site").alias("scope"), F.col("event_type").alias("kind"), tries.alias("attempts"), state.alias("state"), F.col("ts").alias("next_at"), F.lit(None).cast("timestamp_ntz").alias("lease_until"))
+
+
+@query(f"""WITH {EVENTS}, {_BOX}, r AS (SELECT * FROM b WHERE state = 'pending' AND next_at <= TIMESTAMP '2024-01-10'), f AS (SELECT scope, kind FROM r ORDER BY next_at, event_id LIMIT 1)
+SELECT event_id, scope, kind, TIMESTAMP '2024-01-10 00:03:00' AS lease_until FROM r SEMI JOIN f USING (scope, kind) ORDER BY next_at, event_id LIMIT 100""")
+def q53_claim(spark, d):
+    return live.claim(outbox(spark, d), F.lit("2024-01-10").cast("timestamp_ntz")).select(F.col("event_uid").alias("event_id"), "scope", "kind", "lease_until")
+
+
+@query(f"""WITH {EVENTS}, {_BOX} SELECT scope, state, attempts, count(*) AS n FROM (SELECT scope, CASE WHEN state = 'dead_letter' THEN 'pending' ELSE state END AS state, CASE WHEN state IN ('pending', 'dead_letter') THEN 0 ELSE attempts END AS attempts FROM b) GROUP BY ALL
+UNION ALL SELECT scope, 'redrive', 0, count(*) FROM b WHERE state IN ('pending', 'dead_letter') GROUP BY scope""")
+def q54_redrive(spark, d):
+    box, log = live.redrive(outbox(spark, d), F.lit("2024-01-10").cast("timestamp_ntz"))
+    told = box.groupBy("scope", "state", F.col("attempts").cast("long").alias("attempts")).agg(F.count("*").alias("n"))
+    return told.unionByName(log.select("scope", F.col("action").alias("state"), F.lit(0).cast("long").alias("attempts"), F.col("n_rows").alias("n")))
+
+
+def aliases(spark, d):
+    c = table(spark, d, "customer").filter("c_custkey % 4 <> 0")
+    return c.select(F.concat(F.lit("WS"), F.col("c_custkey").cast("string")).alias("alias"), F.concat(F.lit("asset-"), (F.col("c_custkey") % 10).cast("string")).alias("asset_id"))
+
+
+def hosted(spark, d):
+    return table(spark, d, "events").withColumn("host", F.concat(F.lit("ws"), F.col("user_id").cast("string")))
+
+
+_ASSETS = "a AS (SELECT event_id, user_id, event_type, CASE WHEN c_custkey IS NOT NULL THEN 'asset-' || (user_id % 10) END AS asset_id FROM events LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0) ON c_custkey = user_id)"
+
+
+@query(f"WITH {_ASSETS} SELECT asset_id AS subject, count(*) AS n FROM a WHERE asset_id IS NOT NULL GROUP BY 1 UNION ALL SELECT 'ws' || user_id, count(*) FROM a WHERE asset_id IS NULL GROUP BY user_id")
+def q55_aliases(spark, d):
+    told, rest = review.mapped_assets(hosted(spark, d), aliases(spark, d))
+    return told.filter("asset_id is not null").groupBy(F.col("asset_id").alias("subject")).agg(F.count("*").alias("n")).unionByName(rest.select(F.col("host").alias("subject"), F.col("observations").alias("n")))
+
+
+@query(f"""WITH {_ASSETS}, v AS (SELECT event_id // 5 AS alert, asset_id FROM a UNION ALL SELECT -1, NULL)
+SELECT alert, coalesce(string_agg(DISTINCT asset_id, ',' ORDER BY asset_id), '') AS assets, count(DISTINCT asset_id) AS n_assets, count(*) FILTER (WHERE asset_id IS NULL) AS unmapped FROM v GROUP BY alert""")
+def q56_alert_assets(spark, d):
+    told, _ = review.mapped_assets(hosted(spark, d), aliases(spark, d))
+    alerts = told.groupBy(F.expr("event_id div 5").alias("alert")).agg(F.collect_list("event_id").alias("evidence"))
+    alerts = alerts.unionByName(spark.createDataFrame([(-1, [-5])], "alert long, evidence array<bigint>"))
+    return review.alert_assets(alerts, told, "alert", "event_id").select("alert", F.array_join("assets", ",").alias("assets"), "n_assets", "unmapped")
+
+
+@query("SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS anchors FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 5 GROUP BY user_id")
+def q57_anchors(spark, d):
+    return review.sample_anchors(table(spark, d, "events"), "user_id", "event_id", "ts").select("user_id", F.array_join("anchors", ",").alias("anchors"))
+
+
+_SUMS = " || ':' || ".join(f"sum(('0x' || h[{1 + 8 * i}:{8 + 8 * i}])::BIGINT)::VARCHAR" for i in range(8))
+
+
+@query(f"""WITH r AS (SELECT sha256('{{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}}') AS h FROM customer)
+SELECT count(*) AS n_rows, sha256(count(*)::VARCHAR || ':' || {_SUMS}) AS sha256 FROM r""")
+def q58_fingerprint(spark, d):
+    return review.fingerprint(table(spark, d, "customer").select("c_mktsegment", "c_custkey"))
+
+
+_RANK = "CASE c_mktsegment WHEN 'BUILDING' THEN 4 WHEN 'MACHINERY' THEN 3 WHEN 'HOUSEHOLD' THEN 2 WHEN 'FURNITURE' THEN 1 ELSE 0 END"
+
+
+@query(f"SELECT c_custkey, {_RANK} AS criticality_rank FROM customer ORDER BY criticality_rank DESC, c_custkey LIMIT 100")
+def q59_criticality(spark, d):
+    ranked = review.by_criticality(table(spark, d, "customer"), "c_mktsegment", "c_custkey", {"BUILDING": 4, "MACHINERY": 3, "HOUSEHOLD": 2, "FURNITURE": 1})
+    return ranked.limit(100).select("c_custkey", "criticality_rank")
+
+
+@query("""WITH x AS (SELECT CASE WHEN doc_id % 5 < 3 THEN 'development' ELSE 'holdout' END AS split, toxic = 1 AS label, m.method, CASE m.method WHEN 'words' THEN contains(lower(text), 'the') ELSE length(text) > 500 END AS hit
+  FROM labels JOIN documents USING (doc_id), (VALUES ('words'), ('length')) m(method)),
+n AS (SELECT split, method, count(*) FILTER (WHERE label AND hit) AS tp, count(*) FILTER (WHERE NOT label AND hit) AS fp, count(*) FILTER (WHERE label AND NOT hit) AS fn, count(*) FILTER (WHERE NOT label AND NOT hit) AS tn FROM x GROUP BY ALL)
+SELECT split, method, tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 9) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 9) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END, 9) AS f1 FROM n""")
+def q60_split_metrics(spark, d):
+    from ..sources.corpus import evaluate
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    s = table(spark, d, "labels").join(docs.select("doc_id"), "doc_id").select(F.col("doc_id").alias("id"), F.when(F.expr("doc_id % 5 < 3"), "development").otherwise("holdout").alias("split"), (F.col("toxic") == 1).alias("expected_review"))
+    flagged = [docs.filter(c).select(F.col("doc_id").alias("scenario"), F.lit(m).alias("method")) for m, c in (("words", F.lower("text").contains("the")), ("length", F.length("text") > 500))]
+    out = evaluate(s, flagged[0].unionByName(flagged[1]), ["words", "length"])
+    return out.select("split", "method", "tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("""WITH f AS (SELECT event_id, user_id AS o, k AS p FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events) WHERE event_type = 'error'),
+c AS (SELECT c_custkey, c_name, c_mktsegment IN ('BUILDING', 'MACHINERY') AS urgent FROM customer WHERE c_custkey % 3 = 0),
+x AS (SELECT event_id, c_name, urgent FROM (SELECT DISTINCT event_id, unnest([o, p]) AS a FROM f) JOIN c ON c_custkey = a)
+SELECT f.event_id, coalesce(string_agg(c_name, ',' ORDER BY c_name), '') AS assets, CASE WHEN coalesce(bool_or(urgent), false) THEN 'review_first' WHEN count(c_name) = 0 THEN 'context_needed' ELSE 'review' END AS priority
+FROM f LEFT JOIN x USING (event_id) GROUP BY f.event_id""")
+def q61_lead_context(spark, d):
+    e = events(spark, d).filter(kind("error"))
+    flows = e.select(F.lit("s").alias("source_sha256"), F.col("event_id").cast("string").alias("flow_id"), F.col("user_id").cast("string").alias("origin_ip"), F.col("k").cast("string").alias("peer_ip"))
+    assets = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("ip"), F.col("c_name").alias("name"), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "high").otherwise("low").alias("criticality"))
+    leads = flows.select(F.lit("L").alias("lead"), "source_sha256", "flow_id")
+    return network.with_asset_context(leads, flows, assets).select(F.col("flow_id").cast("long").alias("event_id"), F.array_join("assets", ",").alias("assets"), "priority")
