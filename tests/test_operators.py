@@ -146,3 +146,33 @@ def test_confusion_is_null_on_zero(spark):
     df = spark.createDataFrame([(True, False), (None, False)], "label boolean, hit boolean")
     r = readiness.confusion(df, F.col("label"), F.col("hit")).first()
     assert (r.tp, r.fp, r.fn, r.tn, r.precision, r.recall, r.f1) == (0, 0, 1, 1, None, 0.0, 0.0)
+
+
+def test_sigma_documents_become_rules():
+    import pytest
+
+    from tracelake.operators.rules import sigma_rule
+
+    document = {"id": "s", "title": "t", "level": "high", "tags": ["attack.t1218.005", "attack.execution"], "detection": {"image": {"Image|endswith": "\\mshta.exe"}, "line": {"CommandLine|contains": ["http://", "https://"], "event_id": "1"}, "condition": "image and line"}}
+    rule = sigma_rule(document)
+    assert [(c.field, c.op, c.value) for c in rule.conditions] == [("event_data.Image", "endswith_any", ("\\mshta.exe",)), ("event_data.CommandLine", "contains_any", ("http://", "https://")), ("event_id", "equals", "1")]
+    assert (rule.severity, rule.attack) == ("high", ("T1218.005",))
+    for condition in ("image or line", "not image", "1 of them"):
+        with pytest.raises(ValueError):
+            sigma_rule(document | {"detection": document["detection"] | {"condition": condition}})
+
+
+def test_distinct_and_cooldown_across_batches(spark):
+    rows = stream(6, 900)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    last, fired = {}, []
+    for i, t, u, _, _ in rows:
+        if u not in last or t - last[u] > 90:
+            fired.append(i)
+            last[u] = t
+    try:
+        assert sorted(r.id for r in sequence.cooldown(frame(spark, rows), ["user"], "ts", ["id"], 90).collect()) == fired
+        links = governance.chain(frame(spark, rows), ["user"], ["id"], F.col("kind")).cache()
+        assert links.count() == 900 and governance.chain_errors(links, ["user"], F.col("kind")).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

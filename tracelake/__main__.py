@@ -1,4 +1,4 @@
-"""python -m tracelake COMMAND: ingest, analyze, hunt, query, investigate, search, scripts, decode, network, verify."""
+"""python -m tracelake COMMAND: ingest, analyze, hunt, query, investigate, search, scripts, decode, network, verify, evaluate, live, snapshot, restore, alerts."""
 
 from __future__ import annotations
 
@@ -31,6 +31,16 @@ def parser() -> argparse.ArgumentParser:
     command("decode", "text")
     command("network", "capture")
     command("verify", "bundle")
+    command("evaluate", "folder")
+    live = command("live", "source", "store", "now")
+    live.add_argument("--batch", type=int, default=0)
+    live.add_argument("--window", type=int, default=600)
+    live.add_argument("--most", type=int)
+    command("snapshot", "store", "folder")
+    command("restore", "folder", "store")
+    listed = command("alerts", "store")
+    listed.add_argument("--state")
+    listed.add_argument("--limit", type=int, default=50)
     return p
 
 
@@ -44,16 +54,43 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import functions as F
 
     from .functions.text import encoded_command
-    from .operators import network
+    from .operators import network, review
     from .plans import windows
-    from .sources import captures, events, sinks
+    from .sources import captures, corpus, events, sinks
+    from .streaming import live
 
     a = parser().parse_args(argv)
+    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
     if a.command == "verify":
-        problems = sinks.verify_bundle(a.bundle)
+        problems = sinks.verify_bundle(spark, a.bundle)
         print("\n".join(problems) or "unchanged")
         return 2 if problems else 0
-    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
+    if a.command == "evaluate":
+        scenarios, problems = corpus.load_scenarios(spark, a.folder)
+        if not problems.isEmpty():
+            show(problems)
+            return 2
+        found = windows.findings(corpus.scenario_events(scenarios)).join(corpus.scenario_events(scenarios).select("event_uid", "scenario"), "event_uid")
+        rules_, sequences = (found.filter(F.col("rule_id").startswith(x)).select("scenario", F.lit(m).alias("method")) for x, m in (("WIN-", "rules"), ("AUTH-", "sequences")))
+        show(corpus.evaluate(scenarios, rules_.unionByName(sequences), ["rules", "sequences"]).orderBy("split", "method"))
+        return 0
+    if a.command == "live":
+        got = events.ingest(spark, a.source)
+        if not got.errors.isEmpty():
+            show(got.errors)
+            return 2
+        store = live.Store(spark, a.store, got.events.schema)
+        live.process(store, got.events, a.batch, windows.findings, F.lit(a.now).cast("timestamp"), a.window, live.Limits(batch_records=a.most))
+        return 0
+    if a.command == "snapshot":
+        print(json.dumps(sinks.snapshot(spark, a.store, a.folder)))
+        return 0
+    if a.command == "restore":
+        sinks.restore(spark, a.folder, a.store)
+        return 0
+    if a.command == "alerts":
+        show(review.alert_list(spark.read.parquet(f"{a.store}/alerts"), "finding_id", a.state, a.limit))
+        return 0
     if a.command == "ingest":
         known = spark.read.parquet(f"{a.table}/sources") if _there(spark, f"{a.table}/sources") else None
         got = events.ingest(spark, a.source, known)

@@ -1,24 +1,25 @@
 """Writers: analysis bundles, case archives, metrics and delivery of log lines.
 
-Tables go out through Spark; only small documents (manifests, metrics, one case) are made on the driver. A bundle
-is written beside its place and moved there when complete, so a reader never sees half of one.
+Tables go out through Spark, to any file system that it writes; only small documents (manifests, metrics, one case) are
+made on the driver. A bundle or snapshot is written beside its place and moved there when complete, so a reader never
+sees half of one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_cell
 from ..functions.times import utc_text
+from ..operators.review import fingerprint
 
 TIMELINE = ("timestamp", "host", "channel", "provider", "event_id", "record_id", "source_sha256", "source_line", "event_uid")
 PROCESS_FIELDS = ("Image", "CommandLine", "ParentImage", "User", "ProcessGuid", "ParentProcessGuid", "LogonGuid")
@@ -38,50 +39,132 @@ def processes(events: DataFrame) -> DataFrame:
     return rows.select(utc_text(F.col("timestamp")).alias("timestamp"), csv_cell(F.col("host")).alias("host"), "event_uid", *fields)
 
 
+class Folder:
+    """A folder on any file system that Spark knows, by its URI or path."""
+
+    def __init__(self, spark: SparkSession, at: str):
+        self.spark, self.jvm = spark, spark.sparkContext._jvm
+        path = self.jvm.org.apache.hadoop.fs.Path(at.rstrip("/"))
+        self.files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.path = self.files.makeQualified(path)
+        self.at = self.path.toString()
+
+    def exists(self) -> bool:
+        return self.files.exists(self.path)
+
+    def write_text(self, name: str, text: str) -> None:
+        out = self.files.create(self.jvm.org.apache.hadoop.fs.Path(self.path, name))
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def read_text(self, name: str) -> str:
+        return self.spark.read.text(f"{self.at}/{name}", wholetext=True).first()[0]
+
+    def beside(self) -> Folder:
+        return Folder(self.spark, f"{self.at}.{uuid.uuid4().hex}.part")
+
+    def become(self, other: Folder) -> None:
+        if other.exists() or not self.files.rename(self.path, other.path):
+            raise FileExistsError(other.at)
+
+
+def inventory(folder: Folder, *tables: str) -> DataFrame:
+    """(file, sha256) of the data files of these tables below folder, hashed where Spark reads them."""
+    files = folder.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load([f"{folder.at}/{t}" for t in tables])
+    return files.select(F.substring("path", len(folder.at) + 2, 4096).alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+BUNDLE = ("findings", "timeline", "processes", "sources")
+
+
 def write_bundle(folder: str, events: DataFrame, findings: DataFrame, sources: DataFrame, parameters: dict) -> dict:
-    """findings (JSON lines), timeline and processes (CSV) and manifest.json in a new local folder; returns the manifest."""
-    if os.path.exists(folder):
+    """findings (JSON lines), timeline and processes (CSV), sources, the inventory of all files, and manifest.json in a new folder; returns the manifest."""
+    spark = events.sparkSession
+    place = Folder(spark, folder)
+    if place.exists():
         raise FileExistsError(folder)
-    staged = f"{folder}.{uuid.uuid4().hex}.part"
+    staged = place.beside()
     began = time.time()
-    findings.write.json(f"file://{os.path.abspath(staged)}/findings")
-    timeline(events).write.option("header", True).csv(f"file://{os.path.abspath(staged)}/timeline")
-    processes(events).write.option("header", True).csv(f"file://{os.path.abspath(staged)}/processes")
-    counts = {r.rule_id: r["count"] for r in findings.groupBy("rule_id").count().collect()}
+    findings.write.json(f"{staged.at}/findings")
+    timeline(events).write.option("header", True).csv(f"{staged.at}/timeline")
+    processes(events).write.option("header", True).csv(f"{staged.at}/processes")
+    sources.write.json(f"{staged.at}/sources")
+    listed = inventory(staged, *BUNDLE)
+    listed.write.json(f"{staged.at}/inventory")
     manifest = {
-        "sources": [r.asDict() for r in sources.orderBy("source_sha256").limit(10_000).collect()],
+        "sources": fingerprint(sources).first().asDict(),
         "events": events.count(),
-        "findings_by_rule": counts,
+        "findings_by_rule": {r.rule_id: r["count"] for r in findings.groupBy("rule_id").count().collect()},
         "findings_by_status": {r.status: r["count"] for r in findings.groupBy("status").count().collect()},
         "parameters": parameters,
         "verdict": "unassessed",
         "seconds": round(time.time() - began, 3),
-        "files": inventory(staged),
+        "files": fingerprint(listed).first().asDict(),
     }
-    with open(f"{staged}/manifest.json", "w", encoding="utf-8") as f:
-        json.dump(manifest, f, ensure_ascii=False, sort_keys=True, indent=1)
-    os.rename(staged, folder)
+    staged.write_text("manifest.json", json.dumps(manifest, ensure_ascii=False, sort_keys=True, indent=1))
+    staged.become(place)
+    return manifest
+
+
+def verify_bundle(spark: SparkSession, folder: str, most: int = 1000) -> list[str]:
+    """What differs from the manifest, at most so many: changed, missing or added files, another inventory, other counts."""
+    place = Folder(spark, folder)
+    manifest = json.loads(place.read_text("manifest.json"))
+    told = spark.read.schema("file string, sha256 string").json(f"{place.at}/inventory")
+    now = inventory(place, *BUNDLE).withColumnRenamed("sha256", "now")
+    state = F.when(F.col("now").isNull(), "missing").when(F.col("sha256").isNull(), "added").otherwise("changed")
+    odd = told.join(now, "file", "full").filter("not (sha256 <=> now)").select(F.concat_ws(" ", state, "file").alias("problem"))
+    problems = [r.problem for r in odd.orderBy("problem").limit(most).collect()]
+    if fingerprint(told).first().asDict() != manifest["files"]:
+        problems.append("changed inventory")
+    counts = {r.rule_id: r["count"] for r in spark.read.schema("rule_id string").json(f"{place.at}/findings").groupBy("rule_id").count().collect()}
+    return problems + (["other findings than counted"] if counts != manifest["findings_by_rule"] else [])
+
+
+LOGS = ("events", "alerts", "outbox")
+
+
+def snapshot(spark: SparkSession, store: str, folder: str) -> dict:
+    """A copy of a live store's logs in a new folder, with the fingerprint of each; returns the manifest."""
+    place, source = Folder(spark, folder), Folder(spark, store)
+    if place.exists():
+        raise FileExistsError(folder)
+    staged, manifest = place.beside(), {}
+    for log in LOGS:
+        if Folder(spark, f"{source.at}/{log}").exists():
+            rows = spark.read.parquet(f"{source.at}/{log}")
+            rows.write.partitionBy("batch", "day").parquet(f"{staged.at}/{log}")
+            manifest[log] = fingerprint(spark.read.parquet(f"{staged.at}/{log}")).first().asDict()
+    staged.write_text("manifest.json", json.dumps(manifest, sort_keys=True))
+    staged.become(place)
     return manifest
 
 
-def inventory(folder: str) -> dict[str, str]:
-    """SHA-256 of every data file below folder, by its relative path."""
-    out = {}
-    for at, _, names in os.walk(folder):
-        for n in sorted(names):
-            if n.startswith("part-"):
-                path = os.path.join(at, n)
-                with open(path, "rb") as f:
-                    out[os.path.relpath(path, folder)] = hashlib.file_digest(f, "sha256").hexdigest()
-    return out
-
-
-def verify_bundle(folder: str) -> list[str]:
-    """What differs from the manifest: changed, missing or added files."""
-    with open(f"{folder}/manifest.json", encoding="utf-8") as f:
-        told = json.load(f)["files"]
-    now = inventory(folder)
-    return sorted([f"changed {p}" for p in told if p in now and told[p] != now[p]] + [f"missing {p}" for p in told if p not in now] + [f"added {p}" for p in now if p not in told])
+def restore(spark: SparkSession, folder: str, store: str) -> None:
+    """The store of a snapshot, in a new folder, if every log is named by the manifest and has its fingerprint."""
+    place, target = Folder(spark, folder), Folder(spark, store)
+    manifest = json.loads(place.read_text("manifest.json"))
+    there = {log for log in LOGS if Folder(spark, f"{place.at}/{log}").exists()}
+    if target.exists() or set(manifest) != there:
+        raise ValueError("the store exists, or the snapshot has other logs than its manifest")
+    staged = target.beside()
+    for log in sorted(there):
+        rows = spark.read.parquet(f"{place.at}/{log}")
+        if fingerprint(rows).first().asDict() != manifest[log]:
+            raise ValueError(f"{log} is not as it was")
+        rows.write.partitionBy("batch", "day").parquet(f"{staged.at}/{log}")
+    staged.become(target)
+
+
+def review_archive(path: str, id_: str, alerts: DataFrame, log: DataFrame, events: DataFrame, most: int = 1000) -> str:
+    """A zip of one alert with its revisions and the anchors of its evidence, at most so many of each; returns its SHA-256."""
+    alert = alerts.filter(F.col("finding_id") == id_).limit(2).collect()
+    if len(alert) != 1:
+        raise ValueError(f"{len(alert)} alerts have this id")
+    revisions = log.filter(F.col("finding_id") == id_).orderBy("revision").limit(most).collect()
+    anchors = events.filter(F.col("event_uid").isin(list(alert[0].evidence)[:most])).select("event_uid", "source_sha256", "source_line", "host", F.col("timestamp").cast("string").alias("timestamp"))
+    plain = lambda rows: json.loads(json.dumps([r.asDict(recursive=True) for r in rows], default=str))
+    return case_archive(path, {"alert.json": plain(alert)[0], "audit.json": plain(revisions), "anchors.json": plain(anchors.orderBy("event_uid").collect())})
 
 
 def case_archive(path: str, documents: dict[str, object]) -> str:
