@@ -53,6 +53,14 @@ def test_ingest_is_strict_and_whole(spark, tmp_path):
     assert events.flatten(got.events).first().CommandLine == ""
 
 
+def test_large_files_are_refused(spark, tmp_path, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(events, "MAX_FILE", 50)
+    with pytest.raises(ValueError, match="more than 50 bytes"):
+        events.ingest(spark, write(tmp_path / "s.jsonl", scenario()))
+
+
 def test_findings_hunts_chain_and_scripts(spark, tmp_path):
     e = events.ingest(spark, write(tmp_path / "s.jsonl", scenario() + [scenario()[0]])).events.cache()
     assert sorted((r.rule_id, len(r.evidence)) for r in windows.findings(e).collect()) == [("AUTH-001", 6), ("WIN-004", 1), ("WIN-008", 1)]

@@ -54,9 +54,12 @@ def _cycle_closers(edges: DataFrame) -> DataFrame:
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the folder of spark.checkpoint.dir, or from a temporary one where none is set."""
+    """df, computed once and read back from the folder of spark.checkpoint.dir; on a single machine, from a temporary one where none is set."""
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracelake-")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    at = at or "file://" + tempfile.mkdtemp(prefix="tracelake-")
     path = f"{at.rstrip('/')}/ancestors-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,8 @@
 
 A file is known by the SHA-256 of its bytes and a line by its number, so rereading a file gives the same event
 ids. Lines are split at line feeds only. A file with any invalid line is left out as a whole and reported.
-Duplicate keys within a line count as invalid.
+Duplicate keys within a line count as invalid. A file is read whole by one task, so files of more than MAX_FILE bytes
+are refused before any is read; files are read in parallel.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from ..functions.times import utc_text, utc_timestamp
 
 TEXT_FIELDS = ("host", "channel", "provider")
 NUMBER_FIELDS = ("event_id", "record_id")
+#: Bytes of a file that is read whole.
+MAX_FILE = 1 << 29
 
 
 @dataclass
@@ -27,7 +30,10 @@ class Ingested:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, source_sha256, source_line, raw) of all lines that aren't blank."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("source_sha256"), F.decode("content", "UTF-8").alias("text"))
+    found = spark.read.format("binaryFile").load(path)
+    for large in found.filter(F.col("length") > MAX_FILE).select("path").limit(1).collect():
+        raise ValueError(f"{large.path} has more than {MAX_FILE} bytes; split it at line feeds")
+    files = found.select("path", F.sha2("content", 256).alias("source_sha256"), F.decode("content", "UTF-8").alias("text"))
     split = files.select("path", "source_sha256", F.posexplode(F.split("text", "\n", -1)).alias("n", "raw"))
     raw = F.when(F.col("n") == 0, F.regexp_replace("raw", "^﻿", "")).otherwise(F.col("raw"))
     out = split.select("path", "source_sha256", (F.col("n") + 1).cast("long").alias("source_line"), F.regexp_replace(raw, "\r$", "").alias("raw"))
