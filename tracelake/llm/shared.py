@@ -48,15 +48,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all intermediate folders and tables made so far. Call it when the results that use them are written."""
-    for t in _made["tables"]:
+def mark() -> tuple[int, int]:
+    """The intermediates made so far, for release()."""
+    return len(_made["paths"]), len(_made["tables"])
+
+
+def release(spark: SparkSession, since: tuple[int, int] = (0, 0)) -> None:
+    """Deletes the intermediate folders and tables made since a mark(). Call it when the results that use them are written."""
+    paths, tables = _made["paths"][since[0] :], _made["tables"][since[1] :]
+    del _made["paths"][since[0] :], _made["tables"][since[1] :]
+    for t in tables:
         spark.sql(f"DROP TABLE IF EXISTS {t}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for p in _made["paths"]:
+    for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
-    _made["paths"], _made["tables"] = [], []
 
 
 def column_name(df: DataFrame, base: str) -> str:
