@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import minhash, mixing, packing, quality, substring
-from tracelake.llm.shared import new_path, release
+from tracelake.llm.shared import mark, new_path, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -62,8 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = new_path(spark, name.replace(" ", "-"))
+        path, before = new_path(spark, name.replace(" ", "-")), mark()
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        release(spark)  # what the stage left in the shared folder
+        release(spark, before)  # what the stage left in the shared folder
     return STAGES[-1][1](spark, docs, sf_dir)
