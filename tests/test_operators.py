@@ -176,3 +176,26 @@ def test_distinct_and_cooldown_across_batches(spark):
         assert links.count() == 900 and governance.chain_errors(links, ["user"], F.col("kind")).isEmpty()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_documents_are_strict():
+    import pytest
+
+    from tracelake.functions import documents
+
+    assert documents.read_strict('{"b": [1, "é"], "a": 2}') == {"a": 2, "b": [1, "é"]}
+    assert documents.canonical({"b": [1, "é"], "a": 2}) == '{"a":2,"b":[1,"é"]}'
+    for bad in ('{"a": 1, "a": 2}', '{"a": NaN}', "[1e", b"\xff", " " * 2000):
+        with pytest.raises(ValueError):
+            documents.read_strict(bad, most=1000)
+    assert (documents.checked_text("a b"), documents.checked_name("lab-1")) == ("a b", "lab-1")
+    for f, bad in ((documents.checked_text, " "), (documents.checked_text, "a\x00"), (documents.checked_text, None), (documents.checked_name, "../x"), (documents.checked_name, "")):
+        with pytest.raises(ValueError):
+            f(bad)
+
+
+def test_profiles_are_valid_for_a_time(spark):
+    rows = [("ok", "2024-01-01", "2024-12-31"), ("long", "2024-01-01", "2026-01-01"), ("back", "2024-03-01", "2024-02-01"), ("old", "2023-01-01", "2023-06-01"), ("none", None, "2024-06-01")]
+    df = spark.createDataFrame(rows, "id string, a string, b string").select("id", F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"))
+    got = readiness.validity_errors(df, "id", "a", "b", F.lit("2024-05-01").cast("timestamp_ntz")).collect()
+    assert sorted(map(tuple, got)) == [("back", "ends before it begins"), ("long", "valid for too long"), ("none", "no validity"), ("old", "not valid now")]

@@ -85,3 +85,13 @@ def next_revision(current: DataFrame, changes: DataFrame, key: str, revision: st
     first = F.row_number().over(Window.partitionBy(key, revision).orderBy(*[F.col(c) for c in changes.columns if c not in (key, revision)]))
     seen = seen.withColumn("__ok", (F.coalesce("__now", F.lit(0)) == F.col(revision)) & (first == 1))
     return seen.filter("__ok").withColumn(revision, F.col(revision) + 1).drop("__now", "__ok"), seen.filter("not __ok").drop("__now", "__ok")
+
+
+def attach_evidence(cases: DataFrame, added: DataFrame, key: str, evidence: str = "evidence", most: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(cases with the uids of added (key, uid) after their own, each once; keys refused as they would have more than ``most`` or no case)."""
+    new = added.groupBy(key).agg(F.array_sort(F.collect_set("uid")).alias("__new"))
+    told = cases.join(new, key, "left").withColumn("__all", F.array_union(evidence, F.coalesce("__new", F.array().cast("array<string>"))))
+    fits = F.size("__all") <= most
+    out = told.withColumn(evidence, F.when(fits, F.col("__all")).otherwise(F.col(evidence))).drop("__new", "__all")
+    refused = told.filter(~fits).select(key).unionByName(new.join(cases.select(key), key, "left_anti").select(key))
+    return out, refused

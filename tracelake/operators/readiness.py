@@ -80,8 +80,25 @@ def confusion(df: DataFrame, label: Column, predicted: Column, *by: str) -> Data
     return out.withColumn("precision", F.try_divide(tp, tp + fp)).withColumn("recall", F.try_divide(tp, tp + fn)).withColumn("f1", F.try_divide(2 * tp, 2 * tp + fp + fn))
 
 
-def queue_health(df: DataFrame, state: str, created: str, due: str, as_of: Column) -> DataFrame:
-    """Per state: n_rows, oldest_age_s and n_overdue (rows that aren't closed and past due)."""
+def queue_health(df: DataFrame, state: str, created: str, due: str, as_of: Column, *by: str) -> DataFrame:
+    """Per state, within the columns ``by`` (such as a scope): n_rows, oldest_age_s and n_overdue (rows that aren't closed and past due)."""
     age = (micros(as_of) - micros(F.col(created))) / SECOND
     late = (F.col(state) != "closed") & (F.col(due) < as_of)
-    return df.groupBy(state).agg(F.count("*").alias("n_rows"), F.max(age).alias("oldest_age_s"), F.count_if(late).alias("n_overdue"))
+    return df.groupBy(*by, state).agg(F.count("*").alias("n_rows"), F.max(age).alias("oldest_age_s"), F.count_if(late).alias("n_overdue"))
+
+
+def validity_errors(profiles: DataFrame, id_: str, begin: str, end: str, as_of: Column, most_days: int = 366) -> DataFrame:
+    """(id, error) of profiles whose time is missing, ends before it begins, is longer than so many days or isn't now."""
+    width = (micros(F.col(end)) - micros(F.col(begin))) / (86400 * SECOND)
+    error = (
+        F.when(width.isNull(), F.lit("no validity"))
+        .when(width <= 0, F.lit("ends before it begins"))
+        .when(width > most_days, F.lit("valid for too long"))
+        .when(~as_of.between(F.col(begin), F.col(end)), F.lit("not valid now"))
+    )
+    return profiles.select(id_, error.alias("error")).filter("error is not null")
+
+
+def totals(df: DataFrame, issues: str, *flags: str) -> DataFrame:
+    """One row: all rows, those with issues, and those for which each flag holds."""
+    return df.agg(F.count("*").alias("n_rows"), F.count_if(F.col(issues) > 0).alias("n_with_issues"), *[F.count_if(F.col(f)).alias(f"n_{f}") for f in flags])

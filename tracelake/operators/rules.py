@@ -7,13 +7,13 @@ once, when the rule is compiled, and all rules of a set are evaluated in one pas
 from __future__ import annotations
 
 import functools
-import json
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.documents import read_strict
 from ..functions.text import fold
 
 OPERATORS = ("equals", "contains_any", "endswith_any")
@@ -61,7 +61,7 @@ def event_field(name: str) -> Column:
 def load_rules(text: str) -> list[Rule]:
     """Rules from a JSON list; rejects unknown operators, missing parts and repeated ids."""
     rules = []
-    for r in json.loads(text):
+    for r in read_strict(text):
         conditions = []
         for c in r["conditions"]:
             if c["op"] not in OPERATORS or not c["field"]:

@@ -110,3 +110,9 @@ def gap_statistics(df: DataFrame, keys: list[str], ts: str, order: list[str], le
     rows = df.withColumn("__t", micros(F.col(ts))).withColumn("__g", (F.col("__t") - F.lag("__t").over(own)) / SECOND)
     out = rows.groupBy(*keys).agg(F.count("*").alias("n_events"), ((F.max("__t") - F.min("__t")) / SECOND).alias("span_s"), F.avg("__g").alias("mean_gap_s"), F.stddev_pop("__g").alias("dev_gap_s"))
     return out.filter(F.col("n_events") >= least).withColumn("variation", F.try_divide("dev_gap_s", "mean_gap_s"))
+
+
+def count_over_time(df: DataFrame, ts: str, at: Column, seconds: int, *by: str) -> DataFrame:
+    """How many rows lie in the last ``seconds`` before ``at`` (later than their begin, up to their end), by label."""
+    t = micros(F.col(ts))
+    return df.filter((t > micros(at) - seconds * SECOND) & (t <= micros(at))).groupBy(*by).agg(F.count("*").alias("n"))

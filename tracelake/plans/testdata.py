@@ -617,3 +617,24 @@ def q61_lead_context(spark, d):
     assets = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("ip"), F.col("c_name").alias("name"), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "high").otherwise("low").alias("criticality"))
     leads = flows.select(F.lit("L").alias("lead"), "source_sha256", "flow_id")
     return network.with_asset_context(leads, flows, assets).select(F.col("flow_id").cast("long").alias("event_id"), F.array_join("assets", ",").alias("assets"), "priority")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-12' AND ts <= TIMESTAMP '2024-01-15' GROUP BY event_type")
+def q62_count_over_time(spark, d):
+    return sequence.count_over_time(table(spark, d, "events"), "ts", F.lit("2024-01-15").cast("timestamp_ntz"), 3 * DAY, "event_type")
+
+
+@query(f"""WITH {_QUEUE} SELECT o_orderkey % 3 AS scope, state, count(*) AS n_rows, max(date_diff('microsecond', created, TIMESTAMP '1999-01-01')) / 1e6 AS oldest_age_s, count(*) FILTER (WHERE state <> 'closed' AND due < TIMESTAMP '1999-01-01') AS n_overdue FROM q GROUP BY ALL""")
+def q63_scope_health(spark, d):
+    q = queue(spark, d).withColumn("scope", F.col("o_orderkey") % 3)
+    return readiness.queue_health(q, "state", "created", "due", F.lit("1999-01-01").cast("timestamp_ntz"), "scope")
+
+
+@query("""WITH c AS (SELECT o_custkey, list_sort(list_distinct(list(o_orderkey % 40))) AS old FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL), a AS (SELECT o_custkey, list_sort(list_distinct(list(o_orderkey % 40))) AS new FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL),
+j AS (SELECT coalesce(c.o_custkey, a.o_custkey) AS o_custkey, old, len(list_distinct(list_concat(coalesce(old, []), coalesce(new, [])))) AS n FROM c FULL JOIN a USING (o_custkey))
+SELECT o_custkey, CASE WHEN old IS NOT NULL AND n <= 9 THEN n ELSE len(old) END AS n_evidence, old IS NULL OR n > 9 AS refused FROM j WHERE old IS NOT NULL OR n > 0""")
+def q64_attach(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 40).cast("string").alias("uid"))
+    cases = o.filter("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.array_sort(F.collect_set("uid")).alias("evidence"))
+    now, refused = governance.attach_evidence(cases, o.filter("o_orderkey % 2 = 1"), "o_custkey", most=9)
+    return now.join(refused.withColumn("refused", F.lit(True)), "o_custkey", "full").select("o_custkey", F.size("evidence").cast("long").alias("n_evidence"), F.coalesce("refused", F.lit(False)).alias("refused"))

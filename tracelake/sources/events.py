@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import utc_text, utc_timestamp
@@ -103,6 +103,15 @@ def search(events: DataFrame, host=None, user=None, start=None, end=None, event_
 FLAT_FIELDS = ("TargetUserName", "TargetDomainName", "IpAddress", "LogonType", "User", "Image", "CommandLine", "ParentImage", "DestinationIp", "ProcessGuid")
 
 
+#: What stands for an event in evidence.
+ANCHOR = ("event_uid", "source_sha256", "source_line", "timestamp", "host", "event_id", "record_id")
+
+
+def reference() -> Column:
+    """An event's anchor, as a struct."""
+    return F.struct(*ANCHOR)
+
+
 def flatten(events: DataFrame) -> DataFrame:
     """Events as flat log lines; missing fields are empty texts."""
     extra = [F.coalesce(F.col("event_data")[k], F.lit("")).alias(k) for k in FLAT_FIELDS]
