@@ -55,6 +55,12 @@ def heartbeat_state(error: Column, gaps: Column, updated: Column, as_of: Column,
     return F.when(max_age.isNull(), F.lit("not required")).when(updated.isNull(), F.lit("missing")).when(bad, F.lit("needs review")).otherwise(F.lit("healthy"))
 
 
+def collector_states(heartbeats: DataFrame, key: str, at: str, gaps: str, error: str, cursor: str) -> DataFrame:
+    """A row for each collector of an append-only log of heartbeats: when it was last heard of, all gaps so far, its last error and cursor."""
+    last = lambda c: F.max_by(c, at).alias(c)
+    return heartbeats.groupBy(key).agg(F.max(at).alias("updated"), F.sum(F.coalesce(gaps, F.lit(0))).alias(gaps), last(error), last(cursor))
+
+
 def unmapped(df: DataFrame, inventory: DataFrame, key: str) -> DataFrame:
     """(key, observations) that the inventory doesn't have; the row counts come first, so the join sees one row a key."""
     return df.groupBy(key).agg(F.count("*").alias("observations")).join(inventory.select(key).distinct(), key, "left_anti")

@@ -638,3 +638,12 @@ def q64_attach(spark, d):
     cases = o.filter("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.array_sort(F.collect_set("uid")).alias("evidence"))
     now, refused = governance.attach_evidence(cases, o.filter("o_orderkey % 2 = 1"), "o_custkey", most=9)
     return now.join(refused.withColumn("refused", F.lit(True)), "o_custkey", "full").select("o_custkey", F.size("evidence").cast("long").alias("n_evidence"), F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
+@query(f"""WITH {EVENTS}, h AS (SELECT user_id, max(ts) AS updated, sum(k % 3)::BIGINT AS gaps, arg_max(CASE WHEN event_type = 'error' THEN event_type ELSE '' END, ts) AS error, max(event_id) AS cursor FROM e GROUP BY user_id)
+SELECT user_id, updated, gaps, error, cursor, CASE WHEN error <> '' OR gaps > 95 OR date_diff('microsecond', updated, TIMESTAMP '2024-01-30') / 1e6 > 36000 OR updated > TIMESTAMP '2024-01-30' THEN 'needs review' ELSE 'healthy' END AS state FROM h""")
+def q65_collectors(spark, d):
+    e = events(spark, d).withColumn("gaps", F.col("k") % 3).withColumn("error", F.when(kind("error"), F.col("event_type")).otherwise(""))
+    s = readiness.collector_states(e, "user_id", "ts", "gaps", "error", "event_id")
+    state = readiness.heartbeat_state(F.col("error"), F.when(F.col("gaps") > 95, F.col("gaps")).otherwise(0), F.col("updated"), F.lit("2024-01-30").cast("timestamp_ntz"), F.lit(36000))
+    return s.select("user_id", "updated", "gaps", "error", F.col("event_id").alias("cursor"), state.alias("state"))
