@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", pe
             break
         nodes, alike = (None, rest) if depth == DEPTH else _branched(rest, vertices.select("id", "tokens"), depth)
         if not alike.isEmpty():
-            links = links.union(blocked_links(with_candidates(_merged(alike), sketches, percent), texts, percent))
+            links = links.union(blocked_links(written(with_candidates(_merged(alike), sketches, percent), "crowds"), texts, percent))
         if nodes is None or nodes.isEmpty():
             break
         joined = written(components(links), "components")
