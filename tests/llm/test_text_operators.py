@@ -5,7 +5,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import keysets, minhash, quality, shared, substring, suffix
+from tracelake.llm import graph, keysets, minhash, quality, shared, substring, suffix
 
 SCHEMA = "doc_id long, text string, lang string, part string, kept string"
 
@@ -153,8 +153,19 @@ def test_hot_keys_stay_in_place(spark, monkeypatch):
         assert sorted((r.key, r.id, r.n) for r in got) == sorted((k, i, n) for k, n in ((1, 50), (2, 3), (3, 1)) for i in range(n))
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_of_stars_and_chains(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_KEYS", few)
+    monkeypatch.setattr(shared, "FEW_KEYS", few)
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    links = [(i, i + 1) for i in range(30)] + [(200, i) for i in range(100, 140)] + [(139, 300), (7, 7), (3, 2)]
+    got = dict(graph.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {i: 0 for i in range(31)} | {i: 100 for i in [*range(100, 140), 200, 300]}
+
+
 def test_near_duplicates_with_hot_keys(spark, rows, monkeypatch):
     monkeypatch.setattr(shared, "FEW_KEYS", 0)
+    monkeypatch.setattr(graph, "FEW_KEYS", 0)
     monkeypatch.setattr(shared, "HOT_ROWS", 4)
     monkeypatch.setattr(minhash, "HOT_ROWS", 4)
     found = minhash.near_duplicates(frame(spark, rows)).select("doc_id", "text", "n_shingles", "component_id", "kept").collect()
