@@ -150,7 +150,10 @@ def test_hot_keys_stay_in_place(spark, monkeypatch):
         monkeypatch.setattr(shared, "FEW_KEYS", few)
         monkeypatch.setattr(shared, "HOT_ROWS", hot)
         got = shared.joined_by_key(df, table, "key", "n").collect()
-        assert sorted((r.key, r.id, r.n) for r in got) == sorted((k, i, n) for k, n in ((1, 50), (2, 3), (3, 1)) for i in range(n))
+        want = [(k, i, n) for k, n in ((1, 50), (2, 3), (3, 1)) for i in range(n)]
+        assert sorted((r.key, r.id, r.n) for r in got) == want
+        left = shared.joined_by_key(df, table, ["key"], "n", "left").collect()
+        assert sorted((r.key or 0, r.id, r.n or 0) for r in left) == sorted([*want, (0, 1, 0), (4, 1, 0)])
 
 
 @pytest.mark.parametrize("few", [0, 10**6])

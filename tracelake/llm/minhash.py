@@ -304,8 +304,8 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", pe
     docs = docs.drop("n_shingles", "component_id", "kept")
     signed = written(signatures(docs, id_, text), "signatures")
     # One vertex for each word sequence: its smallest id.
-    groups = signed.filter("id is not null and n > 0").groupBy("d1", "d2").agg(F.min("id").alias("vertex"))
-    vertices = written(signed.join(groups, ["d1", "d2"]).filter("id = vertex").select("id", "n", "tokens"), "vertices")
+    groups = written(signed.filter("id is not null and n > 0").groupBy("d1", "d2").agg(F.min("id").alias("vertex"), F.count("*").alias("copies")), "groups")
+    vertices = written(joined_by_key(signed, groups, ["d1", "d2"], "copies").filter("id = vertex").select("id", "n", "tokens"), "vertices")
     sketches = vertices.select("id", "n", F.transform("tokens", lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("short")).alias("sketch"))
     texts = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
 
@@ -346,7 +346,7 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", pe
         depth += 1
     joined = written(components(links), "components")
     joined = joined.withColumnRenamed("id", "vertex")
-    found = signed.select("id", "content", "n", "d1", "d2").join(groups, ["d1", "d2"], "left").withColumn("vertex", F.when(F.col("n") > 0, F.col("vertex")))
+    found = joined_by_key(signed.select("id", "content", "n", "d1", "d2"), groups, ["d1", "d2"], "copies", "left").withColumn("vertex", F.when(F.col("n") > 0, F.col("vertex")))
     found = found.join(joined, "vertex", "left").withColumn("component", F.when(F.col("id").isNotNull(), F.least("vertex", "component", "id")))
     # A row for each id and text, to be joined with the rows of docs, whatever repeats there.
     found = found.groupBy("id", "content").agg(F.min("component").alias("component_id"), F.first("n").alias("n_shingles"))

@@ -77,21 +77,22 @@ def column_name(df: DataFrame, base: str) -> str:
 FEW_KEYS, HOT_ROWS, MOST_HOT = 150_000, 1 << 16, 100_000
 
 
-def joined_by_key(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
-    """rows joined with table, which has one row for each key and in ``size`` how many rows have it.
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str | list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table, which has one row for each key and in ``size`` how many rows have it.
 
     A table of at most FEW_KEYS keys is broadcast. Of a larger one the hot keys are, those of more than HOT_ROWS rows or
     of more than one row in MOST_HOT, so there are never more than MOST_HOT; their rows stay where they are, and only
     the others are shuffled.
     """
+    key = [key] if isinstance(key, str) else key
     table = written(table, "keys")
     n, total = table.agg(F.count("*"), F.sum(size)).first()
     if n <= FEW_KEYS:
-        return rows.join(F.broadcast(table), key)
+        return rows.join(F.broadcast(table), key, how)
     most = max(HOT_ROWS, total // MOST_HOT)
     hot = table.filter(F.col(size) > most)
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(others.join(table.filter(F.col(size) <= most), key))
+    others = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(others.join(table.filter(F.col(size) <= most), key, how))
 
 
 def gapless_rank(df: DataFrame, group: list[str], order: list[Column], rank: str, cells: int = 1024, spread: list[Column] | None = None) -> DataFrame:
