@@ -1,5 +1,6 @@
 """Plain Python versions of what the operators of tracelake.llm return."""
 
+import math
 import re
 from collections import Counter
 
@@ -96,3 +97,22 @@ def best_fit(lengths, capacity):
         else:
             rooms.append(capacity - n)
     return rooms
+
+
+def hard_negatives(rows, k=5, m=3):
+    """Rows of mined negatives for (vec_id, embedding, label) rows; anchors have an id divisible by 50."""
+    good = [(i, [math.floor(256.0 * x) for x in v], c) for i, v, c in rows if c is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (i, v, c) in enumerate(good):
+        if i is None or i % 50:
+            continue
+        near = []
+        for b, (j, w, d) in enumerate(good):
+            if a != b:
+                score = max(-LAST + 1, min(LAST - 1, sum(x * y for x, y in zip(v, w))))
+                near.append((-score, j is None, j or 0, j, d))
+        near.sort(key=lambda x: x[:3])
+        for p in [x for x in near if x[4] == c][:k]:
+            fits = [x for x in near if x[4] != c and 50 * -p[0] <= 100 * -x[0] <= 95 * -p[0]][:m]
+            out += [(i, p[3], r, x[3], -p[0], -x[0]) for r, x in enumerate(fits, 1)]
+    return out

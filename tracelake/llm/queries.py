@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, minhash, mixing, packing, quality, sharding, substring, suffix, warc
+from . import ann, hard_negatives, licenses, minhash, mixing, packing, quality, sharding, substring, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +61,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_minhash_dedup, op4_quality_rules, op5_histogram_shards, op6_temperature_mixing, op7_best_fit_packing, op8_prefix_forest, op9_license_scan, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_minhash_dedup, op4_quality_rules, op5_histogram_shards, op6_temperature_mixing, op7_best_fit_packing, op8_prefix_forest, op9_license_scan, op10_suffix_dedup, op12_hard_negatives)}
 
 
 #: The words of a text, as a list.
@@ -146,5 +151,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+_OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _op1_sql(), "op2_substring_dedup": _OP2_SQL, "op4_quality_rules": _op4_sql(), "op9_license_scan": _op9_sql()}
+    return {"op1_warc": _op1_sql(), "op2_substring_dedup": _OP2_SQL, "op4_quality_rules": _op4_sql(), "op9_license_scan": _op9_sql(), "op12_hard_negatives": _OP12_SQL}
