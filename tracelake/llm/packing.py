@@ -11,8 +11,8 @@ over the whole corpus. The pieces themselves are numbered within their length an
 search, on the executors.
 
 Null texts count as empty: a sequence of the end token alone. Rows without an id and repeated rows are packed
-like others; pieces of one length are ordered by id and piece, and equal ones arbitrarily. An empty table
-gives no rows.
+like others; pieces of one length are ordered by id and piece, and equal ones arbitrarily. Very long texts, and
+long runs of one character, are encoded whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,13 +51,13 @@ def added_tokens(vocabulary: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in tokens}
 
 
-@functools.lru_cache(1)
+@functools.lru_cache(2)
 def load_encoder(vocabulary: str):
     """A function from texts to lists of ids.
 
     ``*.json`` files are read by the tokenizers library. A ``*.tiktoken`` file has the same merges as ranks
     and gives the same ids about four times as fast; it lacks the added tokens, which come from the JSON file
-    beside it.
+    beside it. A text that tiktoken refuses (a million blanks on end) is read through the JSON file alone.
     """
     if vocabulary.endswith(".tiktoken"):
         import public_tokenizers
@@ -67,7 +67,14 @@ def load_encoder(vocabulary: str):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         added = added_tokens(vocabulary.removesuffix(".tiktoken") + ".json")
         encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-        return lambda texts: [encoding.encode(t, allowed_special="all", disallowed_special=()) for t in texts]
+
+        def ids(t: str) -> list[int]:
+            try:
+                return encoding.encode(t, allowed_special="all", disallowed_special=())
+            except ValueError:  # a run of blanks that is too long for its matcher
+                return load_encoder(vocabulary.removesuffix(".tiktoken") + ".json")([t])[0]
+
+        return lambda texts: [ids(t) for t in texts]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
@@ -80,27 +87,29 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def text_slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) of slices of about SLICE_BYTES; nulls are empty texts."""
+    texts = [x or "" for x in texts.to_pylist()]
+    first = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > SLICE_BYTES:
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += len(t)
+    if texts:
+        yield first, texts[first:]
+
+
 def tokenise(docs: DataFrame, id_: str, text: str, capacity: int, end_id: int, vocabulary: str, with_ids: bool) -> DataFrame:
     """A row for every piece: id, piece, start, length, ids_crc32 and, if asked for, ids."""
     id_type = docs.schema[id_].dataType
     fields = [T.StructField(id_, id_type), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
 
-    def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        first = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > SLICE_BYTES:
-                yield first, texts[first:i]
-                first, size = i, 0
-            size += len(t)
-        if texts:
-            yield first, texts[first:]
-
     def pieces(batches):
         encode = load_encoder(vocabulary)
         for batch in batches:
-            for first, texts in slices(batch):
+            for first, texts in text_slices(batch.column(1)):
                 rows, numbers, starts, lengths, sums, kept = [], [], [], [], [], []
                 for i, ids in enumerate(encode(texts)):
                     ids = np.asarray([*ids, end_id], "<u4")

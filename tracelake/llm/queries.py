@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, hard_negatives, licenses, minhash, mixing, packing, quality, sharding, substring, suffix, warc
+from . import ann, curve, hard_negatives, licenses, minhash, mixing, packing, quality, sharding, substring, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
 
 
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve.pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_minhash_dedup, op4_quality_rules, op5_histogram_shards, op6_temperature_mixing, op7_best_fit_packing, op8_prefix_forest, op9_license_scan, op10_suffix_dedup, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_minhash_dedup, op4_quality_rules, op5_histogram_shards, op6_temperature_mixing, op7_best_fit_packing, op8_prefix_forest, op9_license_scan, op10_suffix_dedup, op12_hard_negatives, op13_curve_packing)}
 
 
 #: The words of a text, as a list.
