@@ -116,3 +116,33 @@ def hard_negatives(rows, k=5, m=3):
             fits = [x for x in near if x[4] != c and 50 * -p[0] <= 100 * -x[0] <= 95 * -p[0]][:m]
             out += [(i, p[3], r, x[3], -p[0], -x[0]) for r, x in enumerate(fits, 1)]
     return out
+
+
+def prefix_trie(rows):
+    """Nodes of the rebuilt conversations of (conv_id, turn, role, text) rows."""
+    import hashlib
+    import zlib
+
+    convs = {}
+    for c, t, r, x in rows:
+        if c is not None:
+            digest = hashlib.sha256(f"{len((r or '').encode())}:{r or ''}{x or ''}".encode()).hexdigest()[:32]
+            convs.setdefault(c, []).append((t is not None, t or 0, (r or "").encode(), digest, x or ""))
+    turns = {c: [(x[2], x[4]) for x in sorted(v)] for c, v in convs.items()}
+    members, ends = {}, {}
+    for c in turns:
+        h = zlib.crc32(str(c).encode()) % 4
+        full = tuple(turns.get(c - int(math.fmod(c, 20)), [])[:h] + turns[c][h:])
+        ends.setdefault(full, []).append(c)
+        for d in range(len(full) + 1):
+            members.setdefault(full[:d], []).append(c)
+    children, leaves, saved = {}, {}, {}
+    for k in sorted(members, key=len, reverse=True):
+        children.setdefault(k, 0)
+        leaves[k] = leaves.get(k, 0) or 1
+        saved[k] = saved.get(k, 0) + ((len(members[k]) - 1) * len(words(k[-1][1])) if k else 0)
+        if k:
+            for table, n in ((children, 1), (leaves, leaves[k]), (saved, saved[k])):
+                table[k[:-1]] = table.get(k[:-1], 0) + n
+    digest = lambda k: hashlib.sha256(",".join(map(str, sorted(ends.get(k, [])))).encode()).hexdigest()
+    return [(min(m), len(k), min(members[k[:-1]]) if k else None, len(m), children[k], leaves[k], saved[k], digest(k)) for k, m in members.items()]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import curve, hard_negatives
+from tracelake.llm import curve, hard_negatives, trie
 from tracelake.llm.packing import default_vocabulary
 
 ROWS = "vec_id long, embedding array<double>, label int, score string, anchor string"
@@ -113,3 +113,39 @@ def test_curve_packing_brings_like_documents_together(spark):
 
 def test_curve_packing_of_nothing(spark):
     assert packed(spark, [], 2048) == []
+
+
+def conversations(seed, n=150):
+    rng = random.Random(seed)
+    lines = ["hi", "how are you ?", "a b  c", "", None, "fine\tthanks"]
+    rows = []
+    for c in range(n):
+        for t in range(rng.choice([0, 1, 1, 2, 3, 5, 9])):
+            rows.append((c, t, rng.choice(["user", "assistant"]) if t > 2 else "user", rng.choice(lines[:2] if t < 2 else lines)))
+    rows += [(1000 + c, t, "user", f"same {t}") for c in range(n // 2) for t in range(4)]  # a third of all conversations are copies
+    rows += [(7, 2, "user", "tie"), (7, 2, "user", "tie"), (7, 2, None, "tie"), (None, 1, "user", "none"), (-5, None, "user", "x"), (-5, 1, None, None), (-20, 0, "user", "y")]
+    return rows + [(500, t, "user", f"long {t}") for t in range(700)] + [(501, t, "user", f"long {t}") for t in range(650)] + [(502, t, "user", f"long {t}") for t in range(700)]
+
+
+def trie_of(spark, rows, partitions=3, **more):
+    df = spark.createDataFrame([(c, t, r, x, "n", 0) for c, t, r, x in rows], "conv_id long, turn long, role string, text string, words string, part int").repartition(partitions)
+    return sorted(map(tuple, trie.prefix_trie(df, **more).collect()), key=str)
+
+
+@pytest.mark.parametrize("chunk, shuffles", [(4096, 4), (4096, 61), (64, 7), (3, 5)])
+def test_prefix_trie_equals_brute_force(spark, monkeypatch, chunk, shuffles):
+    monkeypatch.setattr(trie, "IDS", 5)
+    rows = [r for r in conversations(chunk) if chunk > 3 or r[0] is None or not 500 <= r[0] <= 502 or r[1] < 10]
+    spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert trie_of(spark, rows, chunk=chunk) == sorted(brute.prefix_trie(rows), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_prefix_trie_of_small_tables(spark):
+    assert trie_of(spark, []) == []
+    for rows in ([(None, 0, "user", "x")], [(3, None, None, None)], [(20, 0, "u", "a b"), (21, 0, "u", "c"), (21, 1, "u", "d")]):
+        assert trie_of(spark, rows) == sorted(brute.prefix_trie(rows), key=str)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, curve, hard_negatives, licenses, minhash, mixing, packing, quality, sharding, substring, suffix, warc
+from . import ann, curve, hard_negatives, licenses, minhash, mixing, packing, quality, sharding, substring, suffix, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
@@ -71,7 +75,7 @@ def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_minhash_dedup, op4_quality_rules, op5_histogram_shards, op6_temperature_mixing, op7_best_fit_packing, op8_prefix_forest, op9_license_scan, op10_suffix_dedup, op12_hard_negatives, op13_curve_packing)}
+    return {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_minhash_dedup, op4_quality_rules, op5_histogram_shards, op6_temperature_mixing, op7_best_fit_packing, op8_prefix_forest, op9_license_scan, op10_suffix_dedup, op11_prefix_trie, op12_hard_negatives, op13_curve_packing)}
 
 
 #: The words of a text, as a list.
@@ -155,6 +159,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+#: The CRC-32 of a decimal number is taken bit by bit; a node's key are the digests of its turns, so subtrees are prefixes.
+_OP11_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT conv_id, list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+  lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]))) AS b FROM (SELECT DISTINCT conv_id FROM t)),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(b::BIGINT[],
+  lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END)) % 4 AS h FROM bits),
+r AS (SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.base WHERE i <= h
+  UNION ALL SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE i > h),
+s AS (SELECT conv_id, row_number() OVER w AS d, string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS k,
+  len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+p AS (SELECT * FROM s UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+node AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words FROM p GROUP BY k, d),
+ends AS (SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(k, d) AS k FROM p GROUP BY conv_id) GROUP BY k),
+child AS (SELECT k[: 64 * (d - 1)] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+sub AS (SELECT a.k, count(*) FILTER (WHERE child.n IS NULL) AS leaves, sum((b.n - 1) * b.words) AS saved
+  FROM node a JOIN node b ON starts_with(b.k, a.k) LEFT JOIN child ON child.k = b.k GROUP BY a.k)
+SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(child.n, 0) AS n_children,
+  leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN sub USING (k) LEFT JOIN child USING (k) LEFT JOIN ends USING (k) LEFT JOIN node up ON node.d > 0 AND up.d = node.d - 1 AND up.k = node.k[: 64 * (node.d - 1)]"""
+
 _OP12_SQL = """
 WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
@@ -170,4 +197,4 @@ QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _op1_sql(), "op2_substring_dedup": _OP2_SQL, "op4_quality_rules": _op4_sql(), "op9_license_scan": _op9_sql(), "op12_hard_negatives": _OP12_SQL}
+    return {"op1_warc": _op1_sql(), "op2_substring_dedup": _OP2_SQL, "op4_quality_rules": _op4_sql(), "op9_license_scan": _op9_sql(), "op11_prefix_trie": _OP11_SQL, "op12_hard_negatives": _OP12_SQL}
