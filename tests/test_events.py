@@ -94,3 +94,14 @@ def test_micro_batches_equal_one_batch(spark, tmp_path):
             live.process(store, halves[1], 9, windows.findings, now, 600, limits)
     box = live.after_delivery(store.read("outbox"), store.read("outbox").limit(4), now)
     assert {r.state: r["count"] for r in box.groupBy("state").count().collect()} == {"delivered": 4, "pending": e.count() - 4}
+
+
+def test_streamed_leads_equal_those_of_the_batch(spark, tmp_path):
+    e = events.ingest(spark, write(tmp_path / "s.jsonl", scenario())).events
+    e.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in")
+    query = windows.streamed_leads(stream, auth=(5, 600), credential=(3, 300)).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    got = {(r.rule_id, r.finding_id, tuple(r.evidence)) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    wanted = windows.success_after_failures(e).unionByName(windows.failure_bursts(e, 3, 300))
+    assert got == {(r.rule_id, r.finding_id, tuple(r.evidence)) for r in wanted.collect()} and any(r[0] == "AUTH-001" for r in got)

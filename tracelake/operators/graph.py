@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
+from ..storage import written
 
 
 def nodes(creates: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -53,25 +51,13 @@ def _cycle_closers(edges: DataFrame) -> DataFrame:
     return last.select("child").distinct()
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the folder of spark.checkpoint.dir; on a single machine, from a temporary one where none is set."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    at = at or "file://" + tempfile.mkdtemp(prefix="tracelake-")
-    path = f"{at.rstrip('/')}/ancestors-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(node, ancestor, depth) of all chains of parents, however long. Each pair once, at its least depth.
 
     A node on a cycle is its own ancestor. Chains double in length with each round: those of exactly ``length``
     are continued by all known ones, until there are none of that length, so there is none beyond it either.
     """
-    reach = _written(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    reach = written(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).distinct(), "ancestors")
     length = 1
     while True:
         far = reach.filter(F.col("depth") == length).select("node", F.col("ancestor").alias("__via"))
@@ -79,7 +65,7 @@ def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
             return reach
         above = reach.select(F.col("node").alias("__via"), "ancestor", (F.col("depth") + length).alias("depth"))
         longer = far.join(above, "__via").select("node", "ancestor", "depth")
-        reach = _written(reach.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        reach = written(reach.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "ancestors")
         length *= 2
 
 

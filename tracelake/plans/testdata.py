@@ -13,7 +13,8 @@ from ..functions import text as tx
 from ..functions import times as tm
 from ..operators import fragments, governance, graph, joins, network, readiness, review, rules, sequence
 from ..operators.rules import Condition, Rule
-from ..streaming import live
+from ..storage import new_path, streamed
+from ..streaming import live, state
 
 DAY, HOUR = 86400, 3600
 QUERIES: dict = {}
@@ -148,6 +149,29 @@ def q13_distinct_burst(spark, d):
     return found.filter("distinct_values >= 2").select("event_id", "distinct_values")
 
 
+def events_stream(spark, d):
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")  # a pattern, as a stream takes no single file
+
+
+@query(ORACLE["q10_sequence_rule"])
+def q66_sequence_stream(spark, d):
+    found = state.followed_by(events_stream(spark, d), ["user_id"], "ts", ["event_id"], kind("error"), kind("purchase"), 3, 7 * DAY, "event_id")
+    return streamed(found, "sequences").select("event_id", "user_id", "ts", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query(ORACLE["q12_cooldown"])
+def q67_burst_stream(spark, d):
+    found = state.burst_once(events_stream(spark, d).filter(kind("error")), ["user_id"], "ts", ["event_id"], 3, 4 * DAY, 4 * DAY, "event_id")
+    return streamed(found, "bursts").select("event_id", "user_id", "ts")
+
+
+@query(ORACLE["q13_distinct_burst"])
+def q68_distinct_stream(spark, d):
+    rows = events_stream(spark, d).filter(kind("error")).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    found = state.distinct_in_window(rows, ["user_id"], "ts", ["event_id"], "k", 3 * DAY)
+    return streamed(found, "distinct").filter("distinct_values >= 2").select("event_id", "distinct_values")
+
+
 ALLOWED = [
     {"id": "CTX-1", "rule_id": "DOC-001", "equals": {"lang": "en", "source": "src1"}},
     {"id": "CTX-2", "rule_id": "DOC-002", "equals": {"lang": "en", "source": "SRC5"}},

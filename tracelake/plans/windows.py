@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.times import micros
 from ..operators import fragments, graph, joins, rules, sequence
+from ..streaming import state
 from ..operators.rules import Condition, Rule
 
 SECURITY = ("Microsoft-Windows-Security-Auditing", "Security")
@@ -102,6 +103,16 @@ def failure_bursts(events: DataFrame, threshold: int = 10, window: int = 300, cr
     return _leads(sequence.cooldown(hits, ["auth_key"], "timestamp", ORDER, window), "AUTH-002", "medium")
 
 
+def streamed_leads(events: DataFrame, delay: str | None = None, auth: tuple[int, int] = (5, 600), credential: tuple[int, int] = (10, 300), cross_source: bool = False) -> DataFrame:
+    """AUTH-001 and AUTH-002 on a stream of events, each with its own state for every key: nothing that is stored is read again."""
+    failed, passed = F.col("event_id") == 4625, F.col("event_id") == 4624
+    rows = with_auth_key(events.filter(is_from(SECURITY, 4624, 4625)), cross_source)
+    first = state.followed_by(rows, ["auth_key"], "timestamp", ORDER, failed, passed, *auth, "event_uid", delay)
+    logons = rows.filter(failed & data("LogonType").isin("3", "10"))
+    second = state.burst_once(logons, ["auth_key"], "timestamp", ORDER, *credential, credential[1], "event_uid", delay)
+    return _leads(first, "AUTH-001", "high").unionByName(_leads(second, "AUTH-002", "medium"))
+
+
 def explicit_credentials(events: DataFrame, threshold: int = 10, window: int = 300, cross_source: bool = False) -> DataFrame:
     """AUTH-003: one origin, many target accounts; evidence is the latest event of each of the last accounts."""
     fields = ("SubjectUserSid", "SubjectUserName", "TargetDomainName", "TargetServerName", "IpAddress")
