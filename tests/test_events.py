@@ -92,8 +92,8 @@ def test_micro_batches_equal_one_batch(spark, tmp_path):
     for limits in (live.Limits(batch_records=3), live.Limits(batch_bytes=100), live.Limits(stored_events=12), live.Limits(waiting_rows=5)):
         with pytest.raises(live.NotAdmitted):
             live.process(store, halves[1], 9, windows.findings, now, 600, limits)
-    box = live.after_delivery(store.read("outbox"), store.read("outbox").limit(4), now)
-    assert {r.state: r["count"] for r in box.groupBy("state").count().collect()} == {"delivered": 4, "pending": e.count() - 4}
+    assert {r.state: r["count"] for r in store.queue.read().groupBy("state").count().collect()} == {"pending": e.count()}
+    assert store.queue.claim(now, 100).rows.count() == e.count()
 
 
 def test_streamed_leads_equal_those_of_the_batch(spark, tmp_path):
@@ -104,4 +104,7 @@ def test_streamed_leads_equal_those_of_the_batch(spark, tmp_path):
     assert query.awaitTermination(120)
     got = {(r.rule_id, r.finding_id, tuple(r.evidence)) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     wanted = windows.success_after_failures(e).unionByName(windows.failure_bursts(e, 3, 300))
+    store = live.Store(spark, f"{tmp_path}/store", e.schema)
+    assert live.run_leads(windows.streamed_leads(stream, auth=(5, 600), credential=(3, 300)), store, f"{tmp_path}/again", lambda: F.lit("2024-01-01T00:05:00Z").cast("timestamp")).awaitTermination(120)
+    assert {(r.rule_id, r.finding_id, tuple(r.evidence)) for r in store.read("leads").collect()} == got
     assert got == {(r.rule_id, r.finding_id, tuple(r.evidence)) for r in wanted.collect()} and any(r[0] == "AUTH-001" for r in got)

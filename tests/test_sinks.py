@@ -47,12 +47,20 @@ def test_live_store_snapshot_and_restore_from_the_command_line(spark, tmp_path,
     assert cli.main(["live", source, store, "2024-01-01T00:05:00Z"]) == 0
     assert cli.main(["snapshot", store, f"{tmp_path}/copy"]) == 0
     assert cli.main(["restore", f"{tmp_path}/copy", f"{tmp_path}/again"]) == 0
-    for log in sinks.LOGS:
+    held = lambda at: sorted(map(str, sinks.live_queue(spark, at).read().collect()))
+    assert held(store) == held(f"{tmp_path}/again") != []
+    for log in ("events", "alerts"):
         assert review.fingerprint(spark.read.parquet(f"{store}/{log}")).first() == review.fingerprint(spark.read.parquet(f"{tmp_path}/again/{log}")).first()
     capsys.readouterr()
     assert cli.main(["alerts", store, "--state", "new"]) == 0
     assert sorted(json.loads(x)["evidence_count"] for x in capsys.readouterr().out.strip().split("\n")) == [1, 1, 6]
-    spark.read.parquet(f"{store}/outbox").limit(3).drop("batch", "day").write.parquet(f"{tmp_path}/copy/outbox/batch=7/day=2024-01-01")
+    assert cli.main(["claim", store, "2024-01-01T00:05:00Z", "--most", "2"]) == 0
+    taken = [json.loads(x) for x in capsys.readouterr().out.strip().split("\n")]
+    assert len(taken) == 2 and all(r["state"] == "sending" and r["original_json"] for r in taken)
+    assert cli.main(["failed", store, taken[0]["lease_token"], "HTTP_503", "2024-01-01T00:05:00Z"]) == 0
+    assert cli.main(["redrive", store, "operator", "repaired", "2024-01-01T00:06:00Z"]) == 0
+    assert [json.loads(x) for x in capsys.readouterr().out.strip().split("\n")] == [{"failed": 2}, {"redrive": len(held(store))}]
+    spark.read.parquet(f"{tmp_path}/copy/outbox").limit(3).write.mode("append").parquet(f"{tmp_path}/copy/outbox")
     with pytest.raises(ValueError, match="not as it was"):
         sinks.restore(spark, f"{tmp_path}/copy", f"{tmp_path}/third")
     alerts = spark.read.parquet(f"{store}/alerts")

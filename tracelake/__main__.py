@@ -1,4 +1,4 @@
-"""python -m tracelake COMMAND: ingest, analyze, hunt, query, investigate, search, scripts, decode, network, verify, evaluate, live, snapshot, restore, alerts."""
+"""python -m tracelake COMMAND: ingest, analyze, hunt, query, investigate, search, scripts, decode, network, verify, evaluate, live, claim, delivered, failed, redrive, snapshot, restore, alerts."""
 
 from __future__ import annotations
 
@@ -33,6 +33,10 @@ def parser() -> argparse.ArgumentParser:
     command("verify", "bundle")
     command("evaluate", "folder")
     live = command("live", "source", "store", "now")
+    command("claim", "store", "now").add_argument("--most", type=int, default=100)
+    command("delivered", "store", "token")
+    command("failed", "store", "token", "error", "now")
+    command("redrive", "store", "actor", "reason", "now")
     live.add_argument("--batch", type=int, default=0)
     live.add_argument("--window", type=int, default=600)
     live.add_argument("--most", type=int)
@@ -82,6 +86,17 @@ def main(argv: list[str] | None = None) -> int:
         store = live.Store(spark, a.store, got.events.schema)
         live.process(store, got.events, a.batch, windows.findings, F.lit(a.now).cast("timestamp"), a.window, live.Limits(batch_records=a.most))
         return 0
+    if a.command in ("claim", "delivered", "failed", "redrive"):
+        queue = sinks.live_queue(spark, a.store)
+        now = F.lit(a.now).cast("timestamp") if a.command != "delivered" else None
+        if a.command == "claim":
+            taken = queue.claim(now, a.most)
+            if taken is not None:
+                show(taken.rows.join(spark.read.parquet(f"{a.store}/events").select("event_uid", "original_json"), "event_uid").orderBy("stamp", "event_uid"))
+            return 0
+        n = queue.delivered(a.token) if a.command == "delivered" else queue.failed(a.token, a.error, now) if a.command == "failed" else queue.redrive(a.actor, a.reason, now)
+        print(json.dumps({a.command: n}))
+        return 0
     if a.command == "snapshot":
         print(json.dumps(sinks.snapshot(spark, a.store, a.folder)))
         return 0

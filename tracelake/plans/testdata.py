@@ -13,8 +13,9 @@ from ..functions import text as tx
 from ..functions import times as tm
 from ..operators import fragments, governance, graph, joins, network, readiness, review, rules, sequence
 from ..operators.rules import Condition, Rule
-from ..storage import new_path, streamed
+from ..storage import new_path, streamed, written
 from ..streaming import live, state
+from ..streaming.queue import Queue
 
 DAY, HOUR = 86400, 3600
 QUERIES: dict = {}
@@ -549,21 +550,43 @@ _BOX = """b AS (SELECT event_id, CASE user_id % 2 WHEN 0 THEN 'lab' ELSE 'site'
 def outbox(spark, d):
     tries = F.expr("k div 10").cast("int")
     state = F.when(F.expr("user_id % 7 = 0"), "held_private").when(tries >= 8, "dead_letter").when(F.expr("event_id % 11 = 0"), "delivered").otherwise("pending")
-    return events(spark, d).select(F.col("event_id").alias("event_uid"), F.when(F.expr("user_id % 2 = 0"), "lab").otherwise("site").alias("scope"), F.col("event_type").alias("kind"), tries.alias("attempts"), state.alias("state"), F.col("ts").alias("next_at"), F.lit(None).cast("timestamp_ntz").alias("lease_until"))
+    return events(spark, d).select(F.col("event_id").alias("event_uid"), F.when(F.expr("user_id % 2 = 0"), "lab").otherwise("site").alias("scope"), F.col("event_type").alias("kind"), tries.alias("attempts"), state.alias("state"), F.col("ts").cast("timestamp").alias("next_at"), tm.micros(F.col("ts")).alias("stamp"))
+
+
+def stored_queue(spark, d):
+    """The outbox as a stored queue with a commit log."""
+    queue = Queue(spark, new_path(spark, "queue"))
+    queue.add(outbox(spark, d))
+    return queue
 
 
 @query(f"""WITH {EVENTS}, {_BOX}, r AS (SELECT * FROM b WHERE state = 'pending' AND next_at <= TIMESTAMP '2024-01-10'), f AS (SELECT scope, kind FROM r ORDER BY next_at, event_id LIMIT 1)
 SELECT event_id, scope, kind, TIMESTAMP '2024-01-10 00:03:00' AS lease_until FROM r SEMI JOIN f USING (scope, kind) ORDER BY next_at, event_id LIMIT 100""")
 def q53_claim(spark, d):
-    return live.claim(outbox(spark, d), F.lit("2024-01-10").cast("timestamp_ntz")).select(F.col("event_uid").alias("event_id"), "scope", "kind", "lease_until")
+    claim = stored_queue(spark, d).claim(F.lit("2024-01-10").cast("timestamp"))
+    return claim.rows.select(F.col("event_uid").cast("long").alias("event_id"), "scope", "kind", F.col("lease_until").cast("timestamp_ntz").alias("lease_until"))
 
 
 @query(f"""WITH {EVENTS}, {_BOX} SELECT scope, state, attempts, count(*) AS n FROM (SELECT scope, CASE WHEN state = 'dead_letter' THEN 'pending' ELSE state END AS state, CASE WHEN state IN ('pending', 'dead_letter') THEN 0 ELSE attempts END AS attempts FROM b) GROUP BY ALL
 UNION ALL SELECT scope, 'redrive', 0, count(*) FROM b WHERE state IN ('pending', 'dead_letter') GROUP BY scope""")
 def q54_redrive(spark, d):
-    box, log = live.redrive(outbox(spark, d), F.lit("2024-01-10").cast("timestamp_ntz"))
-    told = box.groupBy("scope", "state", F.col("attempts").cast("long").alias("attempts")).agg(F.count("*").alias("n"))
-    return told.unionByName(log.select("scope", F.col("action").alias("state"), F.lit(0).cast("long").alias("attempts"), F.col("n_rows").alias("n")))
+    queue = stored_queue(spark, d)
+    stuck = queue.read().filter(F.col("state").isin("pending", "dead_letter")).groupBy("scope").agg(F.lit("redrive").alias("state"), F.lit(0).cast("long").alias("attempts"), F.count("*").alias("n"))
+    stuck = written(stuck, "stuck")
+    queue.redrive("operator", "destination repaired", F.lit("2024-01-10").cast("timestamp"))
+    told = queue.read().groupBy("scope", "state", F.col("attempts").cast("long").alias("attempts")).agg(F.count("*").alias("n"))
+    return told.unionByName(stuck.select(*told.columns))
+
+
+@query(f"""WITH {EVENTS}, {_BOX}, r AS (SELECT * FROM b WHERE state = 'pending' AND next_at <= TIMESTAMP '2024-01-10'), f AS (SELECT scope, kind FROM r ORDER BY next_at, event_id LIMIT 1),
+c AS (SELECT event_id FROM r SEMI JOIN f USING (scope, kind) ORDER BY next_at, event_id LIMIT 100)
+SELECT event_id, CASE WHEN c.event_id IS NULL THEN b.state WHEN attempts >= 7 THEN 'dead_letter' ELSE 'pending' END AS state, attempts + (c.event_id IS NOT NULL)::INT AS attempts,
+  CASE WHEN c.event_id IS NULL THEN next_at ELSE TIMESTAMP '2024-01-10' + to_seconds(least(300, 2 ** least(attempts + 1, 8))) END AS next_at, CASE WHEN c.event_id IS NOT NULL THEN 'HTTP_503' END AS error
+FROM b LEFT JOIN c USING (event_id)""")
+def q69_failed_delivery(spark, d):
+    queue, now = stored_queue(spark, d), F.lit("2024-01-10").cast("timestamp")
+    queue.failed(queue.claim(now).token, "HTTP_503", now)
+    return queue.read().select(F.col("event_uid").cast("long").alias("event_id"), "state", F.col("attempts").cast("long").alias("attempts"), F.col("next_at").cast("timestamp_ntz").alias("next_at"), "error")
 
 
 def aliases(spark, d):

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import csv_cell
 from ..functions.times import utc_text
+from ..streaming.queue import QUEUED, Queue
 from ..operators.review import fingerprint
 
 TIMELINE = ("timestamp", "host", "channel", "provider", "event_id", "record_id", "source_sha256", "source_line", "event_uid")
@@ -121,7 +122,12 @@ def verify_bundle(spark: SparkSession, folder: str, most: int = 1000) -> list[st
     return problems + (["other findings than counted"] if counts != manifest["findings_by_rule"] else [])
 
 
-LOGS = ("events", "alerts", "outbox")
+#: Logs of a live store by batch and day; its delivery queue comes with them, as the rows that it holds.
+LOGS, QUEUE = ("events", "alerts", "leads"), "outbox"
+
+
+def live_queue(spark: SparkSession, store: str) -> Queue:
+    return Queue(spark, f"{store}/{QUEUE}", QUEUED)
 
 
 def snapshot(spark: SparkSession, store: str, folder: str) -> dict:
@@ -130,10 +136,12 @@ def snapshot(spark: SparkSession, store: str, folder: str) -> dict:
     if place.exists():
         raise FileExistsError(folder)
     staged, manifest = place.beside(), {}
-    for log in LOGS:
+    for log in (*LOGS, QUEUE):
         if Folder(spark, f"{source.at}/{log}").exists():
-            rows = spark.read.parquet(f"{source.at}/{log}")
-            rows.write.partitionBy("batch", "day").parquet(f"{staged.at}/{log}")
+            if log == QUEUE:
+                live_queue(spark, source.at).read().write.parquet(f"{staged.at}/{log}")
+            else:
+                spark.read.parquet(f"{source.at}/{log}").write.partitionBy("batch", "day").parquet(f"{staged.at}/{log}")
             manifest[log] = fingerprint(spark.read.parquet(f"{staged.at}/{log}")).first().asDict()
     staged.write_text("manifest.json", json.dumps(manifest, sort_keys=True))
     staged.become(place)
@@ -144,7 +152,7 @@ def restore(spark: SparkSession, folder: str, store: str) -> None:
     """The store of a snapshot, in a new folder, if every log is named by the manifest and has its fingerprint."""
     place, target = Folder(spark, folder), Folder(spark, store)
     manifest = json.loads(place.read_text("manifest.json"))
-    there = {log for log in LOGS if Folder(spark, f"{place.at}/{log}").exists()}
+    there = {log for log in (*LOGS, QUEUE) if Folder(spark, f"{place.at}/{log}").exists()}
     if target.exists() or set(manifest) != there:
         raise ValueError("the store exists, or the snapshot has other logs than its manifest")
     staged = target.beside()
@@ -152,6 +160,9 @@ def restore(spark: SparkSession, folder: str, store: str) -> None:
         rows = spark.read.parquet(f"{place.at}/{log}")
         if fingerprint(rows).first().asDict() != manifest[log]:
             raise ValueError(f"{log} is not as it was")
+        if log == QUEUE:
+            live_queue(spark, staged.at).add(rows, {"restored": place.at})
+            continue
         rows.write.partitionBy("batch", "day").parquet(f"{staged.at}/{log}")
     staged.become(target)
 

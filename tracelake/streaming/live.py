@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.times import due, retry_delay
+from ..functions.times import due
 from ..operators.rules import first_by_order
+from .queue import QUEUED, Queue, stamps
 
 #: Seconds that an event may lie in the future and still be evaluated.
 FUTURE_SLACK = 120
 FINGERPRINT = ("timestamp", "host", "channel", "provider", "event_id", "record_id")
-MAX_ATTEMPTS = 8
 #: Days of a batch up to which only they are looked up in the store.
 MOST_DAYS = 1000
 
@@ -47,7 +47,7 @@ class NotAdmitted(ValueError):
 
 
 class Store:
-    """events, alerts and outbox logs under one folder, which may be on any file system that Spark writes.
+    """Logs of events and alerts and a delivery queue under one folder, which may be on any file system that Spark writes.
 
     Every log has a folder for each batch and in it one for each day of the event, so the days that a batch or a window
     touches are read alone.
@@ -57,8 +57,8 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
         self.schemas = {
             "events": T.StructType([*event_schema.fields, T.StructField("fingerprint", T.StringType())]),
-            "outbox": T.StructType.fromDDL("event_uid string, scope string, kind string, state string, attempts int, next_at timestamp, lease_until timestamp"),
         }
+        self.queue = Queue(spark, f"{self.path}/outbox", QUEUED)
 
     def read(self, log: str, schema: T.StructType | None = None, but: int | None = None) -> DataFrame:
         """A log, with batch and day; rows of batch ``but`` are left out."""
@@ -87,14 +87,19 @@ def admit(store: Store, batch: DataFrame, batch_id: int, limits: Limits, kind: s
         raise NotAdmitted(f"a batch of {n} events and {n_bytes} bytes is too large")
     if limits.stored_events is not None and over(store.read("events", but=batch_id).count() + n, limits.stored_events):
         raise NotAdmitted("the store is full")
-    if limits.waiting_rows is not None and over(store.read("outbox", but=batch_id).filter("state <> 'delivered'").count() + n, limits.waiting_rows):
+    if limits.waiting_rows is not None and over(store.queue.log.read(open_only=True).filter(F.col("state") != "delivered").filter(~F.col("batch").eqNullSafe(batch_id)).count() + n, limits.waiting_rows):
         raise NotAdmitted("too many rows wait for delivery")
 
 
+def alerts_of(findings: DataFrame, now: Column) -> DataFrame:
+    return findings.withColumn("created", now).withColumn("due", due(now, F.col("severity"))).withColumn("state", F.lit("new")).withColumn("revision", F.lit(1).cast("long"))
+
+
 def process(store: Store, batch: DataFrame, batch_id: int, detect: Callable[[DataFrame], DataFrame], now: Column, window: int, limits: Limits = Limits(), scope: str = "default", kind: str = "event", private: bool = False) -> None:
     """One micro-batch. detect maps events to findings with finding_id and severity; now is a timestamp.
 
-    Equal events have equal timestamps, so only the stored events of the batch's own days can repeat them.
+    Equal events have equal timestamps, so only the stored events of the batch's own days can repeat them. What is new is
+    put into the store's delivery queue; a repeated batch adds nothing to it.
     """
     admit(store, batch, batch_id, limits, kind)
     days = [r[0] for r in batch.select(F.to_date("timestamp")).distinct().limit(MOST_DAYS + 1).collect()]
@@ -106,51 +111,24 @@ def process(store: Store, batch: DataFrame, batch_id: int, detect: Callable[[Dat
     fresh = store.read("events").filter(F.col("batch") == batch_id)
     begin, end = now - F.make_dt_interval(secs=F.lit(window)), now + F.make_dt_interval(secs=F.lit(FUTURE_SLACK))
     recent = store.read("events").filter(F.col("day").between(F.to_date(begin), F.to_date(end)) & F.col("timestamp").between(begin, end))
-    alerts = detect(recent.drop("fingerprint", "batch", "day")).dropDuplicates(["finding_id"])
-    alerts = alerts.withColumn("created", now).withColumn("due", due(now, F.col("severity"))).withColumn("state", F.lit("new")).withColumn("revision", F.lit(1).cast("long"))
+    alerts = alerts_of(detect(recent.drop("fingerprint", "batch", "day")).dropDuplicates(["finding_id"]), now)
     store.schemas["alerts"] = alerts.schema
-    alerts = alerts.join(store.read("alerts", but=batch_id).select("finding_id"), "finding_id", "left_anti").select(*alerts.columns)
+    # A finding of the window's events was first made no earlier than its last event came, which may be ahead of the clock a little.
+    known = store.read("alerts", but=batch_id).filter(F.col("day") >= F.to_date(begin - F.make_dt_interval(secs=F.lit(FUTURE_SLACK))))
+    alerts = alerts.join(known.select("finding_id"), "finding_id", "left_anti").select(*alerts.columns)
     store.write("alerts", alerts, batch_id, F.col("created"))
     state = F.lit("held_private" if private else "pending")
-    queue = fresh.select("event_uid", F.lit(scope).alias("scope"), F.lit(kind).alias("kind"), state.alias("state"), F.lit(0).alias("attempts"), now.alias("next_at"), F.lit(None).cast("timestamp").alias("lease_until"))
-    store.write("outbox", queue, batch_id, F.col("next_at"))
+    store.queue.add(fresh.select("event_uid", F.lit(scope).alias("scope"), F.lit(kind).alias("kind"), stamps(now, ["source_sha256", "source_line"]).alias("stamp"), state.alias("state"), now.alias("next_at"), F.lit(batch_id).cast("long").alias("batch")))
 
 
-def run(events: DataFrame, store: Store, checkpoint: str, detect: Callable[[DataFrame], DataFrame], now: Callable[[], Column], window: int):
-    """A streaming query over a stream of events; works off what there is and stops."""
-    each = lambda batch, batch_id: process(store, batch, batch_id, detect, now(), window)
+def run(events: DataFrame, store: Store, checkpoint: str, detect: Callable[[DataFrame], DataFrame], now: Callable[[], Column], window: int, limits: Limits = Limits(), scope: str = "default", kind: str = "event", private: bool = False):
+    """A streaming query over a stream of events; works off what there is and stops. A batch beyond the limits ends it, its offsets uncommitted."""
+    each = lambda batch, batch_id: process(store, batch, batch_id, detect, now(), window, limits, scope, kind, private)
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
 
 
-def claim(outbox: DataFrame, at: Column, most: int = 100, lease_seconds: int = 180) -> DataFrame:
-    """The next rows to deliver, with lease_until: due rows of one scope and kind, those of the row that waits longest.
-
-    Rows that are delivered, given up or held private are never due, nor are rows that another claim still holds.
-    """
-    free = F.col("lease_until").isNull() | (F.col("lease_until") < at)
-    ready = outbox.filter((F.col("state") == "pending") & (F.col("next_at") <= at) & free)
-    first = ready.orderBy("next_at", "event_uid").limit(1).select("scope", "kind")
-    mine = ready.join(F.broadcast(first), ["scope", "kind"], "left_semi").orderBy("next_at", "event_uid").limit(most)  # one row is broadcast
-    return mine.withColumn("lease_until", at + F.make_dt_interval(secs=F.lit(lease_seconds)))
-
-
-def after_delivery(outbox: DataFrame, delivered: DataFrame, at: Column) -> DataFrame:
-    """The outbox after an attempt on all its waiting rows: delivered ones are done; others wait, longer each time, and are given up after MAX_ATTEMPTS.
-
-    Rows that are held private, given up or done stay as they are.
-    """
-    done = delivered.select("event_uid").distinct().withColumn("__done", F.lit(True))
-    waits, tries = F.col("state") == "pending", F.col("attempts") + 1
-    state = F.when(F.col("__done"), "delivered").when(tries >= MAX_ATTEMPTS, "dead_letter").otherwise("pending")
-    later = at + F.make_dt_interval(secs=retry_delay(F.col("attempts")).cast("decimal(18,6)"))
-    out = outbox.join(done, "event_uid", "left").withColumn("__state", F.when(waits, state).otherwise(F.col("state")))
-    out = out.withColumn("next_at", F.when(waits, later).otherwise(F.col("next_at"))).withColumn("attempts", F.when(waits, tries).otherwise(F.col("attempts")))
-    return out.withColumn("state", F.col("__state")).drop("__done", "__state")
-
-
-def redrive(outbox: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
-    """(the outbox with waiting and given-up rows as if new, a maintenance row for each scope with how many they were)."""
-    stuck = F.col("state").isin("pending", "dead_letter")
-    log = outbox.filter(stuck).groupBy("scope").agg(F.count("*").alias("n_rows")).select(F.lit("redrive").alias("action"), "scope", "n_rows", at.alias("at"))
-    reset = {"state": F.lit("pending"), "attempts": F.lit(0), "next_at": at, "lease_until": F.lit(None).cast("timestamp")}
-    return outbox.withColumns({c: F.when(F.col("state").isin("pending", "dead_letter"), v).otherwise(F.col(c)) for c, v in reset.items() if c in outbox.columns}), log
+def run_leads(leads: DataFrame, store: Store, checkpoint: str, now: Callable[[], Column]):
+    """A streaming query that stores the findings of operators with state (``streaming.state``) as alerts; nothing stored is read again."""
+    each = lambda batch, batch_id: store.write("leads", alerts_of(batch, now()), batch_id, F.col("created"))
+    store.schemas["leads"] = alerts_of(leads, now()).schema
+    return leads.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()

@@ -21,6 +21,10 @@ from .commits import CommitLog
 MAX_ATTEMPTS, LEASE_SECONDS = 8, 180
 
 
+#: What the queue of a live store has besides.
+QUEUED = T.StructType([T.StructField("batch", T.LongType())])
+
+
 @dataclass(frozen=True)
 class Claim:
     """Rows that this claim alone may deliver until its lease is over."""
