@@ -7,7 +7,8 @@ the cell of keys that holds it is probed again, more finely, until every splitte
 lies between two neighbouring keys. Then the rows are exchanged once.
 
 Null texts count as empty. Rows without an id, repeated rows and equal keys are kept, each with a slot of
-its own; their order among each other is that of their id and text checksum. Texts of any length are one row; one
+its own; their order among each other is that of their id and text checksum. Where a boundary falls into rows that repeat, their
+places in the table go into the key, so they are spread as evenly as others. Texts of any length are one row; one
 that is longer than a shard fills a shard alone. Other columns pass through, whatever their names; columns named size,
 shard or slot are replaced. An empty table gives no rows.
 """
@@ -25,6 +26,8 @@ from .shared import column_name, written
 #: Bits of a sort key: TEXT_BITS of the text's hash, then ID_BITS of the id's.
 TEXT_BITS, ID_BITS = 39, 24
 KEY_BITS = TEXT_BITS + ID_BITS
+#: Bits of a key that tell repeated rows apart, where these are too many for one boundary.
+TIE_BITS = 16
 #: Bits by which the first probe divides the keys, and by which later ones refine a cell.
 FIRST_BITS, STEP_BITS = 13, 10
 
@@ -39,6 +42,12 @@ def sort_key(id_: str, text: str) -> Column:
     return F.shiftleft(high, ID_BITS).bitwiseOR(low)
 
 
+def tied_key(key: str) -> Column:
+    """The key with TIE_BITS of a row's place in the table in the place of as many of the id's."""
+    tie = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - TIE_BITS)
+    return F.shiftleft(F.shiftrightunsigned(key, TIE_BITS), TIE_BITS).bitwiseOR(tie)
+
+
 @dataclass
 class _Splitter:
     """A boundary looked for: ``target`` bytes shall lie below it. The cell [low, low + 2**bits) holds it."""
@@ -51,13 +60,13 @@ class _Splitter:
     key: int | None = None
 
 
-def splitters(rows: DataFrame, key: str, size: str, targets: list[tuple[float, float]]) -> list[int]:
-    """For each (target, slack), a key below which the bytes are within slack of the target, or else as near as any key.
+def splitters(rows: DataFrame, key: str, size: str, targets: list[tuple[float, float]]) -> tuple[list[int], list[int]]:
+    """For each (target, slack), a key below which the bytes are within slack of the target, or else as near as any key; and the keys that span a target beyond its slack.
 
     One job a round. The first counts 2 ** FIRST_BITS cells and later ones at most 2 ** STEP_BITS for each
     splitter that is still open, whatever the number of rows; there are at most six rounds.
     """
-    found = [_Splitter(*t) for t in targets]
+    found, spanning = [_Splitter(*t) for t in targets], set()
     while open_ := [s for s in found if s.key is None]:
         bits = open_[0].bits  # all open ones are equally fine
         step = bits - (FIRST_BITS if bits == KEY_BITS else STEP_BITS)
@@ -76,10 +85,12 @@ def splitters(rows: DataFrame, key: str, size: str, targets: list[tuple[float, f
             near = min(edges, key=lambda e: (abs(e[1] - s.target), e[0]))
             if abs(near[1] - s.target) <= s.slack or step == 0 or len(edges) < 2 or edges[-1][1] < s.target:
                 s.key = near[0]
+                if step == 0 and abs(near[1] - s.target) > s.slack and edges[-1][1] >= s.target:
+                    spanning.add(edges[-1][0] - 1)
             else:
                 last = edges[-1][0] - (1 << step)
                 s.low, s.bits, s.below = last, step, edges[-2][1]
-    return [s.key for s in found]
+    return [s.key for s in found], sorted(spanning)
 
 
 def shard(docs: DataFrame, shards: int = 16, id_: str = "doc_id", text: str = "text", tolerance: float = 0.002, pieces: int = 64) -> DataFrame:
@@ -96,7 +107,12 @@ def shard(docs: DataFrame, shards: int = 16, id_: str = "doc_id", text: str = "t
     total = slim.agg(F.sum(size)).first()[0] or 0
     even, n = total / shards, shards * pieces
     targets = [(total * i / n, even * (tolerance if i % pieces == 0 else 0.25 / pieces)) for i in range(1, n)]
-    cuts = splitters(slim, key, size, targets)
+    cuts, spanning = splitters(slim, key, size, targets)
+    if spanning and slim.filter(F.col(key).isin(spanning)).groupBy(key).count().filter("count > 1").limit(1).count():
+        # Rows that repeat fill a boundary: they are told apart by their place in the table, which is written so that it stays.
+        rows = written(rows.withColumn(key, tied_key(key)), "shard-rows")
+        slim = rows.select(key, size)
+        cuts, _ = splitters(slim, key, size, targets)
     for i in range(1, len(cuts)):  # loose cuts never pass the exact ones
         cuts[i] = max(cuts[i], cuts[i - 1])
     exact = [cuts[i * pieces - 1] for i in range(1, shards)]
