@@ -461,3 +461,25 @@ def test_gapless_rank_with_a_hot_group(spark):
     for r in gapless_rank(df, ["g"], [df["id"]], "rank", cells=8).collect():
         got[r.g].append(r["rank"])
     assert {g: sorted(x) for g, x in got.items()} == {g: list(range(len(x))) for g, x in got.items()} and len(got) == 2
+
+
+def test_rows_that_repeat_are_spread_over_shards(spark):
+    for rows in ([(7, "equal text", "a")] * 2000, [(None, None, None)] * 2000, [(7, "equal text " * 9, "a")] * 700 + [(i, f"text {i} " * (i % 7), "b") for i in range(1500)]):
+        got = sharding.shard(docs(spark, rows), shards=16).collect()
+        assert len(got) == len(rows)
+        slots, sizes = collections.defaultdict(list), collections.Counter()
+        for r in got:
+            slots[r.shard].append(r.slot)
+            sizes[r.shard] += r.size
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        even = sum(sizes.values()) / 16
+        assert all(abs(sizes[s] - even) <= max(0.05 * even, 2 * max(r.size for r in got)) for s in range(16))
+
+
+def test_a_repetition_limit_holds_for_rows_that_repeat(spark):
+    rows = [(i, f"word {i} " * 20, "large") for i in range(400)] + [(5, "one two three", "small")] * 100
+    got = mixing.mix(docs(spark, rows), repeat_limit=1.5).collect()
+    times = collections.Counter(r.source for r in got)
+    assert times["large"] >= 400 and 100 < times["small"] <= 151
+    slots = [(r.epoch, r.block_slot) for r in got if r.source == "small"]
+    assert sorted(slots) == [(0, k) for k in range(100)] + [(1, k) for k in range(len(slots) - 100)]

@@ -8,7 +8,7 @@ budget is used up.
 
 With no budget given, it is the least with which every source is emitted whole at least once, so that no
 document is lost. Null sources are one source. Null and blank texts count one token, so that they are placed
-too. Rows without an id and repeated rows are emitted like others, ties of hashes in the order of ids, then counts;
+too. Rows without an id and repeated rows are emitted like others, as many of those that repeat at a source's cut as the budget takes;
 texts are emitted whole, whatever their length. Other columns pass through, whatever their names; those named
 n_tokens, epoch, block_slot or source_weight are replaced. An empty table gives no rows.
 """
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import column_name, written
+from .shared import column_name, gapless_rank, written
 
 #: Tokens of a cell, about, and bits of the hash that tell cells apart. A source is dealt into cells, so that no task
 #: orders a whole source.
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", id_: str =
     """
     docs = docs.drop("n_tokens", "epoch", "block_slot", "source_weight")
     cell, order, key, passes_, rest_, cut_ = (column_name(docs, c) for c in ("mix_cell", "mix_order", "mix_source", "mix_passes", "mix_rest", "mix_cut"))
-    first_row, first_token, past_ = (column_name(docs, c) for c in ("mix_first_row", "mix_first_token", "mix_past"))
+    first_row, first_token, past_, ties_, tied_, place = (column_name(docs, c) for c in ("mix_first_row", "mix_first_token", "mix_past", "mix_ties", "mix_tied", "mix_place"))
     n_tokens = F.greatest(F.lit(1), F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))).cast("long")
     rows = docs.withColumn("n_tokens", n_tokens).withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
     spark = docs.sparkSession
@@ -113,12 +113,23 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", id_: str =
     # The last hash of each source that the cut epoch's budget reaches, from ids and counts alone.
     last = emitted(rows, plan, schema).filter(F.col("epoch") == F.col(passes_)).select(key, "epoch", cell, order, id_, "n_tokens", rest_)
     past = F.col(first_token) + F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    last = last.join(cells_of(last), [key, "epoch", cell]).withColumn(past_, past).filter(F.col(past_) < F.col(rest_))
+    # Rows that repeat have one hash: how many have it, and which of them this row is.
+    same = Window.partitionBy(key, "epoch", cell, order)
+    last = last.join(cells_of(last), [key, "epoch", cell]).withColumn(past_, past).withColumn(ties_, F.count("*").over(same)).withColumn(tied_, F.row_number().over(same.orderBy(id_, F.col("n_tokens"))))
     # In the order of the cells, which is that of unsigned hashes.
     unsigned = F.col(order).bitwiseXOR(F.lit(-(1 << 63)))
-    cuts = dict(last.groupBy(key).agg(F.max(unsigned)).collect())  # a number for each source
-    out = emitted(rows, [(*p, cuts.get(p[0])) for p in plan], f"{schema}, `{cut_}` long")
-    out = out.filter((F.col("epoch") < F.col(passes_)) | (unsigned <= F.col(cut_)))
+    ends = last.filter(F.col(past_) < F.col(rest_)).groupBy(key).agg(F.max(F.struct(unsigned.alias("cut"), F.col(tied_).alias("takes"), F.col(ties_).alias("of"))).alias("end"))
+    cuts = {r[0]: r[1] for r in ends.collect()}  # three numbers for each source
+    out = emitted(rows, [(*p, *(cuts.get(p[0]) or (None, None, None))) for p in plan], f"{schema}, `{cut_}` long, `{tied_}` int, `{ties_}` long")
+    whole, at_cut = F.col("epoch") < F.col(passes_), unsigned == F.col(cut_)
+    if all(c.takes == c.of for c in cuts.values()):
+        out = out.filter(whole | (unsigned <= F.col(cut_)))
+    else:  # of the rows at the cut, as many as the budget takes; they are numbered by their place in what is written
+        at_end = out.filter(~whole & at_cut)
+        tied = written(at_end.withColumn(place, F.monotonically_increasing_id()), "mix-ties")
+        tied = gapless_rank(tied, [key], [F.col(place)], ties_ + "_rank", spread=[F.col(place)]).filter(F.col(ties_ + "_rank") < F.col(tied_))
+        out = out.filter(whole | (unsigned < F.col(cut_))).unionByName(tied.select(*out.columns))
+    out = out.drop(tied_, ties_)
     if not slots:
         return out.drop(cell, order, key, passes_, rest_, cut_)
     out = out.join(cells_of(out), [key, "epoch", cell]).withColumn("block_slot", F.col(first_row) + F.row_number().over(within) - 1)
