@@ -243,3 +243,13 @@ def test_distinct_columns_survive(spark):
     docs = frame(spark, [(1, "a b c")]).withColumn("n_words", F.lit("clash")).withColumn("Part2", F.lit(5))
     row = substring.remove_repeats(docs).first()
     assert (row.n_words, row.Part2, row.part) == (3, 5, "p")
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    words = [f"w{i}" for i in range(300)]
+    a, b, c = (" ".join(words[k : k + 60]) for k in (0, 100, 200))
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (7, c), (11, "alone here"), (None, a)]
+    df = spark.createDataFrame([(i, t, 0, "n", True) for i, t in rows], "doc_id long, text string, component long, d1 string, vertex boolean")
+    got = minhash.near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got if r.doc_id) == [(3, 3), (5, 3), (5, 3), (7, 3), (7, 3), (9, 3), (11, 11)]
+    assert all(r.kept == (r.doc_id in (3, 11, None)) for r in got)

@@ -299,6 +299,19 @@ def _branched(rest: DataFrame, tokens: DataFrame, depth: int) -> tuple[DataFrame
     return down, joined_by_key(rest, nodes, "node", "n_here").filter("not fewer").select(*rest.columns)
 
 
+def _same_id(signed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links (a, b) between the vertices of an id that has several word sequences."""
+    sequence = F.struct("d1", "d2")
+    several = signed.filter("id is not null and n > 0").groupBy("id").agg(F.min(sequence).alias("low"), F.max(sequence).alias("high")).filter("low != high")
+    several = written(several.select("id"), "several")
+    if several.isEmpty():
+        return several.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    rows = signed.join(several, "id").filter("n > 0").select("id", "d1", "d2").distinct()
+    of = written(rows.join(groups, ["d1", "d2"]).select("id", "vertex").distinct(), "vertices-of-ids")
+    first = of.groupBy("id").agg(F.min("vertex").alias("a"))
+    return of.join(first, "id").filter("a != vertex").select("a", F.col("vertex").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """docs with n_shingles (long), component_id (long) and kept (boolean)."""
     docs = docs.drop("n_shingles", "component_id", "kept")
@@ -318,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", pe
     roots = vertices.select("id", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
     nodes = shared_nodes(roots.select("id", F.xxhash64("tree", "token").alias("node")))
     stars = _star_pairs(nodes.withColumn("component", F.col("id")), 0)
-    links = confirmed(likely(stars, sketches, percent), texts, percent)
+    links = confirmed(likely(stars, sketches, percent), texts, percent).union(_same_id(signed, groups))
     joined, depth = written(components(links), "components"), 1
 
     while True:
