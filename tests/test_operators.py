@@ -199,3 +199,26 @@ def test_profiles_are_valid_for_a_time(spark):
     df = spark.createDataFrame(rows, "id string, a string, b string").select("id", F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"))
     got = readiness.validity_errors(df, "id", "a", "b", F.lit("2024-05-01").cast("timestamp_ntz")).collect()
     assert sorted(map(tuple, got)) == [("back", "ends before it begins"), ("long", "valid for too long"), ("none", "no validity"), ("old", "not valid now")]
+
+
+def test_positions_of_a_forest_tell_who_is_below(spark):
+    rng = random.Random(9)
+    up = {i: rng.randrange(max(0, i - rng.choice([1, 1, 30])), i) for i in range(1, 150) if i % 40}
+    up |= {1000 + i: 0 for i in range(120)} | {5000 + i: 5001 + i for i in range(700)}  # one parent of many, one long chain
+    df = spark.createDataFrame(sorted(up.items()), "c long, p long")
+    got = {r.node: r for r in graph.positions(df, "c", "p").collect()}
+    assert set(got) == set(up) | set(up.values())
+
+    def above(x):
+        while x in up:
+            x = up[x]
+            yield x
+
+    some = sorted(rng.sample(sorted(got), 120)) + [0, 5000, 5700]
+    for x in some:
+        over = set(above(x))
+        assert got[x].root == (max(over, key=lambda y: len(list(above(y))) == 0) if over else x)
+        for y in some:
+            inside = got[x].root == got[y].root and got[y].enter < got[x].enter and got[x].leave < got[y].leave
+            assert inside == (y in over)
+    assert graph.positions(df.limit(0), "c", "p").collect() == []

@@ -42,13 +42,62 @@ def parent_edges(nodes_: DataFrame, id_: str, parent: str, ts: str, order: list[
 
 
 def _cycle_closers(edges: DataFrame) -> DataFrame:
-    """The last child, in order, of each cycle of edges with one parent a child."""
-    reach = ancestors(edges, "child", "parent")
-    on_cycle = reach.filter("node = ancestor").select(F.col("node").alias("child")).distinct()
-    cyclic = edges.join(on_cycle, "child", "left_semi")
-    members = ancestors(cyclic, "child", "parent").join(cyclic.select(F.col("child").alias("ancestor"), "child_order"), "ancestor")
-    last = members.groupBy("node").agg(F.max_by("ancestor", "child_order").alias("child"))
-    return last.select("child").distinct()
+    """The last child, in order, of each cycle of edges with one parent a child.
+
+    Every round doubles how far up a node sees. From that far on all that is reached lies on cycles, and every node of
+    a cycle has then seen the whole of it. No chain is written out: a round holds a row for each edge.
+    """
+    at = edges.select("child", F.col("parent").alias("far"), F.struct("child_order", "child").alias("last"))
+    at = written(at.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"), "cycles")  # a leaf is on none
+    n, length = at.count(), 1
+    while length <= n:
+        up = at.select(F.col("child").alias("far"), F.col("far").alias("farther"), F.col("last").alias("__last"))
+        at = written(at.join(up, "far").select("child", F.col("farther").alias("far"), F.greatest("last", "__last").alias("last")), "cycles")
+        length *= 2
+    return at.join(at.select(F.col("far").alias("child")).distinct(), "child", "left_semi").select(F.col("last.child").alias("child")).distinct()
+
+
+def _next_siblings(edges: DataFrame, cells: int = 256) -> DataFrame:
+    """(parent, node, next): the children of each parent as a list; next is null for the last one. A parent's children are dealt into cells."""
+    dealt = edges.withColumn("cell", F.pmod(F.xxhash64("node"), F.lit(cells)))
+    firsts = dealt.groupBy("parent", "cell").agg(F.min("node").alias("first"))
+    after = firsts.select("parent", "cell", F.lead("first").over(Window.partitionBy("parent").orderBy("cell")).alias("next_cell"))
+    own = Window.partitionBy("parent", "cell").orderBy("node")
+    listed = dealt.withColumn("__next", F.lead("node").over(own)).join(after, ["parent", "cell"])
+    return listed.select("parent", "node", F.coalesce("__next", "next_cell").alias("next"))
+
+
+def positions(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, root, enter, leave) of every node of a forest: a node is below another if its interval lies inside the other's.
+
+    A walk around each tree comes to every node twice, downwards and upwards. Its steps form a list, and each step's place in it is
+    found by pointer jumping: the links double in length every round, with a row for each step, however deep a tree is. A step
+    that sees the end takes no further part, so no two steps ever ask for the same one. Edges must be without repeats and cycles.
+    """
+    edges = written(edges.select(F.col(child).alias("node"), F.col(parent).alias("parent")), "edges")
+    siblings = _next_siblings(edges)
+    first = siblings.join(siblings.select("parent", F.col("next").alias("node")), ["parent", "node"], "left_anti").select(F.col("parent").alias("node"), F.col("node").alias("first_child"))
+    roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select("node"), "node", "left_anti")
+    nodes = siblings.select("node", "parent", "next").unionByName(roots, allowMissingColumns=True)
+    step = lambda node, up: F.struct(node.alias("node"), F.lit(up).alias("up"))
+    down = nodes.join(first, "node", "left").select(step(F.col("node"), False).alias("step"), F.coalesce(F.when(F.col("first_child").isNotNull(), step(F.col("first_child"), False)), step(F.col("node"), True)).alias("far"))
+    up = nodes.select(step(F.col("node"), True).alias("step"), F.coalesce(F.when(F.col("next").isNotNull(), step(F.col("next"), False)), F.when(F.col("parent").isNotNull(), step(F.col("parent"), True))).alias("far"))
+    # The last step of a walk, upwards from its root, leads nowhere.
+    walk = written(down.union(up).withColumn("length", F.when(F.col("far").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")), "walks")
+    ends = walk.filter("far is null").select(F.col("step").alias("far"), F.lit(True).alias("over"))
+    walk = written(walk.join(ends, "far", "left").withColumn("over", F.coalesce("over", F.col("far").isNull())), "walks")
+    while not walk.filter("not over").isEmpty():
+        there = walk.select(F.col("step").alias("far"), F.col("far").alias("farther"), F.col("length").alias("more"), F.col("over").alias("at_end"))
+        going = walk.filter("not over").join(there, "far").select("step", F.col("farther").alias("far"), (F.col("length") + F.col("more")).alias("length"), F.col("at_end").alias("over"))
+        walk = written(walk.filter("over").select("step", "far", "length", "over").unionByName(going), "walks")
+    root = F.coalesce(F.col("far.node"), F.col("step.node"))
+    placed = walk.groupBy(F.col("step.node").alias("node")).agg(F.first(root).alias("root"), F.max(F.when(~F.col("step.up"), -F.col("length"))).alias("enter"), F.max(F.when(F.col("step.up"), -F.col("length"))).alias("leave"))
+    return placed
+
+
+def below(node: str, other: str) -> Column:
+    """Whether the row's ``node`` (enter and leave with that prefix) lies below its ``other``, given that the roots agree."""
+    return (F.col(f"{other}enter") < F.col(f"{node}enter")) & (F.col(f"{node}leave") < F.col(f"{other}leave"))
 
 
 def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:

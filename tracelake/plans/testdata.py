@@ -230,6 +230,14 @@ def q20_ancestors(spark, d):
     return graph.ancestors(edges, "p_partkey", "parent")
 
 
+@query("""WITH RECURSIVE u(node, ancestor) AS (SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey > 1 UNION ALL SELECT node, ancestor // 2 FROM u WHERE ancestor > 1)
+SELECT ancestor AS node, 1::BIGINT AS root, count(*) AS n_below FROM u GROUP BY ancestor""")
+def q70_descendants(spark, d):
+    edges = table(spark, d, "part").filter("p_partkey > 1").select("p_partkey", F.expr("p_partkey div 2").alias("parent"))
+    place = graph.positions(edges, "p_partkey", "parent")
+    return place.select("node", "root", F.expr("(leave - enter - 1) div 2").alias("n_below")).filter("n_below > 0")
+
+
 @query(f"WITH {EVENTS} SELECT user_id, k, count(*) AS n_creations, 'conflicting_process_creation' AS code FROM e WHERE event_type = 'signup' GROUP BY user_id, k HAVING count(*) > 1")
 def q21_conflicts(spark, d):
     return graph.nodes(events(spark, d).filter(kind("signup")), ["user_id", "k"])[1]

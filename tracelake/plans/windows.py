@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.times import micros
 from ..operators import fragments, graph, joins, rules, sequence
+from ..storage import written
 from ..streaming import state
 from ..operators.rules import Condition, Rule
 
@@ -247,10 +248,13 @@ def investigate(events: DataFrame, scope_id: str, threshold: int = 5, auth_windo
     first = lambda ts, uid: F.min(F.struct(ts, uid))[uid]
     network = activity.filter((F.col("event_id") == 3) & (F.lower(data("Initiated")) == "true")).select(F.col("node.id").alias("node"), F.col("timestamp").alias("c_ts"), F.col("event_uid").alias("network_uid"))
     tasks = nodes.filter("task").select(F.col("id").alias("task_node"), F.col("timestamp").alias("t_ts"), F.col("event_uid").alias("task_uid"))
-    below = graph.ancestors(edges, "child", "parent").select(F.col("node").alias("task_node"), F.col("ancestor").alias("node"))
+    place = written(graph.positions(edges, "child", "parent"), "positions")
+    own = lambda prefix, node: place.select(*[F.col(c).alias(node if c == "node" else f"{prefix}{c}") for c in place.columns])
     keys = ["success_uid", "node"]
     n = linked.join(network, "node").filter(within("c_ts")).groupBy(*keys).agg(first("c_ts", "network_uid").alias("network_uid"))
-    t = linked.join(below, "node").join(tasks, "task_node").filter(within("t_ts")).groupBy(*keys).agg(first("t_ts", "task_uid").alias("task_uid"))
+    placed = linked.select(*keys, "s_ts").join(own("n_", "node"), "node")
+    beneath = joins.interval_join(placed, tasks.join(own("t_", "task_node"), "task_node"), [("n_root", "t_root")], "s_ts", "t_ts", 0, chain_window, graph.below("t_", "n_"))
+    t = beneath.groupBy(*keys).agg(first("t_ts", "task_uid").alias("task_uid"))
     staged = linked.join(n, keys, "left").join(t, keys, "left")
     chains = staged.filter("network_uid is not null and task_uid is not null").select(F.sha2(F.concat(F.lit(scope_id), "success_uid", "node"), 256).alias("chain_id"), "success_uid", "process_uid", "network_uid", "task_uid", F.lit("needs_review").alias("status"))
     per = staged.groupBy("success_uid").agg(F.bool_or(F.col("network_uid").isNotNull() & F.col("task_uid").isNotNull()).alias("complete"), F.bool_or(F.col("network_uid").isNull()).alias("no_network"), F.bool_or(F.col("task_uid").isNull()).alias("no_task"), F.lit(True).alias("linked"))
