@@ -53,12 +53,37 @@ def test_ingest_is_strict_and_whole(spark, tmp_path):
     assert events.flatten(got.events).first().CommandLine == ""
 
 
-def test_large_files_are_refused(spark, tmp_path, monkeypatch):
-    import pytest
-
-    monkeypatch.setattr(events, "MAX_FILE", 50)
-    with pytest.raises(ValueError, match="more than 50 bytes"):
-        events.ingest(spark, write(tmp_path / "s.jsonl", scenario()))
+def test_files_are_read_in_ranges(spark, tmp_path):
+    """Physical line numbers and event ids are those of the whole file, wherever Spark cuts it."""
+    plain = scenario()
+    texts = {
+        "mark.jsonl": "\ufeff" + "\n".join(plain[:3]),
+        "crlf.jsonl": "\r\n".join(plain) + "\r\n",
+        "blank.jsonl": "\n\n" + "\n\n \n".join(plain * 30) + "\n\n",
+        "umlaut.jsonl": "\n".join(x.replace("WS1", "Wörk😀") for x in plain * 40) + "\n",
+        "none.jsonl": "",
+        "lf.jsonl": "\n\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "odd.jsonl").write_bytes(plain[0].encode().replace(b"WS1", b"W\xff1") + b"\n" + plain[1].encode())
+    wanted = set()
+    for text in texts.values():
+        sha = hashlib.sha256(text.encode()).hexdigest()
+        wanted |= {(sha, n, x.rstrip("\r").lstrip("\ufeff")) for n, x in enumerate(text.split("\n"), 1) if x.strip()}
+    for most in ("700", "4097", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.set("spark.sql.files.openCostInBytes", "16")
+        try:
+            got = events.ingest(spark, f"{tmp_path}/*.jsonl")
+            rows = got.events.collect()
+            assert {(r.source_sha256, r.source_line, r.original_json) for r in rows} == wanted and len(rows) == len(wanted)
+            assert all(r.event_uid == hashlib.sha256(f"{r.source_sha256}:{r.source_line}".encode()).hexdigest() for r in rows)
+            assert [(r.source_line, r.error) for r in got.errors.collect()] == [(1, "not UTF-8")]
+            assert {(r.source_sha256, r.event_count) for r in got.sources.collect()} == {(s, sum(w[0] == s for w in wanted)) for s in {w[0] for w in wanted}}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_findings_hunts_chain_and_scripts(spark, tmp_path):

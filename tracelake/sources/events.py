@@ -1,24 +1,30 @@
-"""JSON-lines event files: read whole, hashed, split, validated and normalised.
+"""JSON-lines event files: split, hashed, numbered, validated and normalised.
 
 A file is known by the SHA-256 of its bytes and a line by its number, so rereading a file gives the same event
-ids. Lines are split at line feeds only. A file with any invalid line is left out as a whole and reported.
-Duplicate keys within a line count as invalid. A file is read whole by one task, so files of more than MAX_FILE bytes
-are refused before any is read; files are read in parallel.
+ids. Lines are split at line feeds only. Files are read in byte ranges, by as many tasks as Spark makes of them: a line's
+number is its place in its range and the number of lines in the ranges before, from one count for each range. A file's hash
+can only be taken in order; it is computed by a task of its own that streams the lines and keeps none. A file with any invalid line is
+left out as a whole and reported. Duplicate keys within a line and bytes that aren't UTF-8 count as invalid.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import utc_text, utc_timestamp
+from ..storage import new_path, written
 
 TEXT_FIELDS = ("host", "channel", "provider")
 NUMBER_FIELDS = ("event_id", "record_id")
-#: Bytes of a file that is read whole.
-MAX_FILE = 1 << 29
+#: Ranges or files up to which a table of them is broadcast.
+FEW = 100_000
+BOM = b"\xef\xbb\xbf"
 
 
 @dataclass
@@ -28,21 +34,60 @@ class Ingested:
     sources: DataFrame
 
 
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(file, source_sha256) of each file that has a line, as a written table: a task for each file, which reads it as a stream."""
+    whole = spark.newSession()  # in which no file is split and no two are read by one task
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        whole.conf.set(key, str(1 << 60))
+    rows = whole.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = size = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if file is None:
+                file, size, done = batch.column(0)[0].as_py(), batch.column(1)[0].as_py(), 0
+                # The reader leaves out a byte order mark at the begin; whether there was one shows in the size.
+                plain, marked = hashlib.sha256(), hashlib.sha256(BOM)
+            else:
+                plain.update(b"\n"), marked.update(b"\n")
+                done += 1
+            data = b"\n".join(batch.column(2).to_pylist())
+            plain.update(data), marked.update(data)
+            done += len(data)
+        if file is not None:
+            missing = size - done
+            for sha in (plain, marked):
+                sha.update(b"\n" * (missing % len(BOM)))
+            yield pa.RecordBatch.from_pydict({"file": [file], "source_sha256": [(marked if missing >= len(BOM) else plain).hexdigest()]})
+
+    at = new_path(spark, "digests")
+    rows.mapInArrow(run, "file string, source_sha256 string").write.parquet(at)
+    return spark.read.schema("file string, source_sha256 string").parquet(at)
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, source_sha256, source_line, raw) of all lines that aren't blank."""
-    found = spark.read.format("binaryFile").load(path)
-    for large in found.filter(F.col("length") > MAX_FILE).select("path").limit(1).collect():
-        raise ValueError(f"{large.path} has more than {MAX_FILE} bytes; split it at line feeds")
-    files = found.select("path", F.sha2("content", 256).alias("source_sha256"), F.decode("content", "UTF-8").alias("text"))
-    split = files.select("path", "source_sha256", F.posexplode(F.split("text", "\n", -1)).alias("n", "raw"))
-    raw = F.when(F.col("n") == 0, F.regexp_replace("raw", "^﻿", "")).otherwise(F.col("raw"))
-    out = split.select("path", "source_sha256", (F.col("n") + 1).cast("long").alias("source_line"), F.regexp_replace(raw, "\r$", "").alias("raw"))
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("place"))
+    # The lines of a range follow each other in one task.
+    before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("file", "range").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    ranges = written(ranges.select("file", "range", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before")), "ranges")
+    numbered = rows.join(_small(ranges), ["file", "range"]).join(_small(digests(spark, path)), "file")
+    number = F.col("place") - F.col("first") + F.col("lines_before") + 1
+    raw = F.regexp_replace(F.when(number == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")), "\r$", "")
+    out = numbered.select(F.col("file").alias("path"), "source_sha256", number.cast("long").alias("source_line"), F.when(F.is_valid_utf8("value"), raw).otherwise(F.col("value")).alias("raw"))
     return out.filter(F.trim("raw") != "")
 
 
 def parsed(rows: DataFrame) -> DataFrame:
     """rows with the event's columns and error (null for a valid line)."""
-    v = F.try_parse_json("raw")
+    v = F.try_parse_json(F.when(F.is_valid_utf8("raw"), F.col("raw")))
     get = lambda k, t: F.try_variant_get("v", f"$.{k}", t)
     kind = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")), F.lit("VOID"))
     out = rows.withColumn("v", v)
@@ -53,7 +98,8 @@ def parsed(rows: DataFrame) -> DataFrame:
     data = F.when(kind("event_data").startswith("OBJECT"), F.try_variant_get("v", "$.event_data", "map<string,variant>"))
     out = out.withColumn("__data", data).withColumn("timestamp", utc_timestamp(F.col("timestamp")))
     error = (
-        F.when(F.col("v").isNull(), F.lit("not a JSON value"))
+        F.when(~F.is_valid_utf8("raw"), F.lit("not UTF-8"))
+        .when(F.col("v").isNull(), F.lit("not a JSON value"))
         .when(F.col("timestamp").isNull(), F.lit("timestamp needs ISO-8601 with a zone"))
         .when(F.coalesce(*[F.when(F.coalesce(F.trim(k), F.lit("")) == "", F.lit(True)) for k in TEXT_FIELDS], F.lit(False)), F.lit("host, channel and provider must be texts"))
         .when(F.coalesce(F.col("event_id"), F.lit(-1)) < 0, F.lit("event_id must be a whole number"))
