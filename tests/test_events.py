@@ -133,3 +133,17 @@ def test_streamed_leads_equal_those_of_the_batch(spark, tmp_path):
     assert live.run_leads(windows.streamed_leads(stream, auth=(5, 600), credential=(3, 300)), store, f"{tmp_path}/again", lambda: F.lit("2024-01-01T00:05:00Z").cast("timestamp")).awaitTermination(120)
     assert {(r.rule_id, r.finding_id, tuple(r.evidence)) for r in store.read("leads").collect()} == got
     assert got == {(r.rule_id, r.finding_id, tuple(r.evidence)) for r in wanted.collect()} and any(r[0] == "AUTH-001" for r in got)
+
+
+def test_private_events_need_a_private_store(spark, tmp_path):
+    import pytest
+
+    e = events.ingest(spark, write(tmp_path / "s.jsonl", scenario())).events
+    now = F.lit("2024-01-01T00:05:00Z").cast("timestamp")
+    (tmp_path / "private").mkdir()
+    for at, roots in ((f"{tmp_path}/store", ()), (f"{tmp_path}/private/../store", (f"{tmp_path}/private",)), (f"{tmp_path}/private-not", (f"{tmp_path}/private",))):
+        with pytest.raises(live.NotAdmitted, match="private"):
+            live.process(live.Store(spark, at, e.schema, roots), e, 0, windows.findings, now, 600, private=True)
+    store = live.Store(spark, f"{tmp_path}/private/store", e.schema, (f"file://{tmp_path}/private",))
+    live.process(store, e, 0, windows.findings, now, 600, private=True)
+    assert {r.state for r in store.queue.read().collect()} == {"held_private"} and store.queue.claim(now) is None

@@ -222,3 +222,31 @@ def test_positions_of_a_forest_tell_who_is_below(spark):
             inside = got[x].root == got[y].root and got[y].enter < got[x].enter and got[x].leave < got[y].leave
             assert inside == (y in over)
     assert graph.positions(df.limit(0), "c", "p").collect() == []
+
+
+def test_range_counts_equal_single_ones(spark):
+    df = frame(spark, stream(11, 400))
+    at = lambda s: F.timestamp_seconds(F.lit(s))
+    first = df.agg(F.min(F.unix_timestamp("ts"))).first()[0]
+    got = sequence.count_over_range(df, "ts", at(first - 50), at(first + 4000), 130, 333, "user").collect()
+    steps = sorted({r.at for r in got})
+    assert len(steps) == 4050 // 130 + 1 and len(got) == len(steps) * len({r.user for r in got})
+    for k in (0, 3, 11, len(steps) - 1):
+        one = {r.user: r.n for r in sequence.count_over_time(df, "ts", at(first - 50 + 130 * k), 333, "user").collect()}
+        assert {r.user: r.n for r in got if r.at == steps[k] and r.n} == one
+    import pytest
+
+    with pytest.raises(ValueError, match="steps"):
+        sequence.count_over_range(df, "ts", at(0), at(-1), 1, 1)
+
+
+def test_scopes_are_approved_by_hash_and_reason(spark):
+    import pytest
+
+    a, b = "a" * 64, "b" * 64
+    df = spark.createDataFrame([(a,), (b,), (a,)], "source_sha256 string")
+    good = {"id": "case", "collection_reason": "incident", "source_sha256": [a, b]}
+    assert governance.approved_scope(df, good) is df
+    for bad in ({"source_sha256": [a]}, {"source_sha256": [a, b, "c" * 64]}, {"source_sha256": [a, a, b]}, {"source_sha256": ["A" * 64, b]}, {"source_sha256": []}, {"id": " "}, {"collection_reason": None}):
+        with pytest.raises(ValueError):
+            governance.approved_scope(df, good | bad)

@@ -22,6 +22,8 @@ def test_bundle_from_the_command_line(spark, tmp_path, capsys):
     with open(path, "a") as f:
         f.write("x")
     os.remove(os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc"))  # the local file system's own check
+    assert sinks.verify_bundle(spark, out, anchored=sinks.anchor(spark, out)) == sinks.verify_bundle(spark, out)
+    assert sinks.verify_bundle(spark, out, anchored="0" * 64) == ["other manifest than anchored"]
     assert sinks.verify_bundle(spark, out) == [f"changed {path.removeprefix(out + '/')}"] and cli.main(["verify", out]) == 2
     bad = write(tmp_path / "bad.jsonl", ["{"])
     assert cli.main(["ingest", bad, table]) == 2

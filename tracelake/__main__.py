@@ -49,8 +49,11 @@ def parser() -> argparse.ArgumentParser:
 
 
 def show(df, most: int = 1000) -> None:
-    for r in df.limit(most).collect():
+    rows = df.limit(most + 1).collect()
+    for r in rows[:most]:
         print(json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False))
+    if len(rows) > most:
+        print(f"only the first {most} rows are shown", file=sys.stderr)
 
 
 def main(argv: list[str] | None = None) -> int:

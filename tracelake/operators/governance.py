@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .joins import compare_sets
+
 #: Allowed next states of an alert.
 TRANSITIONS = {"new": ("triaged",), "triaged": ("investigating",), "investigating": ("escalated", "closed"), "escalated": ("investigating", "closed"), "closed": ()}
 GENESIS = "0" * 64
@@ -95,3 +98,21 @@ def attach_evidence(cases: DataFrame, added: DataFrame, key: str, evidence: str
     out = told.withColumn(evidence, F.when(fits, F.col("__all")).otherwise(F.col(evidence))).drop("__new", "__all")
     refused = told.filter(~fits).select(key).unionByName(new.join(cases.select(key), key, "left_anti").select(key))
     return out, refused
+
+
+def approved_scope(events: DataFrame, scope: dict, source: str = "source_sha256") -> DataFrame:
+    """events, if their sources are exactly those that the scope approves, with an id and a reason of collection; else an error.
+
+    Every approved source must be observed and no other; the hashes are stated once each, in full and in lower case.
+    """
+    hashes = scope.get("source_sha256") if isinstance(scope, dict) else None
+    for k in ("id", "collection_reason"):
+        if not isinstance(scope, dict) or not isinstance(scope.get(k), str) or not scope[k].strip():
+            raise ValueError(f"a scope states its {k}")
+    if not isinstance(hashes, list) or not hashes or not all(isinstance(h, str) and re.fullmatch("[0-9a-f]{64}", h) for h in hashes) or len(set(hashes)) != len(hashes):
+        raise ValueError("a scope states the SHA-256 of each source once")
+    approved = events.sparkSession.createDataFrame([(h,) for h in hashes], f"`{source}` string")
+    odd = compare_sets(events, approved, source).filter("state <> 'present'").orderBy(source).limit(1).collect()
+    if odd:
+        raise ValueError(f"source {odd[0][source]} is {odd[0].state}")
+    return events

@@ -116,3 +116,27 @@ def count_over_time(df: DataFrame, ts: str, at: Column, seconds: int, *by: str)
     """How many rows lie in the last ``seconds`` before ``at`` (later than their begin, up to their end), by label."""
     t = micros(F.col(ts))
     return df.filter((t > micros(at) - seconds * SECOND) & (t <= micros(at))).groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def count_over_range(df: DataFrame, ts: str, start: Column, end: Column, step: int, seconds: int, *by: str, most_steps: int = 11_000) -> DataFrame:
+    """count_over_time at every ``step`` seconds from start to end (inclusive), by label: (labels, at, n), steps without a row too.
+
+    A sweep: a row counts from the first step at or after it to the last one before its window is over, so it adds one where that
+    begins and takes it away behind the end; the running sum of a label's steps are its counts. No row is repeated for each
+    step. Labels are those with a row in any window.
+    """
+    first, last = df.sparkSession.range(1).select(micros(start), micros(end)).first()
+    steps = (last - first) // (step * SECOND) + 1
+    if not 0 < steps <= most_steps:
+        raise ValueError(f"{steps} steps; at least one and at most {most_steps} are told")
+    since = micros(F.col(ts)) - first
+    wide = F.lit(step * SECOND)
+    at_or_after = lambda t: ((t + F.pmod(-t, wide)) / wide).cast("long")
+    rows = df.select(*by, F.greatest(at_or_after(since), F.lit(0)).alias("i"), F.least(at_or_after(since + seconds * SECOND), F.lit(steps)).alias("j")).filter("i < j")
+    turns = rows.select(*by, F.explode(F.array(F.struct(F.col("i"), F.lit(1).alias("d")), F.struct(F.col("j").alias("i"), F.lit(-1).alias("d")))).alias("t")).select(*by, "t.*")
+    turns = turns.groupBy(*by, "i").agg(F.sum("d").alias("d"))
+    grid = rows.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("i"), F.lit(0).cast("long").alias("d"))
+    told = turns.unionByName(grid).groupBy(*by, "i").agg(F.sum("d").alias("d"))
+    run = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    at = F.timestamp_micros(F.lit(first) + F.col("i") * step * SECOND).cast("timestamp_ntz")
+    return told.withColumn("n", F.sum("d").over(run)).filter(F.col("i") < steps).select(*by, at.alias("at"), "n")

@@ -641,10 +641,10 @@ def q58_fingerprint(spark, d):
 _RANK = "CASE c_mktsegment WHEN 'BUILDING' THEN 4 WHEN 'MACHINERY' THEN 3 WHEN 'HOUSEHOLD' THEN 2 WHEN 'FURNITURE' THEN 1 ELSE 0 END"
 
 
-@query(f"SELECT c_custkey, {_RANK} AS criticality_rank FROM customer ORDER BY criticality_rank DESC, c_custkey LIMIT 100")
+@query(f"SELECT c_custkey, {_RANK} AS criticality_rank FROM customer")
 def q59_criticality(spark, d):
     ranked = review.by_criticality(table(spark, d, "customer"), "c_mktsegment", "c_custkey", {"BUILDING": 4, "MACHINERY": 3, "HOUSEHOLD": 2, "FURNITURE": 1})
-    return ranked.limit(100).select("c_custkey", "criticality_rank")
+    return ranked.select("c_custkey", "criticality_rank")
 
 
 @query("""WITH x AS (SELECT CASE WHEN doc_id % 5 < 3 THEN 'development' ELSE 'holdout' END AS split, toxic = 1 AS label, m.method, CASE m.method WHEN 'words' THEN contains(lower(text), 'the') ELSE length(text) > 500 END AS hit
@@ -664,7 +664,7 @@ def q60_split_metrics(spark, d):
 @query("""WITH f AS (SELECT event_id, user_id AS o, k AS p FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events) WHERE event_type = 'error'),
 c AS (SELECT c_custkey, c_name, c_mktsegment IN ('BUILDING', 'MACHINERY') AS urgent FROM customer WHERE c_custkey % 3 = 0),
 x AS (SELECT event_id, c_name, urgent FROM (SELECT DISTINCT event_id, unnest([o, p]) AS a FROM f) JOIN c ON c_custkey = a)
-SELECT f.event_id, coalesce(string_agg(c_name, ',' ORDER BY c_name), '') AS assets, CASE WHEN coalesce(bool_or(urgent), false) THEN 'review_first' WHEN count(c_name) = 0 THEN 'context_needed' ELSE 'review' END AS priority
+SELECT f.event_id, coalesce(string_agg(c_name, ',' ORDER BY c_name), '') AS assets, CASE WHEN coalesce(bool_or(urgent), false) THEN 'review_first' ELSE 'context_needed' END AS priority
 FROM f LEFT JOIN x USING (event_id) GROUP BY f.event_id""")
 def q61_lead_context(spark, d):
     e = events(spark, d).filter(kind("error"))
@@ -702,3 +702,25 @@ def q65_collectors(spark, d):
     s = readiness.collector_states(e, "user_id", "ts", "gaps", "error", "event_id")
     state = readiness.heartbeat_state(F.col("error"), F.when(F.col("gaps") > 95, F.col("gaps")).otherwise(0), F.col("updated"), F.lit("2024-01-30").cast("timestamp_ntz"), F.lit(36000))
     return s.select("user_id", "updated", "gaps", "error", F.col("event_id").alias("cursor"), state.alias("state"))
+
+
+@query("""WITH f AS (SELECT event_id, user_id % 40 AS c, user_id AS o, k AS p, event_type AS t FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events)), s AS (SELECT DISTINCT c FROM f),
+a AS (SELECT c, count(*) AS n FROM (SELECT DISTINCT c, unnest([o, p]) AS ip FROM f WHERE t = 'click') WHERE ip IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 = 0) GROUP BY c),
+d AS (SELECT c, count(*) AS n FROM f WHERE t = 'error' GROUP BY c), v AS (SELECT c, count(*) AS n FROM f WHERE t = 'click' AND event_id % 97 = 0 GROUP BY c)
+SELECT c::VARCHAR AS source, k.check, CASE k.check WHEN 'integrity' THEN 'recorded' WHEN 'coverage' THEN 'needs_review' WHEN 'ownership' THEN if(a.n > 0, 'supplied_context', 'missing') WHEN 'endpoint' THEN if(v.n > 0, 'candidate_pivots', 'missing') ELSE 'missing' END AS state,
+  CASE k.check WHEN 'coverage' THEN coalesce(d.n, 0) WHEN 'ownership' THEN coalesce(a.n, 0) WHEN 'endpoint' THEN coalesce(v.n, 0) ELSE 0 END AS n
+FROM s LEFT JOIN a USING (c) LEFT JOIN d USING (c) LEFT JOIN v USING (c), (VALUES ('integrity'), ('coverage'), ('ownership'), ('endpoint'), ('intent'), ('response')) k("check")""")
+def q71_capture_checks(spark, d):
+    e = events(spark, d).withColumn("source_sha256", (F.col("user_id") % 40).cast("string"))
+    flows = e.filter(kind("click")).select("source_sha256", F.col("event_id").alias("flow_id"), F.col("user_id").alias("origin_ip"), F.col("k").alias("peer_ip"))
+    assets = table(spark, d, "customer").filter("c_custkey % 9 = 0").select(F.col("c_custkey").alias("ip"))
+    checks = network.capture_checks(e, flows, e.filter(kind("error")), assets, flows.filter("flow_id % 97 = 0"))
+    return checks.select(F.col("source_sha256").alias("source"), "check", "state", "n")
+
+
+@query("""WITH s AS (SELECT TIMESTAMP '2024-01-03' + to_seconds(i * 5400) AS told FROM range(0, 321) t(i)),
+l AS (SELECT DISTINCT event_type FROM events WHERE ts > TIMESTAMP '2024-01-03' - INTERVAL 4 HOUR AND ts <= TIMESTAMP '2024-01-23'), g AS (SELECT * FROM l, s)
+SELECT g.event_type, told AS "at", count(e.event_id) AS n FROM g LEFT JOIN events e ON e.event_type = g.event_type AND e.ts <= told AND e.ts > told - INTERVAL 4 HOUR GROUP BY g.event_type, told""")
+def q72_range_counts(spark, d):
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    return sequence.count_over_range(table(spark, d, "events"), "ts", at("2024-01-03"), at("2024-01-23"), 5400, 4 * HOUR, "event_type")

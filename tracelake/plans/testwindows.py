@@ -87,3 +87,10 @@ def w07_logon_summary(spark, d):
     s = windows.run_query(spark, windows_events(spark, d), "auth_summary")
     kind = F.when(F.col("event_id") == 4625, "error").when(F.col("event_id") == 4624, "purchase").otherwise("signup")
     return s.groupBy("host", kind.alias("kind")).agg(F.sum("event_count").alias("n"))
+
+
+@query("""SELECT CASE WHEN event_type IN ('view', 'click') THEN 'Microsoft-Windows-Sysmon' ELSE 'Microsoft-Windows-Security-Auditing' END AS provider,
+CASE event_type WHEN 'error' THEN 4625 WHEN 'purchase' THEN 4624 WHEN 'signup' THEN 4648 WHEN 'view' THEN 1 ELSE 3 END::BIGINT AS event_id, count(*) AS n FROM events WHERE event_type IN ('error', 'purchase', 'signup', 'view', 'click') GROUP BY ALL""")
+def w08_event_counts(spark, d):
+    found = windows.event_counts(windows_events(spark, d).filter("provider is not null"))
+    return found.select("provider", "event_id", F.col(found.columns[-1]).alias("n"))

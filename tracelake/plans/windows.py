@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.times import micros
 from ..operators import fragments, graph, joins, rules, sequence
+from ..operators.review import fingerprint
 from ..storage import written
 from ..streaming import state
 from ..operators.rules import Condition, Rule
@@ -186,30 +187,40 @@ def run_query(spark: SparkSession, events: DataFrame, name: str) -> DataFrame:
     return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=events)
 
 
-#: What each hunt looks for.
+#: What each hunt looks for, and what its rows do not say.
 HYPOTHESES = {
-    "HUNT-01": "a parent starts a child that it rarely or never starts otherwise",
-    "HUNT-02": "a process opens connections after it was created",
-    "HUNT-03": "failed logons gather on an account, an address or a status",
-    "HUNT-04": "a scheduled task was registered",
-    "HUNT-05": "script text was recorded in fragments",
-    "HUNT-06": "one subject uses the credentials of many accounts",
-    "HUNT-07": "an audit log was cleared",
-    "HUNT-08": "a value was written to the registry",
+    "HUNT-01": ("a parent starts a child that it rarely or never starts otherwise", "what is rare among these events may be usual elsewhere"),
+    "HUNT-02": ("a process opens connections after it was created", "ids are only compared as texts; the process graph also checks their form and conflicting creations"),
+    "HUNT-03": ("failed logons gather on an account, an address or a status", "a failure alone says nothing of a later success; look at its status and at the sources that were read"),
+    "HUNT-04": ("a scheduled task was registered", "a registered task need not have run"),
+    "HUNT-05": ("script text was recorded in fragments", "put the fragments together before words in them are judged"),
+    "HUNT-06": ("one subject uses the credentials of many accounts", "administrators do so with permission; guessing of passwords is not shown"),
+    "HUNT-07": ("an audit log was cleared", "maintenance clears logs, too, and no such event in a small sample doesn't prove that logs are whole"),
+    "HUNT-08": ("a value was written to the registry", "key, value and permission must be looked at; no rows may mean that nothing was recorded"),
 }
-ROW_LIMIT = 100
+ROW_LIMIT, MOST_SOURCES = 100, 1000
 
 
 def run_hunts(spark: SparkSession, events: DataFrame) -> dict:
-    """All hunts over one table: what was searched, and each hunt with its hypothesis, text hash and rows (at most ROW_LIMIT)."""
+    """All hunts over one table: what was searched, and each hunt with its hypothesis, caution, text hash and rows (at most ROW_LIMIT).
+
+    Sources are listed up to MOST_SOURCES; n_sources and the fingerprint are of all of them.
+    """
     out = []
     for name, sql in HUNTS.items():
         rows = [r.asDict(recursive=True) for r in run_query(spark, events, name).collect()]
         found = "rows to be reviewed" if rows else "nothing found, which may mean that nothing was collected"
-        out.append({"id": name, "hypothesis": HYPOTHESES[name], "query_sha256": hashlib.sha256(sql.encode()).hexdigest(), "rows": rows, "row_limit": ROW_LIMIT, "assessment": found})
-    counts = events.groupBy("source_sha256").agg(F.count("*").alias("events")).orderBy("source_sha256")
-    total = events.count()
-    return {"total_events": total, "sources": [r.asDict() for r in counts.limit(1000).collect()], "hunts": out, "caution": "hunts show what was recorded; they neither prove nor exclude an intrusion"}
+        hypothesis, caution = HYPOTHESES[name]
+        out.append({"id": name, "hypothesis": hypothesis, "query_sha256": hashlib.sha256(sql.encode()).hexdigest(), "rows": rows, "returned_rows": len(rows), "row_limit": ROW_LIMIT, "assessment": found, "caution": caution})
+    counts = events.groupBy("source_sha256").agg(F.count("*").alias("events"))
+    all_ = fingerprint(counts).first().asDict()
+    listed = [r.asDict() for r in counts.orderBy("source_sha256").limit(MOST_SOURCES).collect()]
+    return {"total_events": events.count(), "n_sources": counts.count(), "sources_fingerprint": all_, "sources": listed, "hunts": out, "caution": "hunts show what was recorded; they neither prove nor exclude an intrusion"}
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    """How many events each provider gave of each number."""
+    return rules.counts(events, "provider", "event_id")
 
 
 def unique_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import csv_cell
 from ..functions.times import utc_text
+from ..operators.joins import bounded
 from ..streaming.queue import QUEUED, Queue
 from ..operators.review import fingerprint
 
@@ -107,10 +108,20 @@ def write_bundle(folder: str, events: DataFrame, findings: DataFrame, sources: D
     return manifest
 
 
-def verify_bundle(spark: SparkSession, folder: str, most: int = 1000) -> list[str]:
-    """What differs from the manifest, at most so many: changed, missing or added files, another inventory, other counts."""
+def anchor(spark: SparkSession, folder: str) -> str:
+    """SHA-256 of a bundle's manifest, to be kept elsewhere."""
+    return hashlib.sha256(Folder(spark, folder).read_text("manifest.json").encode()).hexdigest()
+
+
+def verify_bundle(spark: SparkSession, folder: str, most: int = 1000, anchored: str | None = None) -> list[str]:
+    """What differs from the manifest, at most so many: changed, missing or added files, another inventory, other counts.
+
+    With ``anchored``, the manifest itself must have that hash; without one, whoever changed the files may have changed it as well.
+    """
     place = Folder(spark, folder)
     manifest = json.loads(place.read_text("manifest.json"))
+    if anchored is not None and anchor(spark, folder) != anchored:
+        return ["other manifest than anchored"]
     told = spark.read.schema("file string, sha256 string").json(f"{place.at}/inventory")
     now = inventory(place, *BUNDLE).withColumnRenamed("sha256", "now")
     state = F.when(F.col("now").isNull(), "missing").when(F.col("sha256").isNull(), "added").otherwise("changed")
@@ -168,12 +179,14 @@ def restore(spark: SparkSession, folder: str, store: str) -> None:
 
 
 def review_archive(path: str, id_: str, alerts: DataFrame, log: DataFrame, events: DataFrame, most: int = 1000) -> str:
-    """A zip of one alert with its revisions and the anchors of its evidence, at most so many of each; returns its SHA-256."""
+    """A zip of one alert with all its revisions and the anchors of its evidence; returns its SHA-256. More than ``most`` of either are an error."""
     alert = alerts.filter(F.col("finding_id") == id_).limit(2).collect()
     if len(alert) != 1:
         raise ValueError(f"{len(alert)} alerts have this id")
-    revisions = log.filter(F.col("finding_id") == id_).orderBy("revision").limit(most).collect()
-    anchors = events.filter(F.col("event_uid").isin(list(alert[0].evidence)[:most])).select("event_uid", "source_sha256", "source_line", "host", F.col("timestamp").cast("string").alias("timestamp"))
+    revisions = bounded(log.filter(F.col("finding_id") == id_), most).orderBy("revision").collect()
+    if len(alert[0].evidence) > most:
+        raise ValueError(f"more than {most} events of evidence")
+    anchors = events.filter(F.col("event_uid").isin(list(alert[0].evidence))).select("event_uid", "source_sha256", "source_line", "host", F.col("timestamp").cast("string").alias("timestamp"))
     plain = lambda rows: json.loads(json.dumps([r.asDict(recursive=True) for r in rows], default=str))
     return case_archive(path, {"alert.json": plain(alert)[0], "audit.json": plain(revisions), "anchors.json": plain(anchors.orderBy("event_uid").collect())})
 

@@ -9,6 +9,8 @@ the window.
 
 from __future__ import annotations
 
+import os
+import posixpath
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -53,13 +55,26 @@ class Store:
     touches are read alone.
     """
 
-    def __init__(self, spark: SparkSession, path: str, event_schema: T.StructType):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, event_schema: T.StructType, private_roots: tuple[str, ...] = ()):
+        """``private_roots``: folders below which a store may take private events."""
+        self.spark, self.path, self.private_roots = spark, path.rstrip("/"), private_roots
         self.schemas = {
             "events": T.StructType([*event_schema.fields, T.StructField("fingerprint", T.StringType())]),
         }
         self.queue = Queue(spark, f"{self.path}/outbox", QUEUED)
 
+    def is_private(self) -> bool:
+        """Whether the store lies below a private root, however its path is written."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+
+        def whole(at: str) -> str:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            uri = path.getFileSystem(conf).makeQualified(path).toUri()
+            there = uri.getPath()
+            return f"{uri.getScheme()}:{os.path.realpath(there) if uri.getScheme() == 'file' else posixpath.normpath(there)}/"
+
+        return any(whole(self.path).startswith(whole(root)) for root in self.private_roots)
+
     def read(self, log: str, schema: T.StructType | None = None, but: int | None = None) -> DataFrame:
         """A log, with batch and day; rows of batch ``but`` are left out."""
         schema = T.StructType([*(schema or self.schemas[log]).fields, T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())])
@@ -101,6 +116,8 @@ def process(store: Store, batch: DataFrame, batch_id: int, detect: Callable[[Dat
     Equal events have equal timestamps, so only the stored events of the batch's own days can repeat them. What is new is
     put into the store's delivery queue; a repeated batch adds nothing to it.
     """
+    if private and not store.is_private():
+        raise NotAdmitted("private events are only taken by a store below one of its private roots")
     admit(store, batch, batch_id, limits, kind)
     days = [r[0] for r in batch.select(F.to_date("timestamp")).distinct().limit(MOST_DAYS + 1).collect()]
     known = store.read("events", but=batch_id)
