@@ -250,3 +250,14 @@ def test_scopes_are_approved_by_hash_and_reason(spark):
     for bad in ({"source_sha256": [a]}, {"source_sha256": [a, b, "c" * 64]}, {"source_sha256": [a, a, b]}, {"source_sha256": ["A" * 64, b]}, {"source_sha256": []}, {"id": " "}, {"collection_reason": None}):
         with pytest.raises(ValueError):
             governance.approved_scope(df, good | bad)
+
+
+def test_folding_is_that_of_unicode(spark):
+    import sys
+
+    letters = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    words = ["STRASSE", "Straße", "ΣΊΣΥΦΟΣ", "Σίσυφος", "İstanbul", "ﬃ ŉ ẞ", "plain ASCII Text", "", "Ǆ Ꭰ 𐐀"]
+    df = spark.createDataFrame([(x,) for x in letters + words + [None]], "c string")
+    got = {r.c: r.f for r in df.select("c", tx.casefold(F.col("c")).alias("f")).collect()}
+    assert got.pop(None) is None and [c for c, f in got.items() if f != c.casefold()] == []
+    assert got["STRASSE"] == got["Straße"] and got["ΣΊΣΥΦΟΣ"] == got["Σίσυφος"]

@@ -1,11 +1,15 @@
 """Text, path, GUID, command-line and encoding functions, all as column expressions.
 
-``fold`` stands for case folding and is Spark's ``lower``; it differs from full Unicode folding only for
-letters that fold to several, such as the German sharp s.
+``fold`` is Spark's ``lower``, for patterns in texts of any length; it differs from full Unicode folding only for
+letters that fold to several or to another letter's lower case, such as the German sharp s. ``casefold`` is full folding, for
+names and other short values that are compared as a whole.
 """
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,10 +23,26 @@ SCRIPT_SCHEMES = ("http://", "https://", "javascript:", "vbscript:")
 _BACKSLASH = "\\"
 
 
+@functools.cache
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """(letters that fold to one, what they fold to, those that fold to several), of all of Unicode but surrogates."""
+    folded = {chr(i): chr(i).casefold() for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and chr(i).casefold() != chr(i)}
+    one = {a: b for a, b in folded.items() if len(b) == 1}
+    return "".join(one), "".join(one.values()), {a: b for a, b in folded.items() if len(b) > 1}
+
+
 def fold(c: Column) -> Column:
     return F.lower(c)
 
 
+def casefold(c: Column) -> Column:
+    """c as it is compared without case."""
+    letters, to, growing = _foldings()
+    pairs = F.split(F.lit(" ".join(a + b for a, b in growing.items())), " ")
+    grown = F.aggregate(pairs, c, lambda t, x: F.replace(t, F.substring(x, 1, 1), F.substring(x, 2, 3)))
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(grown, letters, to))  # ASCII alone is lowered
+
+
 def basename(path: Column) -> Column:
     """The last component of a path with slashes of either kind."""
     return F.substring_index(F.translate(path, "/", _BACKSLASH), _BACKSLASH, -1)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.documents import read_strict
-from ..functions.text import fold
+from ..functions.text import casefold, fold
 
 OPERATORS = ("equals", "contains_any", "endswith_any")
 
@@ -28,7 +28,7 @@ class Condition:
     def compile(self, find) -> Column:
         c = find(self.field)
         if self.op == "equals":
-            test = fold(c.cast("string")) == self.value.lower() if isinstance(self.value, str) else c == F.lit(self.value)
+            test = casefold(c.cast("string")) == self.value.casefold() if isinstance(self.value, str) else c == F.lit(self.value)
         elif self.op in ("contains_any", "endswith_any"):
             method = "contains" if self.op == "contains_any" else "endswith"
             test = functools.reduce(lambda a, b: a | b, [getattr(fold(c.cast("string")), method)(v.lower()) for v in self.value])
@@ -120,7 +120,7 @@ def annotate(findings: DataFrame, entries: list[dict], fields: list[str], find=N
     get = find or event_field
     context = F.coalesce(
         *[
-            F.when((F.col("rule_id") == e["rule_id"]) & functools.reduce(lambda a, b: a & b, [F.coalesce(fold(get(f).cast("string")) == str(e["equals"][f]).lower(), F.lit(False)) for f in fields]), F.lit(e["id"]))
+            F.when((F.col("rule_id") == e["rule_id"]) & functools.reduce(lambda a, b: a & b, [F.coalesce(casefold(get(f).cast("string")) == str(e["equals"][f]).casefold(), F.lit(False)) for f in fields]), F.lit(e["id"]))
             for e in entries
         ],
         F.lit(None).cast("string"),

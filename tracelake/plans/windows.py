@@ -82,7 +82,7 @@ def with_auth_key(events: DataFrame, cross_source: bool) -> DataFrame:
         whole = whole & F.coalesce(~F.lower(F.trim(p)).isin(*tx.MISSING_IDENTITY), F.lit(False))
     scope = F.lit("combined") if cross_source else F.col("source_sha256")
     remote = ~data("IpAddress").isin(*tx.LOCAL_ADDRESSES)
-    return events.filter(whole & remote).withColumn("auth_key", F.array(scope, *[F.lower(p) for p in parts]))
+    return events.filter(whole & remote).withColumn("auth_key", F.array(scope, *[tx.casefold(p) for p in parts]))
 
 
 def _leads(rows: DataFrame, rule_id: str, severity: str) -> DataFrame:
@@ -123,7 +123,7 @@ def explicit_credentials(events: DataFrame, threshold: int = 10, window: int = 3
         whole = whole & ~F.coalesce(F.trim(data(k)), F.lit("")).isin("", "-")
     scope = F.lit("combined") if cross_source else F.col("source_sha256")
     rows = events.filter(is_from(SECURITY, 4648) & whole)
-    rows = rows.withColumn("auth_key", F.array(scope, F.lower("host"), *[F.lower(F.trim(data(k))) for k in fields])).withColumn("account", F.lower(data("TargetUserName")))
+    rows = rows.withColumn("auth_key", F.array(scope, tx.casefold(F.col("host")), *[tx.casefold(F.trim(data(k))) for k in fields])).withColumn("account", tx.casefold(data("TargetUserName")))
     hits = sequence.distinct_in_window(rows, ["auth_key"], "timestamp", ORDER, "account", window).filter(F.col("distinct_values") >= threshold)
     fired = sequence.cooldown(hits.select("auth_key", "timestamp", *ORDER, "event_uid", "host"), ["auth_key"], "timestamp", ORDER, window)
     # The evidence is looked up for what fires alone: the last accounts, each with its latest event.
