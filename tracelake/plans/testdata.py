@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import times as tm
-from ..operators import fragments, governance, graph, joins, network, readiness, review, rules, sequence
+from ..operators import fragments, governance, graph, joins, merkle, network, readiness, review, rules, sequence
 from ..operators.rules import Condition, Rule
 from ..storage import new_path, streamed, written
 from ..streaming import live, state
@@ -724,3 +724,15 @@ SELECT g.event_type, told AS "at", count(e.event_id) AS n FROM g LEFT JOIN event
 def q72_range_counts(spark, d):
     at = lambda x: F.lit(x).cast("timestamp_ntz")
     return sequence.count_over_range(table(spark, d, "events"), "ts", at("2024-01-03"), at("2024-01-23"), 5400, 4 * HOUR, "event_type")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 991 = 0 THEN 'changed' WHEN o_orderkey % 997 = 0 THEN 'gone' ELSE 'added' END AS state FROM orders WHERE o_orderkey > 0 AND (o_orderkey % 991 = 0 OR o_orderkey % 997 = 0)
+UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_orderkey > 0 AND o_orderkey % 1009 = 0""")
+def q74_changed_rows(spark, d):
+    o = table(spark, d, "orders").filter("o_orderkey > 0").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    changes = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 991 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).filter("o_orderkey % 991 = 0 or o_orderkey % 997 != 0")
+    changes = changes.unionByName(o.filter("o_orderkey % 1009 = 0").withColumn("o_orderkey", -F.col("o_orderkey")))
+    depth = merkle.depth_for(o.count())
+    odd = merkle.changed(merkle.build(o, ["o_orderkey"], depth=depth), merkle.build(changes, ["o_orderkey"], depth=depth))
+    sides = odd.groupBy(F.col("key_o_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("side")).alias("s"))
+    return sides.select("o_orderkey", F.when(F.size("s") == 2, "changed").when(F.col("s")[0] == "old", "gone").otherwise("added").alias("state"))
