@@ -118,9 +118,9 @@ def _op9_sql() -> str:
         x = f"regexp_replace(lower(coalesce({x}, '')), '\\r\\n?', chr(10), 'g')"
         for line in (HOLDER_LINE, RIGHTS_LINE, LIST_MARK):
             x = f"regexp_replace({x}, {quoted('(?m)' + line)}, '', 'g')"
-        x = f"regexp_replace({x}, {quoted(NO_WORD)}, ' ', 'g')"
+        x = f"' ' || regexp_replace({x}, {quoted(NO_WORD)}, '  ', 'g') || ' '"  # every word between two spaces of its own
         for other, usual in EQUIVALENT:
-            x = f"regexp_replace({x}, '\\b{other}\\b', '{usual}', 'g')"
+            x = f"replace({x}, ' {other.replace(' ', '  ')} ', ' {usual.replace(' ', '  ')} ')"
         return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
 
     known = ", ".join(f"({i}, {quoted(k)}, {quoted(t)})" for i, (k, t) in enumerate(known_texts(), 1))
