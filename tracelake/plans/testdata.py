@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions import times as tm
 from ..operators import fragments, governance, graph, joins, merkle, network, readiness, review, rules, sequence
 from ..operators.rules import Condition, Rule
+from ..sources import textindex
 from ..storage import new_path, streamed, written
 from ..streaming import live, state
 from ..streaming.queue import Queue
@@ -736,3 +737,12 @@ def q74_changed_rows(spark, d):
     odd = merkle.changed(merkle.build(o, ["o_orderkey"], depth=depth), merkle.build(changes, ["o_orderkey"], depth=depth))
     sides = odd.groupBy(F.col("key_o_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("side")).alias("s"))
     return sides.select("o_orderkey", F.when(F.size("s") == 2, "changed").when(F.col("s")[0] == "old", "gone").otherwise("added").alias("state"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license')")
+def q75_indexed_search(spark, d):
+    """The documents as files by id, with an index of their texts: only files that may hold the term are read."""
+    path, index = new_path(spark, "indexed"), new_path(spark, "index")
+    table(spark, d, "documents").select("doc_id", "source", "text").repartitionByRange(64, "doc_id").write.parquet(path)
+    textindex.build(spark, path, "text", index)
+    return textindex.search(spark, path, "text", index, "License").select("doc_id", "source")
