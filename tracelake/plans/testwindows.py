@@ -9,15 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import streamed
 from . import windows
-from .testdata import DAY, EVENTS, ORACLE, QUERIES, query
+from .testdata import DAY, EVENTS, ORACLE, QUERIES, events_stream, query
 
 __all__ = ["ORACLE", "QUERIES"]  # those of the test tables and these
 
 
 
-def windows_events(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+def windows_events(spark: SparkSession, d: str, stream: DataFrame | None = None) -> DataFrame:
+    e = (spark.read.parquet(f"{d}/events.parquet") if stream is None else stream).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     of = lambda **fields: F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)])
     user, text = F.col("user_id").cast("string"), F.lit
     guid = F.concat(text("{00000000-0000-0000-0000-"), F.lpad(user, 12, "0"), text("}"))
@@ -94,3 +95,10 @@ CASE event_type WHEN 'error' THEN 4625 WHEN 'purchase' THEN 4624 WHEN 'signup' T
 def w08_event_counts(spark, d):
     found = windows.event_counts(windows_events(spark, d).filter("provider is not null"))
     return found.select("provider", "event_id", F.col(found.columns[-1]).alias("n"))
+
+
+@query(f"SELECT 'AUTH-001' AS rule_id, * FROM ({ORACLE['w01_success_after_failures']}) UNION ALL SELECT 'AUTH-002', * FROM ({ORACLE['w02_failure_bursts']})")
+def w09_streamed_leads(spark, d):
+    """The leads of w01 and w02 from a stream, with state for each key."""
+    e = windows_events(spark, d, events_stream(spark, d))
+    return streamed(windows.streamed_leads(e, auth=(3, 7 * DAY), credential=(3, 4 * DAY)), "leads").select("rule_id", "event_uid", "host", "finding_id")
