@@ -26,3 +26,19 @@ def test_pruned_searches_lose_no_hit(spark, tmp_path):
     assert pruned >= 6
     spark.createDataFrame([(9000, 99, "a new NEEDLE")], "id long, part long, text string").write.mode("append").partitionBy("part").parquet(path)
     assert sorted(r.id for r in textindex.search(spark, path, "text", index, "needle").collect()) == [777, 9000]  # not indexed yet
+
+
+def test_filters_are_the_bitmaps_of_all_groups_and_no_task_sorts_them(spark, tmp_path):
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(97, 123)] + ["É", "東", "😀", "\n"]
+    rows = [(i, "".join(rng.choices(letters, k=rng.choice([0, 2, 3, 40, 30_000])))) for i in range(40)] + [(40, None)]
+    path = f"{tmp_path}/table"
+    spark.createDataFrame(rows, "id long, text string").repartitionByRange(5, "id").write.parquet(path)
+    table = spark.read.parquet(path)
+    found = textindex.filters(table, "text")
+    bits = table.select(F.col("_metadata.file_path").alias("file"), F.explode(textindex.groups(F.col("text"))).alias("g")).select("file", textindex._bit(F.col("g")).alias("b"))
+    wanted = bits.groupBy("file", F.expr("bitmap_bucket_number(b + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b + 1))").alias("bitmap"))
+    got = {(r.file, r.bucket): bytes(r.bitmap) for r in found.collect()}
+    assert len(got) > 30 and got == {(r.file, r.bucket): bytes(r.bitmap) for r in wanted.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a bitmap bucket (fixed by Spark's bitmap functions), and buckets of a filter.
 BUCKET_BITS, BUCKETS = 32_768, 8
+#: Words of a bucket.
+WORDS = BUCKET_BITS // 64
 BITS = BUCKET_BITS * BUCKETS
 #: Files up to which a search names them to the reader.
 MOST_FILES = 100_000
@@ -31,10 +33,17 @@ def _bit(group: Column) -> Column:
 
 
 def filters(table: DataFrame, text: str) -> DataFrame:
-    """(file, bucket, bitmap) of the files of a table read from Parquet. Combined before the shuffle, a few bitmaps a file."""
+    """(file, bucket, bitmap) of the files of a table read from Parquet. Bits are set in words of 64, so a task holds 4096 numbers a file at most,
+    whatever the texts are, and never sorts their groups (Spark's own bitmap aggregate sorts its input).
+    """
     bits = table.select(F.col("_metadata.file_path").alias("file"), F.explode(F.array_distinct(groups(F.col(text)))).alias("g")).select("file", _bit(F.col("g")).alias("b"))
-    # Spark's bitmap functions count from 1.
-    return bits.groupBy("file", F.expr("bitmap_bucket_number(b + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b + 1))").alias("bitmap"))
+    # Bit 0 of byte 0 is the lowest one of the highest byte, so that a word's hexadecimal digits are its bytes in order.
+    word = F.expr("bit_or(shiftleft(1L, cast(56 - (b & 56) + (b & 7) as int)))").alias("word")
+    words = bits.groupBy("file", F.expr("b div 64").alias("at")).agg(word)
+    buckets = words.groupBy("file", F.expr(f"at div {WORDS} + 1").alias("bucket")).agg(F.array_sort(F.collect_list(F.struct((F.col("at") % WORDS).cast("int").alias("at"), "word"))).alias("w"))
+    before = F.expr("transform(w, (x, i) -> x.at - if(i = 0, 0, w[i - 1].at + 1))")  # words without a bit before each one
+    digits = F.zip_with("w", before, lambda x, n: F.concat(F.repeat(F.lit("0" * 16), n), F.lpad(F.hex(x["word"]), 16, "0")))
+    return buckets.select("file", "bucket", F.unhex(F.rpad(F.array_join(digits, ""), 16 * WORDS, "0")).alias("bitmap"))
 
 
 def build(spark: SparkSession, path: str, text: str, index: str) -> None:
