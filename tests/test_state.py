@@ -76,3 +76,37 @@ def test_a_stream_out_of_order_equals_the_batch(spark, tmp_path, name, seed):
     got = streamed(spark, tmp_path, batches, lambda df: OPERATORS[name](state, df, delay="2 hours"), seed + 1)
     wanted = OPERATORS[name](sequence, frame(spark, rows)).select(*got.columns)
     assert plain(got.filter("user <=> null or user <> 'flush'")) == plain(wanted) and wanted.count() > 2
+
+
+def both(m, df, **k):
+    """Sequences, and bursts of the failures with a value."""
+    failed, passed, counted = F.col("kind") == "fail", F.col("kind") == "ok", F.col("value").isNotNull()
+    if m is state:
+        return state.followed_by_and_burst_once(df, ["user"], "ts", ["id"], failed, passed, 3, 600, counted, 4, 120, 90, "id", ["ts"], **k)
+    first = sequence.followed_by(df, ["user"], "ts", ["id"], failed, passed, 3, 600, "id")
+    second = sequence.cooldown(sequence.burst(df.filter(failed & counted), ["user"], "ts", ["id"], 4, 120, "id"), ["user"], "ts", ["id"], 90)
+    return first.withColumn("which", F.lit(0)).unionByName(second.withColumn("which", F.lit(1)), allowMissingColumns=True)
+
+
+@pytest.mark.parametrize("jitter, delay, seed", [(0, None, 31), (6, "2 hours", 32)])
+def test_two_folds_with_one_state_equal_the_batch(spark, tmp_path, jitter, delay, seed):
+    rows = events(seed, 400)
+    batches = split(rows, random.Random(seed), jitter) + ([[(9999, "flush", "fail", "x", rows[-1][4] + 10**12, {})]] if delay else [])
+    got = streamed(spark, tmp_path, batches, lambda df: both(state, df, delay=delay), 2).filter("user <=> null or user <> 'flush'")
+    assert set(got.columns) == {"user", "id", "ts", "which", "evidence"}
+    wanted = both(sequence, frame(spark, rows)).select(*got.columns)
+    assert plain(got) == plain(wanted) and got.groupBy("which").count().count() == 2
+
+
+def test_leads_on_a_stream_keep_one_state_for_both_rules(spark, tmp_path):
+    from tracelake.plans import testwindows, windows
+
+    rows = [(i, i // 3, "error" if i % 6 else "purchase", '{"k": 1}') for i in range(60)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").withColumn("ts", F.timestamp_seconds("event_id"))
+    e.write.parquet(f"{tmp_path}/in")
+    stream = testwindows.windows_events(spark, None, spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in"))
+    query = windows.streamed_leads(stream).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [len(p["stateOperators"]) for p in progress] == [1] and progress[0]["numInputRows"] == 60  # one state, and the rows are read once
+    assert progress[0]["stateOperators"][0]["numRowsTotal"] == 20  # one value for each key

@@ -85,7 +85,7 @@ def with_auth_key(events: DataFrame, cross_source: bool) -> DataFrame:
     return events.filter(whole & remote).withColumn("auth_key", F.array(scope, *[tx.casefold(p) for p in parts]))
 
 
-def _leads(rows: DataFrame, rule_id: str, severity: str) -> DataFrame:
+def _leads(rows: DataFrame, rule_id: str | Column, severity: str | Column) -> DataFrame:
     out = rows.select("event_uid", "timestamp", "host", F.col("evidence").alias("evidence"), F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"))
     return out.withColumn("finding_id", rules.finding_id(F.col("rule_id"), F.col("evidence")))
 
@@ -106,13 +106,14 @@ def failure_bursts(events: DataFrame, threshold: int = 10, window: int = 300, cr
 
 
 def streamed_leads(events: DataFrame, delay: str | None = None, auth: tuple[int, int] = (5, 600), credential: tuple[int, int] = (10, 300), cross_source: bool = False) -> DataFrame:
-    """AUTH-001 and AUTH-002 on a stream of events, each with its own state for every key: nothing that is stored is read again."""
+    """AUTH-001 and AUTH-002 on a stream of events, by one pass with one state for every key: nothing that is stored is read again."""
     failed, passed = F.col("event_id") == 4625, F.col("event_id") == 4624
-    rows = with_auth_key(events.filter(is_from(SECURITY, 4624, 4625)), cross_source)
-    first = state.followed_by(rows, ["auth_key"], "timestamp", ORDER, failed, passed, *auth, "event_uid", delay)
-    logons = rows.filter(failed & data("LogonType").isin("3", "10"))
-    second = state.burst_once(logons, ["auth_key"], "timestamp", ORDER, *credential, credential[1], "event_uid", delay)
-    return _leads(first, "AUTH-001", "high").unionByName(_leads(second, "AUTH-002", "medium"))
+    # The key is one text, and only what the leads need goes through the state.
+    rows = with_auth_key(events.filter(is_from(SECURITY, 4624, 4625)), cross_source).withColumn("auth_key", F.to_json("auth_key"))
+    network = data("LogonType").isin("3", "10")
+    found = state.followed_by_and_burst_once(rows, ["auth_key"], "timestamp", ORDER, failed, passed, *auth, network, *credential, credential[1], "event_uid", ["timestamp", "host"], delay)
+    first = F.col("which") == 0
+    return _leads(found, F.when(first, "AUTH-001").otherwise("AUTH-002"), F.when(first, "high").otherwise("medium"))
 
 
 def explicit_credentials(events: DataFrame, threshold: int = 10, window: int = 300, cross_source: bool = False) -> DataFrame:
